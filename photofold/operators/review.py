@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photofold.config import FAILURES_TO_TRIP, PHOTO_SOURCE_CAP, VIDEO_SOURCE_CAP
-from photofold.plans.hot_keys import salted_join, top_n_per_key
+from photofold.plans.hot_keys import broadcast_if_fits, salted_join, top_n_per_key
 from photofold.plans.ordering import (
     HOME,
     POSITION,
@@ -163,20 +163,18 @@ def album_move(
 
 def queue_preview(state: DataFrame, n: int = 9) -> DataFrame:
     """First ``n`` assets of the delete queue and how many more wait."""
-    queued = state.filter(F.col("in_delete_queue"))
-    keys = library_keys(state)
-    shown = queued.orderBy("queued_at", "asset_id").limit(n) if not keys else top_n_per_key(
-        queued, keys, [F.asc("queued_at"), F.asc("asset_id")], n
-    )
+    keys = [*library_keys(state), "media_type"]
+    queued = state.filter(F.col("in_delete_queue")).select(*keys, "asset_id", "queued_at")
+    shown = top_n_per_key(queued, keys, [F.asc("queued_at"), F.asc("asset_id")], n)
     head = shown.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("queued_at", "asset_id"))).alias("_shown")
+        F.sort_array(F.collect_list(F.struct("_rank", "asset_id"))).alias("_shown")
     )
-    head = head.select(*keys, F.transform("_shown", lambda r: r["asset_id"]).alias("shown"))
     total = queued.groupBy(*keys).agg(F.count(F.lit(1)).alias("queued"))
-    # Without library key both sides are one row.
-    joined = head.join(total, keys) if keys else head.crossJoin(total)
-    return joined.select(
-        *keys, "shown", "queued", F.greatest(F.col("queued") - n, F.lit(0)).alias("overflow")
+    return head.join(total, keys).select(
+        *keys,
+        F.transform("_shown", lambda r: r["asset_id"]).alias("shown"),
+        "queued",
+        F.greatest(F.col("queued") - n, F.lit(0)).alias("overflow"),
     )
 
 
@@ -201,23 +199,20 @@ def _latest(*columns: Column) -> Column:
     return F.greatest(*columns)
 
 
-def _global_marks(events: DataFrame, media_type: str) -> DataFrame:
-    """Last global action of each kind: one row (per library)."""
-    rows = events.filter((F.col("media_type") == media_type) & F.col("asset_id").isNull())
-    return rows.groupBy(*library_keys(events)).agg(
-        _last(CLEARS_DELETE).alias("_clear_delete"),
-        _last(CLEARS_COLLECTION).alias("_clear_collection"),
-        _last(CLEARS_TRASH).alias("_clear_trash"),
-        _last(["progress_reset"]).alias("_reset"),
+def _with_global_marks(per_asset: DataFrame, events: DataFrame) -> DataFrame:
+    """Add the last global action of each kind: one row per media type (and library)."""
+    keys = [*library_keys(events), "media_type"]
+    marks = (
+        events.filter(F.col("asset_id").isNull())
+        .groupBy(*keys)
+        .agg(
+            _last(CLEARS_DELETE).alias("_clear_delete"),
+            _last(CLEARS_COLLECTION).alias("_clear_collection"),
+            _last(CLEARS_TRASH).alias("_clear_trash"),
+            _last(["progress_reset"]).alias("_reset"),
+        )
     )
-
-
-def _with_global_marks(per_asset: DataFrame, events: DataFrame, media_type: str) -> DataFrame:
-    marks = _global_marks(events, media_type)
-    keys = library_keys(events)
-    if keys:
-        return salted_join(per_asset, marks, keys, "left")
-    return per_asset.crossJoin(F.broadcast(marks))  # an ungrouped aggregate is exactly one row
+    return per_asset.join(broadcast_if_fits(marks), keys, "left")
 
 
 def fold_photos(events: DataFrame) -> DataFrame:
@@ -226,7 +221,7 @@ def fold_photos(events: DataFrame) -> DataFrame:
     Comparing the last time of each action is enough, so this is one aggregation that
     combines before the shuffle, however often one photo was acted on.
     """
-    keys = [*library_keys(events), "asset_id"]
+    keys = [*library_keys(events), "media_type", "asset_id"]
     rows = events.filter((F.col("media_type") == "photo") & F.col("asset_id").isNotNull())
     per_asset = rows.groupBy(*keys).agg(
         _last(MARKS_PHOTO).alias("_marked"),
@@ -234,12 +229,11 @@ def fold_photos(events: DataFrame) -> DataFrame:
         _last(["delete"]).alias("_delete"),
         _last(["collect"]).alias("_collect"),
     )
-    folded = _with_global_marks(per_asset, events, "photo")
+    folded = _with_global_marks(per_asset, events)
     undo = F.col("_undo")
     in_delete = _after(F.col("_delete"), _latest(undo, F.col("_clear_delete")))
     return folded.select(
         *keys,
-        F.lit("photo").alias("media_type"),
         _after(F.col("_marked"), _latest(undo, F.col("_reset"))).alias("processed"),
         in_delete.alias("in_delete_queue"),
         _after(F.col("_collect"), _latest(undo, F.col("_clear_collection"))).alias(
@@ -258,12 +252,14 @@ def effective_restores(events: DataFrame, block_rows: int | None = None) -> Data
     of two counts; the previous action is one row back in (asset, seq) order.
     """
     keys = library_keys(events)
-    video = events.filter(F.col("media_type") == "video")
+    video = events.filter(F.col("media_type") == "video").select(
+        *keys, "media_type", "asset_id", "seq", "action"
+    )
     clearing = F.when(F.col("asset_id").isNull() & F.col("action").isin(CLEARS_TRASH), 1).otherwise(0)
     counted = with_running_total(video, [*keys, "seq"], "_epoch", clearing)
     moves = counted.filter(F.col("asset_id").isNotNull() & F.col("action").isin("trash", "restore"))
     positioned = with_position(
-        moves.select(*keys, "asset_id", "seq", "action", "_epoch"), [*keys, "asset_id", "seq"]
+        moves.select(*keys, "media_type", "asset_id", "seq", "action", "_epoch"), [*keys, "asset_id", "seq"]
     )
     blocks = in_blocks(positioned, 1, *([block_rows] if block_rows else []))
     previous = F.lag(F.struct(*keys, "asset_id", "action", "_epoch"), 1).over(block_window())
@@ -277,12 +273,12 @@ def effective_restores(events: DataFrame, block_rows: int | None = None) -> Data
         & (F.col("_previous._epoch") == F.col("_epoch"))
     )
     restores = linked.filter((F.col("action") == "restore") & works)
-    return restores.select(*keys, "asset_id", "seq", F.lit("restore").alias("action"))
+    return restores.select(*keys, "media_type", "asset_id", "seq", "action")
 
 
 def fold_videos(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Per video: reviewed?, in the trash?"""
-    keys = [*library_keys(events), "asset_id"]
+    keys = [*library_keys(events), "media_type", "asset_id"]
     rows = events.filter((F.col("media_type") == "video") & F.col("asset_id").isNotNull())
     marks = rows.select(*keys, "seq", "action").filter(F.col("action") != "restore")
     every_restore = rows.filter(F.col("action") == "restore").select(
@@ -299,10 +295,9 @@ def fold_videos(events: DataFrame, block_rows: int | None = None) -> DataFrame:
             _last(["try_restore"]).alias("_try_restore"),
         )
     )
-    folded = _with_global_marks(per_asset, events, "video")
+    folded = _with_global_marks(per_asset, events)
     return folded.select(
         *keys,
-        F.lit("video").alias("media_type"),
         _after(F.col("_marked"), _latest(F.col("_restore"), F.col("_reset"))).alias("processed"),
         F.lit(False).alias("in_delete_queue"),
         F.lit(False).alias("in_collection_queue"),

@@ -109,6 +109,31 @@ def dup_edges(
     )
 
 
+def count_compared(
+    assets: DataFrame, config: SimilarityConfig = SimilarityConfig(), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """How many of the assets just before each one fall into its time window; none, no row."""
+    keys = library_keys(assets)
+    look_back = config.max_compare_count - 1
+    positioned = with_position(to_group(assets), [*keys, "taken_at", "asset_id"])
+    frame = block_window().rowsBetween(-look_back, -1)
+    fields = [*keys, "taken_at"]
+    framed = in_blocks(positioned, look_back, block_rows).withColumn(
+        "_frame", F.collect_list(F.struct(*fields)).over(frame)
+    )
+
+    def near(earlier: Column) -> Column:
+        inside = F.col("taken_at") - earlier["taken_at"] <= config.window_ms
+        for key in keys:
+            inside = inside & (F.col(key) == earlier[key])
+        return inside
+
+    counted = framed.filter(HOME).withColumn("compared", F.size(F.filter("_frame", near)))
+    return counted.filter("compared > 0").select(
+        *keys, "asset_id", F.col("compared").cast("bigint").alias("compared")
+    )
+
+
 def _resolve_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Follow parents inside one block; rows leading out keep the position they lead to."""
     pdf = pdf.sort_values(POSITION, kind="stable")
@@ -136,7 +161,7 @@ def _resolve_block(pdf: pd.DataFrame) -> pd.DataFrame:
 def assign_roots(
     rows: DataFrame, config: SimilarityConfig, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``root_id`` and ``distance_to_parent``.
+    """Add ``root_id``, ``distance_to_parent`` and ``grouped`` (a new asset that has a hash).
 
     ``rows`` has ``asset_id, taken_at, _bits, _root``: ``_root`` is NULL for assets to
     group, or the final root of an asset grouped earlier (streaming).
@@ -144,11 +169,11 @@ def assign_roots(
     keys = library_keys(rows)
     linked = _nearest_earlier(rows, config, block_rows, with_parent_id=False)
     new = F.col("_root").isNull()
-    columns = [*keys, "asset_id", "_grouped", POSITION, BLOCK, "distance_to_parent"]
+    columns = [*keys, "asset_id", "grouped", POSITION, BLOCK, "distance_to_parent"]
     links = linked.select(
         *keys,
         "asset_id",
-        (F.col("_bits").isNotNull() & new).alias("_grouped"),
+        (F.col("_bits").isNotNull() & new).alias("grouped"),
         POSITION,
         BLOCK,
         "distance_to_parent",
@@ -163,8 +188,7 @@ def assign_roots(
     last = resolved.agg(F.max(BLOCK)).first()[0]
     if last:
         resolved = _chase_blocks(resolved, config.max_compare_count - 1, block_rows)
-    grouped = resolved.filter("_grouped").withColumnRenamed("_root", "root_id")
-    return grouped.drop("_entry", "_grouped", POSITION, BLOCK)
+    return resolved.withColumnRenamed("_root", "root_id").drop("_entry", POSITION, BLOCK)
 
 
 def _entry_key() -> Column:
@@ -209,7 +233,7 @@ def dup_groups(
     ``distance_to_parent`` is the distance that put the asset into the group.
     """
     rows = to_group(assets).withColumn("_root", F.lit(None).cast("string"))
-    return as_members(assign_roots(rows, config, block_rows))
+    return as_members(assign_roots(rows, config, block_rows).filter("grouped"))
 
 
 def as_members(roots: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photofold.functions.vocabulary import TRANSLATION_OVERRIDES
+from photofold.plans.hot_keys import salted_join
 
 
 def number_lines(texts: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -57,13 +58,10 @@ def vocab_duplicates(vocabulary: DataFrame, keys: Sequence[str] = ()) -> DataFra
 
 
 def dedupe_keep_first(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """First row of each key, with the number of dropped repeats."""
-    values = [c for c in lines.columns if c not in keys]
+    """All rows with ``is_duplicate``: false for the first row of each key, true for repeats."""
+    first = lines.groupBy(*keys).agg(F.min(order).alias("_first"))
     return (
-        lines.groupBy(*keys)
-        .agg(
-            F.min_by(F.struct(*values), order).alias("_first"),
-            (F.count(F.lit(1)) - 1).alias("repeats"),
-        )
-        .select(*keys, "_first.*", "repeats")
+        salted_join(lines, first, keys)
+        .withColumn("is_duplicate", F.col(order) > F.col("_first"))
+        .drop("_first")
     )
