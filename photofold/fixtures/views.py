@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photofold.plans.ordering import spread
+
 # Labels of the derived detections (24 entries).
 VOCABULARY = [
     "tabby", "tiger cat", "Siamese cat", "golden retriever", "Cardigan", "prairie dog",
@@ -112,7 +114,8 @@ def project_assets(rows: DataFrame, hashes: DataFrame, n_vectors: int) -> DataFr
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_vectors = table(spark, sf_dir, "embeddings").count()
-    return project_assets(events(spark, sf_dir), embedding_hashes(spark, sf_dir), n_vectors)
+    rows = spread(events(spark, sf_dir))
+    return project_assets(rows, embedding_hashes(spark, sf_dir), n_vectors)
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,11 +295,11 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes to compute features from: all documents and pages."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("asset_id"),
         F.encode("text", "UTF-8").alias("content"),
     )
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages")).select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("asset_id"),
         F.encode("html", "UTF-8").alias("content"),
     )

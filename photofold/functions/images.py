@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from photofold.config import BlurConfig
+from photofold.functions.binding import column, let
 
 # Fixed values of the feature formulas.
 LUMA_SAMPLE = 1000
@@ -19,13 +20,9 @@ SIZE_LOW, SIZE_HIGH, SCORE_MAX, SCORE_DEFAULT = 5000, 50000, 500, 150.0
 HASH_BITS = 64
 
 
-def _column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def base64_length(content: Column | str) -> Column:
     """Length of the unbroken base64 text of a binary column."""
-    return (F.floor((F.coalesce(F.octet_length(_column(content)), F.lit(0)) + 2) / 3) * 4).cast("int")
+    return (F.floor((F.coalesce(F.octet_length(column(content)), F.lit(0)) + 2) / 3) * 4).cast("int")
 
 
 def _base64(content: Column) -> Column:
@@ -34,7 +31,7 @@ def _base64(content: Column) -> Column:
 
 def mean_luma(content: Column | str) -> Column:
     """Mean character code of the first 1000 base64 characters, scaled to 0…255."""
-    content = _column(content)
+    content = column(content)
     sample = _base64(F.substring(content, 1, LUMA_SAMPLE // 4 * 3))
     codes = F.aggregate(
         F.split(sample, ""), F.lit(0), lambda total, char: total + F.ascii(char)
@@ -54,27 +51,33 @@ def laplacian_var(content: Column | str) -> Column:
 
 def dhash64(content: Column | str) -> Column:
     """Compare 65 evenly spaced base64 characters; 16 lower-case hex digits."""
-    content = _column(content)
+    content = column(content)
     step = F.floor(base64_length(content) / (HASH_BITS + 1)).cast("int")
 
-    def char_code(i: Column) -> Column:
-        at = i * step
+    def char_code(at: Column) -> Column:
         triple = F.substring(content, F.floor(at / 4).cast("int") * 3 + 1, F.lit(3))
-        return F.ascii(F.substring(_base64(triple), at % 4 + 1, F.lit(1)))
+        return F.ascii(F.substring(F.base64(triple), at % 4 + 1, F.lit(1)))
 
-    codes = F.transform(F.sequence(F.lit(0), F.lit(HASH_BITS)), char_code)
-    bits = F.zip_with(
-        F.slice(codes, 1, HASH_BITS), F.slice(codes, 2, HASH_BITS), lambda a, b: a < b
-    )
-    # The first pair is the lowest bit, so the text of the number is the pairs reversed.
-    binary = F.array_join(F.reverse(F.transform(bits, lambda b: F.when(b, "1").otherwise("0"))), "")
-    hexed = F.lower(F.lpad(F.conv(binary, 2, 16), HASH_BITS // 4, "0"))
-    return F.when(base64_length(content) > 0, hexed).otherwise(F.lit("0" * (HASH_BITS // 4)))
+    def digits(codes: Column) -> Column:
+        # The first pair is the lowest bit, so the pairs are written from last to first.
+        bits = F.transform(
+            F.sequence(F.lit(HASH_BITS - 1), F.lit(0)),
+            lambda i: F.when(F.get(codes, i) < F.get(codes, i + 1), "1").otherwise("0"),
+        )
+        hexed = F.conv(F.array_join(bits, ""), 2, 16)
+        return F.lower(F.lpad(hexed, HASH_BITS // 4, "0"))
+
+    def codes_at(gap: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(HASH_BITS)), lambda i: char_code(i * gap))
+
+    blank = F.lit("0" * (HASH_BITS // 4))
+    # Below 65 characters the step is 0: every sample is the same character.
+    return F.when(step > 0, let(let(step, codes_at), digits)).otherwise(blank)
 
 
 def hash_bits(phash: Column | str) -> Column:
     """The 64 bits of a hex hash as a signed bigint; NULL when empty or not hex."""
-    phash = _column(phash)
+    phash = column(phash)
     return F.when(phash.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(phash, 16, -10).cast("bigint"))
 
 
@@ -88,7 +91,7 @@ def are_similar(a: Column | str, b: Column | str, threshold: int = 15) -> Column
 
 
 def blur_threshold(luma: Column | str, config: BlurConfig = BlurConfig()) -> Column:
-    luma = _column(luma)
+    luma = column(luma)
     return (
         F.when(luma < config.dark_threshold, config.base_threshold * config.dark_multiplier)
         .when(luma > config.bright_threshold, config.base_threshold * config.bright_multiplier)
@@ -112,7 +115,7 @@ def lighting_score(mean_luma_value: Column) -> Column:
 
 def center_crop(width: Column | str, height: Column | str) -> tuple[Column, Column, Column]:
     """(origin_x, origin_y, size) of the centred square."""
-    width, height = _column(width), _column(height)
+    width, height = column(width), column(height)
     size = F.least(width, height)
     # least() skips NULLs; a crop needs both sides.
     size = F.when(width.isNotNull() & height.isNotNull(), size)

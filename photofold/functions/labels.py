@@ -15,6 +15,7 @@ from photofold.config import (
     MIN_FACE_RATIO,
     RERANK_BELOW,
 )
+from photofold.functions.binding import column, let
 from photofold.functions.vocabulary import (
     BIRD_WORDS,
     CAT_WORDS,
@@ -27,14 +28,10 @@ from photofold.functions.vocabulary import (
 )
 
 
-def _column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def parse_labels(labels_json: Column | str) -> Column:
     """JSON text to labels; NULL when malformed. The old key ``label`` stands in for ``text``."""
     raw = F.from_json(
-        _column(labels_json), "array<struct<text:string,label:string,confidence:double>>"
+        column(labels_json), "array<struct<text:string,label:string,confidence:double>>"
     )
     return F.transform(
         raw,
@@ -47,20 +44,20 @@ def parse_labels(labels_json: Column | str) -> Column:
 
 def serialize_labels(labels: Column | str) -> Column:
     """JSON text of the labels; NULL when there are none."""
-    labels = _column(labels)
+    labels = column(labels)
     return F.when(F.size(labels) > 0, F.to_json(labels))
 
 
 def valid_labels(labels: Column | str, above: float = LABEL_CONFIDENCE) -> Column:
     """Labels above the confidence limit, in list order."""
-    return F.filter(_column(labels), lambda x: x["confidence"] > above)
+    return F.filter(column(labels), lambda x: x["confidence"] > above)
 
 
 def top_labels(
     labels: Column | str, n: int = MAX_LABELS, at_least: float = LABEL_CONFIDENCE
 ) -> Column:
     """The ``n`` best labels at or above the limit, best first; ties keep list order."""
-    kept = F.filter(_column(labels), lambda x: x["confidence"] >= at_least)
+    kept = F.filter(column(labels), lambda x: x["confidence"] >= at_least)
     numbered = F.transform(
         kept, lambda x, i: F.struct((-x["confidence"]).alias("key"), i.alias("i"), x.alias("label"))
     )
@@ -69,7 +66,7 @@ def top_labels(
 
 def _any_label_in(labels: Column | str, words: Sequence[str]) -> Column:
     hit = F.exists(
-        _column(labels),
+        column(labels),
         lambda x: (x["confidence"] > LABEL_CONFIDENCE) & F.lower(x["text"]).isin(*words),
     )
     return F.coalesce(hit, F.lit(False))
@@ -88,16 +85,16 @@ def people_disqualified(labels: Column | str) -> Column:
 def is_screenshot(labels: Column | str) -> Column:
     """Any label, whatever its confidence, contains one of the screenshot parts."""
     pattern = "|".join(SCREENSHOT_PARTS)
-    hit = F.exists(_column(labels), lambda x: F.lower(x["text"]).rlike(pattern))
+    hit = F.exists(column(labels), lambda x: F.lower(x["text"]).rlike(pattern))
     return F.coalesce(hit, F.lit(False))
 
 
 def faces_min_size(faces: Column | str, image_width: Column | str) -> Column:
     """Faces wider than a tenth of the image."""
-    width = F.coalesce(F.nullif(_column(image_width), F.lit(0)), F.lit(DEFAULT_IMAGE_WIDTH))
+    width = F.coalesce(F.nullif(column(image_width), F.lit(0)), F.lit(DEFAULT_IMAGE_WIDTH))
     limit = width * F.lit(MIN_FACE_RATIO)
     return F.filter(
-        _column(faces), lambda f: F.coalesce(f["bounding_box"]["width"], F.lit(0.0)) > limit
+        column(faces), lambda f: F.coalesce(f["bounding_box"]["width"], F.lit(0.0)) > limit
     )
 
 
@@ -109,7 +106,7 @@ def valid_face_count(faces: Column | str, labels: Column | str, image_width: Col
 
 def detection_to_face(frame: Column | str) -> Column:
     """Detector frame (origin and size) to a face with the constant confidence."""
-    frame = _column(frame)
+    frame = column(frame)
     return F.struct(
         F.struct(
             frame["origin"]["x"].alias("x"),
@@ -128,7 +125,7 @@ def _has_word(text: Column, words: Sequence[str]) -> Column:
 
 def category_group(label: Column | str) -> Column:
     """Broad group of an English label: cat, dog, bird, screenshot, people or NULL."""
-    text = F.lower(_column(label))
+    text = F.lower(column(label))
     prairie_dog = _has_word(text, ["prairie"]) & _has_word(text, ["dog"])
     return (
         F.when(_has_word(text, CAT_WORDS), "cat")
@@ -155,26 +152,22 @@ def pick_label(labels: Column | str) -> Column:
             category_group(x["text"]).alias("group"),
         ),
     )
-    first = F.get(candidates, 0)
-    decisive = F.get(
-        F.filter(
-            candidates,
-            lambda c: (
-                c["group"].isin("cat", "dog") & (F.get(candidates, 0)["confidence"] < RERANK_BELOW)
-            )
-            | (c["group"] == "people"),
-        ),
-        0,
-    )
-    chosen = F.coalesce(decisive, first)
-    usable = first["text"].isNotNull() & (first["text"] != "")
-    return F.when(
-        usable,
-        F.struct(
-            chosen["group"].alias("group"),
-            F.coalesce(chosen["group"], chosen["text"]).alias("label"),
-        ),
-    )
+
+    def choose(found: Column) -> Column:
+        first = F.get(found, 0)
+        unsure = first["confidence"] < RERANK_BELOW
+        decisive = F.filter(
+            found, lambda c: (c["group"].isin("cat", "dog") & unsure) | (c["group"] == "people")
+        )
+        return F.when(F.length(first["text"]) > 0, F.coalesce(F.get(decisive, 0), first))
+
+    def named(chosen: Column) -> Column:
+        label = F.coalesce(chosen["group"], chosen["text"])
+        return F.when(
+            chosen.isNotNull(), F.struct(chosen["group"].alias("group"), label.alias("label"))
+        )
+
+    return let(let(candidates, choose), named)
 
 
 def _strip(text: Column) -> Column:
@@ -183,12 +176,12 @@ def _strip(text: Column) -> Column:
 
 def lookup_text(label: Column | str) -> Column:
     """The form of a label under which translations are stored."""
-    return _strip(F.lower(_column(label)))
+    return _strip(F.lower(column(label)))
 
 
 def capitalized(label: Column | str) -> Column:
     """First character in upper case, the rest unchanged; '' for NULL."""
-    label = F.coalesce(_column(label), F.lit(""))
+    label = F.coalesce(column(label), F.lit(""))
     return F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1 << 30))
 
 
@@ -200,18 +193,17 @@ def translate_label(
     ``translations`` becomes a map literal in the plan, so it must be a table of known
     small size; see ``operators.categories.translate`` for tables of any size.
     """
-    label = _column(label)
+    label = column(label)
     fallback = capitalized(label)
     known = {name: title for name, title in (translations or {}).items() if title}
     if language != "zh" or not known:
         return fallback
     table = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
     text = lookup_text(label)
-    parts = F.transform(F.split(text, ","), lambda p: F.try_element_at(table, _strip(p)))
-    by_part = F.get(F.filter(parts, lambda p: p.isNotNull()), 0)
-    return F.when(label == "", F.lit("")).otherwise(
-        F.coalesce(F.try_element_at(table, text), by_part, fallback)
-    )
+    # The first try is the whole text, then its comma parts in order.
+    tries = F.concat(F.array(text), F.split(text, ","))
+    names = F.transform(tries, lambda p: F.try_element_at(table, _strip(p)))
+    return F.coalesce(F.get(F.array_compact(names), 0), fallback)
 
 
 def localize(
@@ -222,11 +214,11 @@ def localize(
 ) -> Column:
     """Text of a key: language, else English, else the key; fills ``{name}`` at its first use."""
     text = F.coalesce(
-        F.nullif(_column(translated), F.lit("")), F.nullif(_column(english), F.lit("")), _column(key)
+        F.nullif(column(translated), F.lit("")), F.nullif(column(english), F.lit("")), column(key)
     )
     for name, value in (params or {}).items():
         mark = "{" + name + "}"
-        value = _column(value).cast("string")
+        value = column(value).cast("string")
         at = F.instr(text, mark)
         text = F.when(at > 0, F.overlay(text, value, at, F.lit(len(mark)))).otherwise(text)
     return text
@@ -234,13 +226,13 @@ def localize(
 
 def date_string(taken_at: Column | str) -> Column:
     """Date and minute of an epoch-millisecond column in the session time zone."""
-    return F.date_format(F.timestamp_millis(_column(taken_at)), "yyyy-MM-dd HH:mm")
+    return F.date_format(F.timestamp_millis(column(taken_at)), "yyyy-MM-dd HH:mm")
 
 
 def group_id(*parts: Column | str) -> Column:
     """Deterministic group id from the root asset (and library)."""
-    return F.concat(F.lit("grp_"), F.concat_ws("_", *[_column(p) for p in parts]))
+    return F.concat(F.lit("grp_"), F.concat_ws("_", *[column(p) for p in parts]))
 
 
 def bbox_json(box: Column | str) -> Column:
-    return F.to_json(_column(box))
+    return F.to_json(column(box))

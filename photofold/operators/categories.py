@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photofold.config import DONE, PENDING
+from photofold.functions.binding import let
 from photofold.functions.labels import (
     capitalized,
     lookup_text,
@@ -144,14 +145,8 @@ def categorize(
     single pass over the catalog; ``people_limit=200, labeled_limit=5000`` restrict the two
     inputs to the newest assets.
     """
-    labels = parse_labels("labels_json")
     rows = assets.select(
-        *library_keys(assets),
-        "asset_id",
-        "taken_at",
-        "status",
-        "face_count",
-        labels.alias("_labels"),
+        *library_keys(assets), "asset_id", "taken_at", "status", "face_count", "labels_json"
     )
     if people_limit is None:
         rows = rows.withColumn("_face", F.coalesce(F.col("face_count") > 0, F.lit(False)))
@@ -161,26 +156,47 @@ def categorize(
         rows = rows.withColumn("_labeled", F.col("status") == DONE)
     else:
         rows = _flag_newest(rows, labeled_assets(assets, labeled_limit), "_labeled")
-    by_face = F.col("_face") & ~people_disqualified("_labels")
-    rows = rows.withColumn("_by_face", by_face).filter(F.col("_by_face") | F.col("_labeled"))
-    picked = rows.withColumn("_pick", F.when(~F.col("_by_face"), pick_label("_labels")))
-    titled = translate(
-        picked.withColumn("_name", F.col("_pick.label")), "_name", "_title", language, translations
+
+    def of_face(by_face: Column, labels: Column) -> Column:
+        pick = let(
+            F.when(~by_face, pick_label(labels)),
+            lambda p: F.struct(
+                by_face.alias("from_face"), p["group"].alias("group"), p["label"].alias("label")
+            ),
+        )
+        return F.array(F.when(by_face | F.col("_labeled"), pick))
+
+    found = let(
+        parse_labels("labels_json"),
+        lambda labels: let(
+            F.col("_face") & ~people_disqualified(labels), lambda face: of_face(face, labels)
+        ),
+    )
+    # One array per asset, exploded: a later filter then works on the finished row and
+    # is not pushed down as a second copy of the label logic.
+    picked = rows.filter(F.col("_face") | F.col("_labeled")).select(
+        *library_keys(assets),
+        "asset_id",
+        "taken_at",
+        "face_count",
+        F.explode(F.array_compact(found)).alias("_found"),
     )
-    group = F.col("_pick.group")
+    named = picked.withColumn("_name", F.col("_found.label"))
+    titled = translate(named, "_name", "_title", language, translations)
+    by_face, group = F.col("_found.from_face"), F.col("_found.group")
     face_key = F.when(F.col("face_count") > 1, "people_group").otherwise("people_single")
     return titled.select(
         *library_keys(assets),
         "asset_id",
         "taken_at",
-        F.when(F.col("_by_face") | (group == "people"), PEOPLE)
-        .when(F.col("_pick").isNotNull(), OBJECT)
+        F.when(by_face | (group == "people"), PEOPLE)
+        .when(F.col("_name").isNotNull(), OBJECT)
         .alias("kind"),
-        F.when(F.col("_by_face"), face_key)
+        F.when(by_face, face_key)
         .when(group == "people", "people_single")
-        .when(F.col("_pick").isNotNull(), F.col("_title"))
+        .when(F.col("_name").isNotNull(), F.col("_title"))
         .alias("category"),
-        F.col("_by_face").alias("from_face"),
+        by_face.alias("from_face"),
     )
 
 

@@ -185,8 +185,7 @@ def assign_roots(
         _resolve_block, f"{schema}, _root string, _entry bigint"
     )
     resolved = cut_lineage(resolved)
-    last = resolved.agg(F.max(BLOCK)).first()[0]
-    if last:
+    if resolved.filter(F.col("_root").isNull()).limit(1).count():
         resolved = _chase_blocks(resolved, config.max_compare_count - 1, block_rows)
     return resolved.withColumnRenamed("_root", "root_id").drop("_entry", POSITION, BLOCK)
 

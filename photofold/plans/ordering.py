@@ -20,11 +20,17 @@ PART = "_part"
 ROW_IN_PART = "_row_in_part"
 BLOCK = "_block"
 HOME = "_home"
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 4_000  # with its visitors under the row count Spark's windows keep as plain objects
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a small input has fewer partitions than that; else no change."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sorted_parts(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Sort globally and store the result with each row's partition and row number.
 
