@@ -272,6 +272,19 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           coalesce(len(list_filter(ok, lambda x: x.confidence > 0.4
             AND lower(x.text) IN ({texts(PEOPLE_DISQUALIFIERS)}))) > 0, false) AS people_out FROM parsed))""",
     ),
+    "categorized_limited": (
+        ["picked"],
+        """SELECT asset_id, face AS from_face,
+      CASE WHEN face OR pick_group = 'people' THEN 'people' WHEN pick_label IS NOT NULL THEN 'object' END AS kind,
+      CASE WHEN face THEN CASE WHEN face_count > 1 THEN 'people_group' ELSE 'people_single' END
+           WHEN pick_group = 'people' THEN 'people_single'
+           WHEN pick_label IS NOT NULL THEN upper(pick_label[1]) || pick_label[2:] END AS category
+    FROM (SELECT *, NOT people_out AND face_count > 0 AND coalesce(face_rank, 201) <= 200 AS face,
+        status = 1 AND labeled_rank <= 5000 AS labeled FROM (
+      SELECT *, row_number() OVER (PARTITION BY face_count > 0 ORDER BY taken_at DESC NULLS LAST, asset_id DESC) AS face_rank,
+        row_number() OVER (PARTITION BY status = 1 ORDER BY taken_at DESC NULLS LAST, asset_id DESC) AS labeled_rank
+      FROM picked)) WHERE coalesce(face, false) OR labeled""",
+    ),
     "categorized": (
         ["picked"],
         """SELECT asset_id, taken_at, face AS from_face,
@@ -778,6 +791,8 @@ ORACLES: dict[str, str] = {
         (SELECT asset_id FROM review_state WHERE processed)
       ORDER BY creation_time, asset_id LIMIT 20""",
     ),
+    # A shuffle keeps every row; the order itself is random.
+    "shuffle": with_views("media_listing", "SELECT asset_id FROM media_listing"),
     "processed_last": with_views(
         "dup_groups",
         "SELECT group_id, created_at, best_asset_id IS NULL AS processed FROM dup_groups",
@@ -875,6 +890,10 @@ ORACLES: dict[str, str] = {
     "categorize": with_views(
         "categorized", "SELECT asset_id, kind, category, from_face FROM categorized"
     ),
+    "categorize_limited": with_views(
+        "categorized_limited",
+        "SELECT asset_id, kind, category, coalesce(from_face, false) AS from_face FROM categorized_limited",
+    ),
     # 2.10 streaming
     "stream_ingest": with_views(
         "features",

@@ -35,6 +35,9 @@ def as_events(state: DataFrame) -> DataFrame:
             action(photo & F.col("in_collection_queue"), "collect"),
             action(~photo & F.col("processed"), "processed"),
             action(~photo & F.col("in_trash"), "trash"),
+            # Nothing set: an action without effect keeps the asset in the table.
+            action(photo & ~F.col("processed"), "undo"),
+            action(~photo & ~F.col("processed"), "restore"),
         )
     )
     keys = library_keys(state)
