@@ -423,6 +423,32 @@ ORACLES: dict[str, str] = {
     ),
     "mark_error": f"""SELECT {key('doc_id')} AS asset_id, 2 AS status, 'Image too large' AS error_message
     FROM documents WHERE octet_length(encode(text)) > 20000""",
+    "scan": with_views(
+        ["assets", "media_listing", "features", "detections"],
+        f"""SELECT c.asset_id,
+      CASE WHEN NOT due THEN status WHEN f.asset_id IS NULL THEN 2 ELSE 1 END AS status,
+      round(CASE WHEN due AND f.asset_id IS NOT NULL THEN f.blur_score ELSE c.blur_score END, 6) AS blur_score,
+      CASE WHEN due AND f.asset_id IS NOT NULL THEN f.phash ELSE c.phash END AS phash,
+      CASE WHEN due AND f.asset_id IS NOT NULL THEN 3 ELSE algo_version END AS algo_version,
+      CASE WHEN due AND f.asset_id IS NOT NULL THEN CAST(CASE WHEN len(list_filter(d.raw, lambda x: x.confidence > 0.4
+          AND lower(x.text) IN ({texts(SCAN_DISQUALIFIERS)}) AND x.shown)) > 0 THEN 0
+        ELSE coalesce(len(list_filter(d.face_widths, lambda w: w > coalesce(nullif(c.width, 0), 1000) * 0.1::DOUBLE)), 0)
+        END AS INTEGER) ELSE face_count END AS face_count,
+      CASE WHEN NOT due THEN error_message WHEN f.asset_id IS NULL THEN 'Asset not found or no local URI' END AS error_message,
+      CASE WHEN due AND f.asset_id IS NOT NULL THEN coalesce(len(d.raw) > 0, false) ELSE has_labels END AS has_labels
+    FROM (SELECT coalesce(a.asset_id, l.asset_id) AS asset_id, blur_score, phash, algo_version, error_message, status,
+        CASE WHEN a.asset_id IS NULL THEN l.width ELSE a.width END AS width,
+        CASE WHEN a.asset_id IS NULL THEN 0 ELSE face_count END AS face_count,
+        a.asset_id IS NULL OR status = 0 OR coalesce(a.file_signature <> {LISTING_SIGNATURE}, false)
+          OR (status = 1 AND coalesce(algo_version, 0) < 3) AS due,
+        coalesce(bad_json OR labels IS NOT NULL, false) AS has_labels
+      FROM assets a FULL JOIN (SELECT * FROM media_listing WHERE media_type = 'photo') l ON a.asset_id = l.asset_id) c
+    LEFT JOIN (SELECT {key('doc_id')} AS asset_id, blur_score, phash FROM features JOIN documents
+      ON asset_id = 'd' || doc_id) f ON f.asset_id = c.asset_id
+    LEFT JOIN (SELECT asset_id, face_widths, list_transform(range(0, len(raw)), lambda i: {{'text': raw[i + 1].text,
+      'confidence': raw[i + 1].confidence, 'shown': (event_id + i) % 4 <> 0}}) AS raw FROM detections) d
+      ON d.asset_id = c.asset_id""",
+    ),
     "album_list": with_views(
         "album_assets",
         "SELECT album_id, count(*) AS asset_count FROM album_assets GROUP BY album_id "

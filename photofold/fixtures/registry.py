@@ -16,6 +16,7 @@ from photofold.functions import labels as lab
 from photofold.operators import catalog as cat
 from photofold.operators import categories as cg
 from photofold.operators import faces, groups, quality, review, similarity
+from photofold.operators import scan as scanning
 from photofold.session import shared_folder
 from photofold.sources import media, vocabulary
 from photofold.streaming import catalog as stream_catalog
@@ -221,6 +222,21 @@ def mark_error(spark, sf):
     )
 
 
+@query
+def scan(spark, sf):
+    """A whole scan; documents are the images of the assets with their number."""
+    images = document_bytes(spark, sf).withColumn(
+        "asset_id", v.asset_key(F.substring("asset_id", 2, 20).cast("bigint"))
+    )
+    done = scanning.scan(
+        v.assets(spark, sf), listing(spark, sf, "photo"), images, 3, now(), v.detections(spark, sf)
+    )
+    return done.catalog.select(
+        "asset_id", "status", r6("blur_score"), "phash", "algo_version", "face_count", "error_message",
+        (F.col("labels_json").isNotNull()).alias("has_labels"),
+    )
+
+
 @query
 def album_list(spark, sf):
     bridge = v.album_assets(spark, sf)

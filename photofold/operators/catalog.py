@@ -120,19 +120,23 @@ def mark_results(
 ) -> DataFrame:
     """Write a batch of scan results, one row per asset.
 
-    ``results`` has ``asset_id, blur_score, mean_luma, phash, error_message``: rows with an
-    error become ERROR and keep their features, the others DONE with the new features.
+    ``results`` has ``asset_id, blur_score, mean_luma, phash, error_message`` and maybe
+    ``labels_json, face_count``: rows with an error become ERROR and keep their features,
+    the others DONE with all the new values (stale labels do not survive a re-scan).
     """
     keys = [*library_keys(catalog), "asset_id"]
-    fields = ["blur_score", "mean_luma", "phash", "error_message"]
+    fields = ["blur_score", "mean_luma", "phash"]
+    fields += [c for c in ("labels_json", "face_count") if c in results.columns]
     incoming = results.select(
-        *keys, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_touched")
+        *keys,
+        *[F.col(c).alias(f"_new_{c}") for c in [*fields, "error_message"]],
+        F.lit(True).alias("_touched"),
     )
     both = catalog.join(incoming, keys, "left")
     touched = F.coalesce(F.col("_touched"), F.lit(False))
     done = touched & F.col("_new_error_message").isNull()
     new_values = {
-        **{c: F.when(done, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fields[:3]},
+        **{c: F.when(done, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fields},
         "error_message": F.when(touched, F.col("_new_error_message")).otherwise(
             F.col("error_message")
         ),
