@@ -216,11 +216,12 @@ def _chase_blocks(resolved: DataFrame, look_back: int, block_rows: int) -> DataF
             )
         )
     found = ends.select(F.col(POSITION).alias("_at"), F.col("_root").alias("_end_root"))
-    return (
-        resolved.join(found, _entry_key() == F.col("_at"), "left")
-        .withColumn("_root", F.coalesce("_root", "_end_root"))
-        .drop("_at", "_end_root")
+    # Only rows that lead out of their block are joined; the others keep their place.
+    open_rows = resolved.filter(F.col("_root").isNull()).drop("_root")
+    closed = open_rows.join(found, F.col("_entry") == F.col("_at")).withColumnRenamed(
+        "_end_root", "_root"
     )
+    return resolved.filter(F.col("_root").isNotNull()).unionByName(closed.drop("_at"))
 
 
 def dup_groups(
