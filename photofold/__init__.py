@@ -1,3 +1,11 @@
 """Photo and video library analytics as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with their code, so executors
+# need no installation of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from photofold.operators import catalog as cat
 from photofold.operators import categories as cg
 from photofold.operators import faces, groups, quality, review, similarity
 from photofold.operators import scan as scanning
-from photofold.session import shared_folder
+from photofold.session import run_folder
 from photofold.sources import media, vocabulary
 from photofold.streaming import catalog as stream_catalog
 from photofold.streaming import ingest
@@ -89,10 +88,6 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return exploded.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read_new_files(spark, sf, EVENTS, glob="events.parquet")
 
@@ -919,7 +914,7 @@ def categorize_limited(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    folder = run_folder(spark)
+    folder = run_folder(spark, "stream")
     docs = ingest.read_new_files(spark, sf, DOCUMENTS, glob="documents.parquet")
     images = docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("asset_id"),
@@ -933,21 +928,21 @@ def stream_ingest(spark, sf):
 
 @query
 def stream_dup_groups(spark, sf):
-    stream = GroupStream(run_folder(spark))
+    stream = GroupStream(run_folder(spark, "stream"))
     ingest.run_available(stream.start(asset_stream(spark, sf)))
     return stream.members(spark).select("group_id", "asset_id", "distance_to_parent")
 
 
 @query
 def stream_status(spark, sf):
-    folder = run_folder(spark)
+    folder = run_folder(spark, "stream")
     ingest.run_available(ingest.stream_status(asset_stream(spark, sf), folder))
     return spark.read.parquet(f"{folder}/counts/{0:012d}")
 
 
 @query
 def stream_upsert(spark, sf):
-    folder = run_folder(spark)
+    folder = run_folder(spark, "stream")
     ingest.run_available(stream_catalog.stream_upsert(_updates(event_stream(spark, sf)), folder))
     log = spark.read.parquet(f"{folder}/log")
     return stream_catalog.current_catalog(v.assets(spark, sf), log, "seq", now()).select(*_UPSERTED)
@@ -955,7 +950,7 @@ def stream_upsert(spark, sf):
 
 @query
 def stream_review(spark, sf):
-    stream = ReviewStream(run_folder(spark))
+    stream = ReviewStream(run_folder(spark, "stream"))
     ingest.run_available(stream.start(v.project_reviews(event_stream(spark, sf))))
     return stream.state(spark, 0)
 

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from photofold.plans.ordering import (
     with_position,
 )
 from photofold.schemas import library_keys
-from photofold.session import cut_lineage
+from photofold.session import cut_lineage, cut_lineage_in_order
 
 
 def to_group(assets: DataFrame) -> DataFrame:
@@ -134,28 +136,23 @@ def count_compared(
     )
 
 
-def _resolve_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _resolve_block(block: pa.Table) -> pa.Table:
     """Follow parents inside one block; rows leading out keep the position they lead to."""
-    pdf = pdf.sort_values(POSITION, kind="stable")
-    first = int(pdf[POSITION].iloc[0])
-    parent = pdf["_parent"].to_numpy(np.int64)
-    inside = parent >= first
-    here = np.arange(len(pdf))
-    up = np.where(inside, parent - first, here)
+    block = block.sort_by(POSITION)
+    first = block[POSITION][0].as_py()
+    parent = block["_parent"].to_numpy()
+    up = np.where(parent >= first, parent - first, np.arange(len(parent)))
     while True:
         further = up[up]
         if np.array_equal(further, up):
             break
         up = further
     leads_out = parent[up] >= 0  # the top row has a parent in the block before
-    root = pdf["_root"].to_numpy(object)[up]
-    return pd.DataFrame(
-        {
-            **{c: pdf[c].to_numpy() for c in pdf.columns if c not in ("_parent", "_root")},
-            "_root": np.where(leads_out, None, root),
-            "_entry": np.where(leads_out, parent[up], -1),
-        }
-    )
+    # A root that is not known yet stays NULL until the end rows are resolved.
+    root = pc.if_else(pa.array(leads_out), pa.scalar(None, pa.string()), block["_root"].take(up))
+    entry = pa.array(np.where(leads_out, parent[up], -1))
+    kept = block.drop_columns(["_parent", "_root"])
+    return kept.append_column("_root", root).append_column("_entry", entry)
 
 
 def assign_roots(
@@ -169,7 +166,6 @@ def assign_roots(
     keys = library_keys(rows)
     linked = _nearest_earlier(rows, config, block_rows, with_parent_id=False)
     new = F.col("_root").isNull()
-    columns = [*keys, "asset_id", "grouped", POSITION, BLOCK, "distance_to_parent"]
     links = linked.select(
         *keys,
         "asset_id",
@@ -180,48 +176,50 @@ def assign_roots(
         F.when(new, F.coalesce(F.col("_parent"), F.lit(-1))).otherwise(F.lit(-1)).alias("_parent"),
         F.coalesce("_root", "asset_id").alias("_root"),
     )
-    schema = ", ".join(f"{c} {links.schema[c].dataType.simpleString()}" for c in columns)
-    resolved = links.groupBy(BLOCK).applyInPandas(
-        _resolve_block, f"{schema}, _root string, _entry bigint"
-    )
-    resolved = cut_lineage(resolved)
-    if resolved.filter(F.col("_root").isNull()).limit(1).count():
-        resolved = _chase_blocks(resolved, config.max_compare_count - 1, block_rows)
-    return resolved.withColumnRenamed("_root", "root_id").drop("_entry", POSITION, BLOCK)
-
+    resolved = _resolve(links, config.max_compare_count - 1, block_rows)
+    return resolved.withColumnRenamed("_root", "root_id").drop(POSITION, BLOCK)
 
-def _entry_key() -> Column:
-    """Where a row leads, or a number of its own that matches nothing (no hot NULL key)."""
-    return F.when(F.col("_root").isNull(), F.col("_entry")).otherwise(-F.col(POSITION) - 1)
 
+def _resolve(links: DataFrame, look_back: int, block_rows: int) -> DataFrame:
+    """Replace each row's own id in ``_root`` by that of its topmost ancestor.
 
-def _chase_blocks(resolved: DataFrame, look_back: int, block_rows: int) -> DataFrame:
-    """Pointer jumping over the last rows of each block: a few rows per block, log rounds."""
-    ends = cut_lineage(
-        resolved.filter(F.col(POSITION) % block_rows >= block_rows - look_back).select(
-            POSITION, "_root", "_entry"
-        )
+    Parents lie at most ``look_back`` positions back. Blocks resolve on their own; what
+    leads out of a block leads to one of the last rows of the block before. Those last rows,
+    numbered anew, are the same problem some hundred times smaller.
+    """
+    kept = [c for c in links.columns if c not in ("_parent", "_root")]
+    types = ", ".join(f"{c} {links.schema[c].dataType.simpleString()}" for c in kept)
+    resolved = cut_lineage(
+        links.groupBy(BLOCK).applyInArrow(_resolve_block, f"{types}, _root string, _entry bigint")
     )
-    while ends.filter(F.col("_root").isNull()).limit(1).count():
-        target = ends.select(
-            F.col(POSITION).alias("_at"),
-            F.col("_root").alias("_next_root"),
-            F.col("_entry").alias("_next_entry"),
-        )
-        ends = cut_lineage(
-            ends.join(target, _entry_key() == F.col("_at"), "left").select(
-                POSITION,
-                F.coalesce("_root", "_next_root").alias("_root"),
-                F.coalesce("_next_entry", "_entry").alias("_entry"),
-            )
-        )
-    found = ends.select(F.col(POSITION).alias("_at"), F.col("_root").alias("_end_root"))
-    # Only rows that lead out of their block are joined; the others keep their place.
-    open_rows = resolved.filter(F.col("_root").isNull()).drop("_root")
-    closed = open_rows.join(found, F.col("_entry") == F.col("_at")).withColumnRenamed(
-        "_end_root", "_root"
+    leading_out = resolved.filter(F.col("_root").isNull())
+    if not leading_out.limit(1).count():
+        return resolved.drop("_entry")
+    in_block = F.col(POSITION) % block_rows
+
+    def end_number(position: Column) -> Column:
+        block = F.floor(position / block_rows)
+        return block * look_back + position % block_rows - (block_rows - look_back)
+
+    # An end row and the one it leads to are less than two blocks' worth of end rows apart.
+    next_back = 2 * look_back - 1
+    next_rows = max(block_rows, 4 * next_back)
+    ends = resolved.filter(in_block >= block_rows - look_back).select(
+        end_number(F.col(POSITION)).alias(POSITION),
+        F.when(F.col("_root").isNull(), end_number(F.col("_entry"))).otherwise(-1).alias("_parent"),
+        "_root",
+    )
+    ends = ends.withColumn(BLOCK, F.floor(F.col(POSITION) / next_rows))
+    found = _resolve(ends, next_back, next_rows).select(
+        F.col(POSITION).alias("_at"), F.col("_root").alias("_end_root")
+    )
+    # Only rows that lead out are joined; at most one block of them shares a key.
+    closed = leading_out.drop("_root").join(found, end_number(F.col("_entry")) == F.col("_at"))
+    return (
+        resolved.filter(F.col("_root").isNotNull())
+        .unionByName(closed.withColumnRenamed("_end_root", "_root").drop("_at"))
+        .drop("_entry")
     )
-    return resolved.filter(F.col("_root").isNotNull()).unionByName(closed.drop("_at"))
 
 
 def dup_groups(
@@ -330,7 +328,8 @@ def find_similar(
         F.col("taken_at") + config.window_ms,
         True,
     ).filter("_usable")
-    parts = sorted_parts(data.unionAll(probes), [*keys, "_time", "_probe", "asset_id"])
+    in_time = [*keys, "_time", "_probe", "asset_id"]
+    parts = sorted_parts(data.unionAll(probes), in_time, cut_lineage_in_order)
     last = _last_rows(parts, config.max_compare_count)
     ends = catalog.sparkSession.sparkContext.broadcast(last)
     types = "".join(f"{k} {catalog.schema[k].dataType.simpleString()}, " for k in keys)

@@ -8,7 +8,7 @@ range. Fixed-size blocks of consecutive numbers then serve look-back windows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +31,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def sorted_parts(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def sorted_parts(
+    df: DataFrame, order: Sequence[Column | str], store: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
     """Sort globally and store the result with each row's partition and row number.
 
     The sort is written out because range bounds are sampled: a plan that sorted
     twice could cut the data at different places.
     """
-    ordered = cut_lineage(df.orderBy(*order).withColumn("_rid", F.monotonically_increasing_id()))
+    ordered = store(df.orderBy(*order).withColumn("_rid", F.monotonically_increasing_id()))
     return ordered.withColumns(
         {
             PART: F.shiftright("_rid", _ROW_BITS).cast("int"),
