@@ -67,12 +67,11 @@ def _nearest_earlier(
         return blocks.withColumns(
             {"_parent": F.lit(None).cast("bigint"), "distance_to_parent": F.lit(None).cast("int")}
         )
-    fields = [*keys, "taken_at", "_bits"]
+    fields = [*keys, "taken_at", "_bits", *(["asset_id"] if with_parent_id else [])]
     steps = range(1, look_back + 1)
     earlier = blocks.select(
         "*",
         *[F.lag(F.struct(*fields), k).over(block_window()).alias(f"_back{k}") for k in steps],
-        *[F.lag("asset_id", k).over(block_window()).alias(f"_id{k}") for k in steps if with_parent_id],
     ).filter(HOME)
 
     def score(k: int) -> Column:
@@ -95,9 +94,9 @@ def _nearest_earlier(
         }
     )
     if with_parent_id:
-        ids = F.array(*[F.col(f"_id{k}") for k in steps])
+        ids = F.array(*[F.col(f"_back{k}.asset_id") for k in steps])
         out = out.withColumn("parent_id", F.get(ids, (back_by - 1).cast("int")))
-    return out.drop("_best", *[f"_back{k}" for k in steps], *[f"_id{k}" for k in steps])
+    return out.drop("_best", *[f"_back{k}" for k in steps])
 
 
 def dup_edges(
