@@ -280,12 +280,9 @@ def fold_videos(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Per video: reviewed?, in the trash?"""
     keys = [*library_keys(events), "media_type", "asset_id"]
     rows = events.filter((F.col("media_type") == "video") & F.col("asset_id").isNotNull())
-    marks = rows.select(*keys, "seq", "action").filter(F.col("action") != "restore")
-    every_restore = rows.filter(F.col("action") == "restore").select(
-        *keys, "seq", F.lit("try_restore").alias("action")
-    )
+    action = F.when(F.col("action") == "restore", "try_restore").otherwise(F.col("action"))
     per_asset = (
-        marks.unionByName(every_restore)
+        rows.select(*keys, "seq", action.alias("action"))
         .unionByName(effective_restores(events, block_rows))
         .groupBy(*keys)
         .agg(
