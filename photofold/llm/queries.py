@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photofold.llm import line_dedup, token_files
+from photofold.llm import line_dedup, mixing, token_files
 from photofold.llm.common import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mixed_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -30,6 +35,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op6_token_files": op6_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
