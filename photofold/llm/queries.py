@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photofold.llm import line_dedup, mixing, quality_rules, secrets, token_files
+from photofold.llm import html_extraction, line_dedup, mixing, quality_rules, secrets, token_files
 from photofold.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -47,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
