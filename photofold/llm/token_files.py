@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photofold.llm.common import id_and_text, pieces, task_count
+from photofold.llm.words import Bytes
 from photofold.session import run_folder
 
 BLOCK_IDS = 1 << 17
@@ -40,15 +41,30 @@ BLOCK_SCHEMA = (
 # Texts of these characters alone are lower-cased and cut into letters, digits and other marks just as the
 # tokenizer would: no apostrophe, no special token, nothing that another Unicode version may class otherwise.
 _OTHER = re.compile("[^\n\r\t !-&(-;=-~ªµºÀ-ÖØ-öø-ÿ¡¿«»·–—’“”…•]")
-_PIECE = re.compile("[a-zªµºß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ªµºß-öø-ÿ]+")
 _GAP = re.compile("[ \n\r\t]+")
+_SPACE, _LETTER, _MARK, _DIGIT = range(4)
+_TOGETHER = 64
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of every byte of lower-case UTF-8 made of the characters above."""
+    kind = np.full(256, _MARK, np.uint8)
+    kind[[9, 10, 13, 32]] = _SPACE
+    kind[ord("0") : ord("9") + 1] = _DIGIT
+    kind[ord("a") : ord("z") + 1] = _LETTER
+    out = kind[data]
+    lead = np.flatnonzero((data == 0xC3) | (data == 0xC2))
+    low, second = data[lead] == 0xC2, data[lead + 1]
+    letter = np.where(low, np.isin(second, [0xAA, 0xB5, 0xBA]), (second != 0x97) & (second != 0xB7))
+    out[lead[letter]] = out[lead[letter] + 1] = _LETTER
+    return out
 
 
 class WordEncoder:
-    """Ids of whole texts by the given tokenizer; each distinct word is encoded once.
+    """Ids of whole texts by the given tokenizer; a word that comes again is not encoded again.
 
     White space always ends a word of this kind of tokenizer, so a text's ids are those of its words in
-    turn. At most ``CACHED_WORDS`` words are kept.
+    turn. At most ``CACHED_WORDS`` words are kept from one batch to the next.
     """
 
     def __init__(self, path: str):
@@ -56,6 +72,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
@@ -66,22 +84,74 @@ class WordEncoder:
             encoders[path] = cls(path)
         return encoders[path]
 
-    def words(self, text: str) -> list[str]:
-        if _OTHER.search(text):
-            return _GAP.split(text)
-        return _PIECE.findall(text.lower())
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
-        cut = [self.words(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        known = self.known
-        new = list({w for words in cut for w in words if w not in known})
+        plain = [not _OTHER.search(t) for t in texts]
+        fast = iter(self._plain([t for t, p in zip(texts, plain) if p]))
+        return [next(fast) if p else self._any(t) for t, p in zip(texts, plain)]
+
+    def _any(self, text: str) -> bytes:
+        """Cut at white space only; right for every text."""
+        words = _GAP.split(text)
+        new = list(set(words).difference(self.known))
         for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Cut into words as arrays; each batch looks up its distinct words only."""
+        b = Bytes([t.lower().encode() for t in texts])
+        if not len(b.data):
+            return [b""] * len(texts)
+        kind = _classes(b.data)
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        new[b.start[b.start < b.end]] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(kind))
+        word = kind[start] != _SPACE
+        start, end = start[word], end[word]
+        if not len(start):
+            return [b""] * len(texts)
+        keys = b.hashes(start, end)
+        bits = max(10, int(len(keys)).bit_length() + 1)
+        slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        owner = np.zeros(1 << bits, np.int64)
+        owner[slot] = np.arange(len(keys))
+        owner = owner[slot]  # a place where the same word stands; words that share a slot stand for themselves
+        owner = np.where(keys[owner] == keys, owner, np.arange(len(keys)))
+        chosen = np.flatnonzero(np.bincount(owner, minlength=len(keys)))
+        index = np.zeros(len(keys), np.int64)
+        index[chosen] = np.arange(len(chosen))
+        index = index[owner]
+        raw = b.data.tobytes()
+        ids = self._look_up([raw[x:y] for x, y in zip(start[chosen].tolist(), end[chosen].tolist())])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        each = size[index]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(first[index] - (ends - each), each) + np.arange(int(ends[-1]))].tobytes()
+        edges = np.concatenate([[0], ends])[np.searchsorted(start, np.append(b.start, len(kind)))] * 4
+        return [out[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        known = self.known
+        new = list(set(words).difference(known))
+        groups = [new[i : i + _TOGETHER] for i in range(0, len(new), _TOGETHER)]
+        texts = [b" ".join(g).decode() for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(group):
+                raise ValueError("not a tokenizer whose words all end in </w>")
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(group, ends.tolist()):
+                known[word] = raw[begin:end]
+                begin = end
+        return list(map(known.__getitem__, words))
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,16 +200,26 @@ def _length_of(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarra
     return out
 
 
-def expand(sequence: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    out = sequence
-    while len(out) and (made := out >= base).any():
+def expand(sequence: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that the symbols stand for: every rule is expanded once, then copied to its places."""
+    if not len(rules) or not len(sequence):
+        return sequence
+    flat = np.arange(base, base + len(rules))
+    while (made := flat >= base).any():
         width = np.where(made, 2, 1)
         start = np.cumsum(width) - width
         longer = np.empty(int(width.sum()), np.int64)
-        longer[start] = np.where(made, rules[np.where(made, out - base, 0), 0], out)
-        longer[start[made] + 1] = rules[out[made] - base, 1]
-        out = longer
+        longer[start] = np.where(made, rules[np.where(made, flat - base, 0), 0], flat)
+        longer[start[made] + 1] = rules[flat[made] - base, 1]
+        flat = longer
+    size = _length_of(sequence, base, lengths)
+    ends = np.cumsum(size)
+    made = sequence >= base
+    first = np.cumsum(lengths) - lengths
+    out = np.repeat(np.where(made, 0, sequence), size)
+    shift = np.repeat(first[sequence[made] - base] - (ends - size)[made], size[made])
+    inside = np.flatnonzero(np.repeat(made, size))
+    out[inside] = flat[shift + inside]
     return out
 
 
@@ -149,7 +229,7 @@ def decode_range(block, start: int, stop: int) -> np.ndarray:
     ends = np.cumsum(_length_of(seq, base, lengths))
     first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
     before = int(ends[first - 1]) if first else 0
-    return expand(seq[first : last + 1], base, rules)[start - before : stop - before]
+    return expand(seq[first : last + 1], base, rules, lengths)[start - before : stop - before]
 
 
 def pack(base: int, rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray) -> dict:
@@ -217,7 +297,7 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema)
 
         total = 0
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 22):
             for name, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids.append(own + end)
                 names.append(name)
@@ -247,8 +327,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                base, rules, _, seq = unpack(row)
-                ids = expand(seq, base, rules).astype("<u4")
+                base, rules, lengths, seq = unpack(row)
+                ids = expand(seq, base, rules, lengths).astype("<u4")
                 n = np.array(row["doc_lengths"], np.int64)
                 local = np.cumsum(n) - n
                 starts = row["part_start"] + row["start_in_part"] + local
