@@ -97,11 +97,15 @@ class Templates:
         ink = np.where((data == 32) | (data == 9) | (data == 13), -1, np.arange(n))
         ink = np.concatenate([[-1], np.maximum.accumulate(ink)])[self.start]
         begins = (ink < b.start[self.doc]) | np.isin(data[np.maximum(ink, 0)], np.frombuffer(b".!?:;\n\"(|", np.uint8))
-        upper = raw[self.start] != data[self.start]
-        two = data[self.start] >= 0xC0
-        second = np.minimum(self.start + 1, n - 1)
-        upper |= two & (raw[second] != data[second])
-        name = upper & ~begins & ~number & ~unit
+        # Capitals throughout are a way of writing, not names: the second letter must be a small one.
+        changed = np.concatenate([[0], np.cumsum(raw != data)])
+        lead = data[self.start]
+        after_first = np.minimum(self.start + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), self.end)
+        lead = data[np.minimum(after_first, n - 1)]
+        after_second = np.minimum(after_first + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), self.end)
+        upper = changed[after_first] > changed[self.start]
+        small = (after_second > after_first) & (changed[after_second] == changed[after_first])
+        name = upper & small & ~begins & ~number & ~unit
         self.key = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, self.key)))
         self.slot = number | name | unit
 
