@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photofold.llm import decontamination, html_extraction, line_dedup, mixing, quality_rules, secrets, token_files
+from photofold.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secrets, token_files
 from photofold.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs, line_dedup.batches_of_files(docs))
@@ -60,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
+    "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
 }
