@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photofold.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secrets, token_files
+from photofold.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secrets, substring_dedup, token_files
 from photofold.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
