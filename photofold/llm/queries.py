@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photofold.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secrets, substring_dedup, token_files
+from photofold.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secrets, substring_dedup, suffix_dedup, token_files
 from photofold.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mixed_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -62,6 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_html_extraction": op4_html_extraction,
