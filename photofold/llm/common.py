@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photofold.session import cut_lineage
+
 #: ASCII white space: tab, line feed, vertical tab, form feed, carriage return, space.
 SPACES = "\t\n\x0b\x0c\r "
 
@@ -46,9 +47,8 @@ def _lengths(column) -> list:
     return pc.binary_length(column).to_pylist()
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
-def flat(lists: Iterable[Iterable]) -> list:
-    return list(chain.from_iterable(lists))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, stored so that it stays the same, and that column's name."""
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"_row{'_' * k}" for k in range(len(taken) + 1)) if n not in taken)
+    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from photofold.llm.common import id_and_text, pieces
 from photofold.llm.words import Bytes, mix
+from photofold.plans.hot_keys import broadcast_if_fits
 from photofold.session import cut_lineage
 
 WINDOW = 8
@@ -252,3 +253,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
         run, "doc_id long, item_id long, n_tokens int, n_windows long, n_covered int"
     )
     return counted.filter((F.col("n_covered") >= LEAST_SHARE * F.col("n_tokens")) | (F.col("n_covered") >= ENOUGH_TOKENS))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose id no leak names; all columns are kept."""
+    leaks = cut_lineage(find_leaks(docs, items, **options).select(F.col("doc_id").alias("leaking")).distinct())
+    return docs.join(broadcast_if_fits(leaks), docs["doc_id"].eqNullSafe(F.col("leaking")), "left_anti")

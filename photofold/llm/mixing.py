@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photofold.llm.common import task_count
+from photofold.llm.common import numbered, task_count
 from photofold.session import cut_lineage
 
 SEED = 20
@@ -101,8 +101,8 @@ def mix(
 ) -> DataFrame:
     """The mixture as packets in its global order.
 
-    ``docs`` has ``doc_id``, ``source`` and ``size`` (words, not null). Returns for each packet
-    ``row_id`` (of its document), ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copy`` (0,
+    ``docs`` has ``doc_id``, ``source`` and ``size`` (words, not null), and may have a unique ``row_id``. Returns for
+    each packet ``row_id`` (of its document), ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copy`` (0,
     1, ...), ``finish`` (virtual time), ``words``, ``position`` (increasing in the global order) and ``taken`` (all
     words, those up to the cut, or 0).
 
@@ -115,7 +115,10 @@ def mix(
     partitions, since it is sorted by its shuffled order too.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("size").cast("long").alias("size"))
+    own = F.col("row_id") if "row_id" in docs.columns else F.lit(None)
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("size").cast("long").alias("size"), own.cast("long").alias("own")
+    )
     known = source_targets(sized, weights, share, most)
     budget = int(round(sum(t for _, _, t in known)))
     schema = "source string, number int, source_size long, target double"
@@ -126,9 +129,9 @@ def mix(
     # 1. Each document's place in its queue.
     drawn = sized.join(plan, F.col("source").eqNullSafe(F.col("its"))).drop("its")
     drawn = drawn.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
-    order = ["number", "draw", "doc_id", "size"]
+    order = ["number", "draw", "doc_id", "size", "own"]
     queued = drawn.repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("draw")
-    columns = "doc_id long, size long, number int, source_size long, target double"
+    columns = "doc_id long, size long, own long, number int, source_size long, target double"
     queued = cut_lineage(
         queued.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(
             _numbered("_inside", "number", "size"), f"{columns}, _part long, _row long, _inside long"
@@ -142,7 +145,7 @@ def mix(
     last = F.greatest(F.ceil(F.col("size") / packet_words).cast("long") - 1, F.lit(0))
     packets = (
         queued.select(
-            F.shiftleft("_part", 33).bitwiseOR(F.col("_row")).alias("row_id"),
+            F.coalesce("own", F.shiftleft("_part", 33).bitwiseOR(F.col("_row"))).alias("row_id"),
             "doc_id", "size", "number", "source_size", "target", place.alias("place"),
             F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"),
         )
@@ -186,3 +189,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .agg(F.sum("taken").alias("taken"))
         .drop("row_id")
     )
+
+
+def mixed_copies(docs: DataFrame, **options) -> DataFrame:
+    """The mixture in whole documents: each row of ``docs`` as often as the mix takes half of it or more.
+
+    ``docs`` has ``doc_id``, ``source`` and ``text``; all columns are kept. Documents of no words add nothing and go.
+    """
+    rows, name = numbered(docs)
+    sized = rows.select(F.col(name).alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    copies = (
+        mix(sized, **options)
+        .groupBy("row_id", "copy")
+        .agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
+        .filter("taken > 0 and 2 * taken >= size")
+        .groupBy(F.col("row_id").alias(name))
+        .agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    )
+    again = F.explode(F.sequence(F.lit(1), copies["copies"]))
+    return rows.join(copies, name).select(*[rows[c] for c in docs.columns], again.alias(name)).drop(name)

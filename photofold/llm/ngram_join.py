@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photofold.llm.common import id_and_text, pieces, task_count
+from photofold.llm.common import id_and_text, numbered, pieces
 from photofold.llm.components import components
 from photofold.llm.words import Words, mix
 from photofold.session import cut_lineage
@@ -178,7 +178,7 @@ def similar_documents(
     rows: int = ROWS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``class_id``, ``n_links``, and the set's key ``h1``, ``h2``.
+    """One row per input row: ``doc_id``, ``class_id``, ``n_links`` and ``class_number`` (unique, null for texts of no words).
 
     Two documents are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``threshold`` or
     more; ``n_links`` counts the other rows linked to this one, copies too. ``class_id`` is the least id of all rows
@@ -231,18 +231,35 @@ def similar_documents(
     final = components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
 
-    numbered = classes.join(links, "node", "left").join(final, "node", "left").select(
+    counted = classes.join(links, "node", "left").join(final, "node", "left").select(
         "h1", "h2", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", F.col("node")).alias("label")
     )
-    numbered = cut_lineage(numbered)
-    names = numbered.groupBy("label").agg(F.min("least").alias("class_id"))
-    by_set = numbered.join(names, "label").select("h1", "h2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    counted = cut_lineage(counted)
+    names = counted.groupBy("label").agg(F.min("least").alias("class_id"))
+    by_set = counted.join(names, "label").select(
+        "h1", "h2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("label").alias("class_number")
+    )
     left = sets.select("doc_id", "h1", "h2")
-    out = left.filter("h1 is not null").join(by_set, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "h1", "h2")
-    alone = left.filter("h1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "h1", "h2")
+    out = left.filter("h1 is not null").join(by_set, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "class_number")
+    alone = left.filter("h1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long"))
     return out.union(alone)
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are left when one document of each class stays, the one with the least id.
+
+    Null ids come last, and of equal ids one row stays. Texts of no words are in no class, so all of them stay.
+    """
+    rows, name = numbered(docs)
+    found = similar_documents(rows.select(F.col(name).alias("doc_id"), "text"), **options)
+    ids = rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id"))
+    classed = found.filter("class_number is not null").join(ids, F.col("doc_id") == F.col("row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    stay = classed.groupBy("class_number").agg(first.alias("first")).select(F.col("first.row").alias(name))
+    alone = found.filter("class_number is null").select(F.col("doc_id").alias(name))
+    return rows.join(stay.union(alone), name, "left_semi").drop(name)
+
+
 def _longs(column: str, count: int):
     """The ``count`` 8-byte pieces of a binary column, as hash keys."""
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.xxhash64(F.substring(F.col(column), k * 8 + 1, F.lit(8))))
