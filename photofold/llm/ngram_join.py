@@ -29,7 +29,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 7
 BLOCK = 256
-COLUMNS = 1 << 14
+COLUMNS = 1 << 13
 
 
 def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -63,14 +63,18 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
 
 
 def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key per band, of the minima of ``rows`` hash functions."""
-    minima = np.empty(bands * rows, np.uint64)
-    for k in range(bands * rows):
-        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
-        minima[k] = ((own ^ (own >> np.uint64(29))) * odd ^ np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).min()
+    """One key per band, of the minima of ``rows`` hash functions of 32 bits."""
+    k = np.arange(1, bands * rows + 1, dtype=np.uint64)
+    factor = (mix(k) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+    flip = (mix(k + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32)[:, None]
+    short, least = (own >> np.uint64(32)).astype(np.uint32), None
+    for x in range(0, len(short), 4096):
+        part = ((short[x : x + 4096] ^ flip) * factor).min(axis=1)
+        least = part if least is None else np.minimum(least, part)
+    minima = least.astype(np.uint64).reshape(bands, rows)
     total = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
-        total = mix(total * np.uint64(0x9FB21C651E98DF25) + minima.reshape(bands, rows)[:, r])
+        total = mix(total * np.uint64(0x9FB21C651E98DF25) + minima[:, r])
     return total
 
 
@@ -78,7 +82,7 @@ def _sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """``doc_id``, ``h1``, ``h2`` (null for texts of no words), ``n`` shingles and the ``bands`` keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 21):
+        for batch in pieces(batches, 1 << 20):
             keys, sizes, bands_ = [], [], []
             for own in shingle_sets([t or b"" for t in batch.column(1).to_pylist()], words):
                 keys.append(set_key(own) if len(own) else (None, None))
@@ -212,7 +216,7 @@ def similar_documents(
     located = texts.join(wanted.withColumnRenamed("least", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).drop("at", "doc_id")
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 21):
+        for batch in pieces(batches, 1 << 20):
             own = shingle_sets([t or b"" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], words)
             keys = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h1", "h2")))
             same = [len(x) > 0 and set_key(x) == k for x, k in zip(own, keys)]  # another row with this id may differ
