@@ -214,6 +214,28 @@ VIEWS: dict[str, tuple[list[str], str]] = {
       CASE WHEN ascii(b64[CAST(i * (n // 65) + 1 AS INTEGER)]) < ascii(b64[CAST((i + 1) * (n // 65) + 1 AS INTEGER)])
       THEN CAST(pow(2, i) AS UBIGINT) ELSE 0::UBIGINT END)) AS UBIGINT)), 16, '0')) END AS phash
   FROM (SELECT asset_id, b64, length(b64) AS n FROM content)""",
+    ),
+    "pending_features": (
+        ["assets", "features"],
+        """SELECT a.asset_id, f.asset_id IS NULL AS bad, f.blur_score, f.mean_luma, f.phash
+    FROM (SELECT * FROM assets WHERE status = 0) a LEFT JOIN
+      (SELECT CAST(asset_id[2:] AS BIGINT) AS n, * FROM features WHERE asset_id[1] = 'd') f ON a.event_id = f.n""",
+    ),
+    "next_hash": (
+        ["assets"],
+        """SELECT asset_id, CAST('0x' || phash AS UBIGINT) AS mine,
+      CAST('0x' || lead(phash) OVER (ORDER BY event_id) AS UBIGINT) AS other,
+      lead(event_id) OVER (ORDER BY event_id) = event_id + 1 AS follows FROM assets""",
+    ),
+    "chain_targets": (
+        [],
+        """SELECT 'g' || user_id AS source_id, 'g' || (user_id - user_id % 4) AS target_id FROM events
+    WHERE user_id % 4 <> 0 GROUP BY user_id""",
+    ),
+    "summary": (
+        ["roots", "scored"],
+        """SELECT root_id, count(*) AS n, first(asset_id ORDER BY score DESC, asset_id) AS best_asset_id
+    FROM roots JOIN scored USING (asset_id) GROUP BY root_id HAVING count(*) > 1""",
     ),
     "scan_order": (
         ["assets"],
@@ -406,23 +428,25 @@ ORACLES: dict[str, str] = {
       ORDER BY taken_at DESC, asset_id DESC LIMIT 1)""",
     ),
     "mark_results": with_views(
-        ["assets", "features"],
+        ["assets", "pending_features"],
         f"""SELECT a.asset_id, CASE WHEN f.asset_id IS NULL OR bad THEN a.blur_score ELSE round(f.blur_score, 6) END AS blur_score,
       CASE WHEN f.asset_id IS NULL OR bad THEN a.phash ELSE f.phash END AS phash,
       CASE WHEN f.asset_id IS NULL THEN a.status WHEN bad THEN 2 ELSE 1 END AS status,
-      CASE WHEN f.asset_id IS NULL THEN a.error_message WHEN bad THEN 'Image too large' END AS error_message,
+      CASE WHEN f.asset_id IS NULL THEN a.error_message WHEN bad THEN 'Asset not found or no local URI' END AS error_message,
       CASE WHEN f.asset_id IS NULL OR bad THEN a.algo_version ELSE 5 END AS algo_version,
       CASE WHEN f.asset_id IS NULL THEN a.updated_at ELSE {NOW} END AS updated_at
-    FROM assets a LEFT JOIN (SELECT d.doc_id AS n, f.*, octet_length(encode(d.text)) > 20000 AS bad
-      FROM features f JOIN documents d ON f.asset_id = 'd' || d.doc_id) f ON a.event_id = f.n""",
+    FROM assets a LEFT JOIN pending_features f USING (asset_id)""",
     ),
     "mark_done": with_views(
-        ["features"],
-        f"""SELECT {key('d.doc_id')} AS asset_id, round(blur_score, 6) AS blur_score, mean_luma, phash, 1 AS status
-    FROM features f JOIN documents d ON f.asset_id = 'd' || d.doc_id WHERE octet_length(encode(d.text)) <= 20000""",
+        "pending_features",
+        """SELECT asset_id, round(blur_score, 6) AS blur_score, mean_luma, phash, 1 AS status
+    FROM pending_features WHERE NOT bad""",
+    ),
+    "mark_error": with_views(
+        "pending_features",
+        """SELECT asset_id, 2 AS status, 'Asset not found or no local URI' AS error_message
+    FROM pending_features WHERE bad""",
     ),
-    "mark_error": f"""SELECT {key('doc_id')} AS asset_id, 2 AS status, 'Image too large' AS error_message
-    FROM documents WHERE octet_length(encode(text)) > 20000""",
     "scan": with_views(
         ["assets", "media_listing", "features", "detections"],
         f"""SELECT c.asset_id,
@@ -486,13 +510,13 @@ ORACLES: dict[str, str] = {
     ),
     "pending_filter": with_views("assets", "SELECT asset_id, taken_at FROM assets WHERE status = 0"),
     "blurry_static": with_views(
-        "assets",
-        """SELECT asset_id, blur_score, mean_luma FROM assets WHERE status = 1 AND blur_score < 100
-      ORDER BY blur_score, asset_id LIMIT 50""",
-    ),
-    "blurry_static_all": with_views(
         "assets", "SELECT asset_id, blur_score, mean_luma FROM assets WHERE status = 1 AND blur_score < 100"
     ),
+    "blurry_static_top": with_views(
+        "assets",
+        """SELECT asset_id, blur_score, mean_luma, CAST(row_number() OVER (ORDER BY blur_score, asset_id) AS INTEGER) AS rank
+      FROM assets WHERE status = 1 AND blur_score < 100 ORDER BY rank LIMIT 50""",
+    ),
     "blurry_adaptive": with_views(
         "assets",
         """SELECT asset_id, blur_score, mean_luma, threshold AS adjusted_threshold, blur_score < threshold AS is_blurry
@@ -512,7 +536,7 @@ ORACLES: dict[str, str] = {
         """SELECT asset_id, string_agg(t, '|' ORDER BY c DESC, i) AS texts FROM (
       SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY c DESC, i) AS r FROM (
         SELECT asset_id, unnest(ok).text AS t, unnest(ok).confidence AS c, unnest(range(0, len(ok))) AS i FROM parsed)
-      WHERE c >= 0.4) WHERE r <= 2 GROUP BY asset_id""",
+      WHERE c >= 0.4) WHERE r <= 5 GROUP BY asset_id""",
     ),
     "faces_min_size": with_views(
         "detections",
@@ -542,10 +566,15 @@ ORACLES: dict[str, str] = {
       regexp_matches(lower(x.text), 'text|font|website|screenshot'))) > 0, false) AS screenshot FROM parsed""",
     ),
     "people_assets": with_views(
+        "assets", "SELECT asset_id, taken_at, face_count FROM assets WHERE face_count > 0"
+    ),
+    "people_assets_top": with_views(
         "assets",
-        f"SELECT asset_id, taken_at, face_count FROM assets WHERE face_count > 0 ORDER BY {NEWEST_NULLS_LAST} LIMIT 200",
+        f"""SELECT asset_id, taken_at, face_count, CAST(row_number() OVER (ORDER BY {NEWEST_NULLS_LAST}) AS INTEGER) AS rank
+      FROM assets WHERE face_count > 0 ORDER BY rank LIMIT 200""",
     ),
-    "labeled_assets": with_views(
+    "labeled_assets": with_views("assets", "SELECT asset_id, taken_at FROM assets WHERE status = 1"),
+    "labeled_assets_top": with_views(
         "assets",
         f"SELECT asset_id, taken_at FROM assets WHERE status = 1 ORDER BY {NEWEST_NULLS_LAST} LIMIT 5000",
     ),
@@ -564,15 +593,15 @@ ORACLES: dict[str, str] = {
         f"""SELECT asset_id, 0 AS status, blur_score, phash, algo_version, CAST(NULL AS INTEGER) AS face_count,
       CAST(NULL AS VARCHAR) AS labels_json, CAST(NULL AS VARCHAR) AS error_message, {NOW} AS updated_at FROM assets""",
     ),
+    "reset_all_rows": """SELECT 'catalog' AS "table", count(*) AS "rows" FROM events UNION ALL SELECT 'groups', 0
+      UNION ALL SELECT 'members', 0 UNION ALL SELECT 'meta', 1""",
     "center_crop_rect": with_views(
         "assets",
         """SELECT asset_id, (width - size) / 2.0::DOUBLE AS origin_x, (height - size) / 2.0::DOUBLE AS origin_y, size
     FROM (SELECT *, CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN least(width, height) END AS size FROM assets)""",
     ),
     "hash_similar": with_views(
-        "assets",
-        """SELECT a.asset_id, bit_count(xor(CAST('0x' || a.phash AS UBIGINT), CAST('0x' || b.phash AS UBIGINT))) < 15 AS similar
-    FROM assets a JOIN assets b ON a.event_id = b.event_id - 1""",
+        "next_hash", "SELECT asset_id, bit_count(xor(mine, other)) < 15 AS similar FROM next_hash WHERE follows"
     ),
     # 2.3 joins
     "find_similar": with_views(
@@ -599,7 +628,7 @@ ORACLES: dict[str, str] = {
     "live_semi": with_views(
         ["assets", "media_listing"],
         """SELECT r.asset_id, blur_score, coalesce(nullif(local_uri, ''), nullif(uri, '')) AS uri FROM (
-      SELECT * FROM assets WHERE status = 1 AND blur_score < 100 ORDER BY blur_score, asset_id LIMIT 50) r
+      SELECT * FROM assets WHERE status = 1 AND blur_score < 100) r
       JOIN media_listing USING (asset_id)""",
     ),
     "anti_processed": with_views(
@@ -609,8 +638,8 @@ ORACLES: dict[str, str] = {
     ),
     "anti_categorized": with_views(
         ["assets", "categorized"],
-        """SELECT asset_id FROM assets WHERE status = 1 AND asset_id NOT IN
-      (SELECT asset_id FROM categorized WHERE kind IS NOT NULL)""",
+        """SELECT asset_id FROM assets ANTI JOIN (SELECT asset_id FROM categorized WHERE kind IS NOT NULL) USING (asset_id)
+      WHERE status = 1""",
     ),
     "album_restrict": with_views(
         ["media_listing", "album_assets"],
@@ -644,14 +673,12 @@ ORACLES: dict[str, str] = {
       distance_to_parent FROM roots""",
     ),
     "merge_groups": with_views(
-        "dup_members",
-        """SELECT group_id, asset_id, min(distance) AS distance FROM (
-      SELECT CASE WHEN CAST(group_id[2:] AS INTEGER) % 2 = 1
-        THEN 'g' || (CAST(group_id[2:] AS INTEGER) - 1) ELSE group_id END AS group_id, asset_id, distance FROM dup_members)
-      GROUP BY group_id, asset_id""",
+        ["dup_members", "chain_targets"],
+        """SELECT coalesce(target_id, group_id) AS group_id, asset_id, min(distance) AS distance
+      FROM dup_members LEFT JOIN chain_targets ON group_id = source_id GROUP BY 1, 2""",
     ),
     "merge_groups_left": with_views(
-        "dup_groups", "SELECT group_id, created_at FROM dup_groups WHERE CAST(group_id[2:] AS INTEGER) % 2 = 0"
+        "dup_groups", "SELECT group_id, created_at FROM dup_groups WHERE CAST(group_id[2:] AS INTEGER) % 4 = 0"
     ),
     "delete_group": with_views(
         ["dup_members", "dup_groups"],
@@ -659,7 +686,9 @@ ORACLES: dict[str, str] = {
       (SELECT group_id FROM dup_groups WHERE representative_asset_id IS NULL)""",
     ),
     "list_groups": with_views(
-        "dup_groups", "SELECT group_id, representative_asset_id, best_asset_id, created_at FROM dup_groups"
+        "dup_groups",
+        """SELECT group_id, representative_asset_id, best_asset_id, created_at,
+      row_number() OVER (ORDER BY created_at DESC, group_id) AS rank FROM dup_groups""",
     ),
     # 2.5 aggregations
     "status_counts": with_views(
@@ -704,12 +733,16 @@ ORACLES: dict[str, str] = {
       WHERE b.asset_id IS DISTINCT FROM g.best_asset_id""",
     ),
     "group_summary": with_views(
-        ["roots", "scored", "media_listing"],
-        """SELECT 'grp_' || root_id AS group_id, n AS member_count, best_asset_id, uri AS representative_uri FROM (
-      SELECT root_id, count(*) AS n, first(asset_id ORDER BY score DESC, asset_id) AS best_asset_id
-      FROM roots JOIN scored USING (asset_id) GROUP BY root_id) LEFT JOIN
+        ["summary", "media_listing"],
+        """SELECT 'grp_' || root_id AS group_id, n AS member_count, best_asset_id, uri AS representative_uri FROM summary LEFT JOIN
         (SELECT asset_id, coalesce(nullif(local_uri, ''), nullif(uri, '')) AS uri FROM media_listing) l
-        ON l.asset_id = root_id WHERE n > 1""",
+        ON l.asset_id = root_id""",
+    ),
+    "group_summary_members": with_views(
+        ["summary", "roots"],
+        """SELECT 'grp_' || root_id AS group_id, asset_id,
+      CAST(row_number() OVER (PARTITION BY root_id ORDER BY asset_id) AS INTEGER) AS member_rank
+      FROM roots SEMI JOIN summary USING (root_id)""",
     ),
     "category_rollup": with_views("categorized", rollup_sql("kind IS NOT NULL")),
     "people_rollup": with_views(
@@ -794,34 +827,55 @@ ORACLES: dict[str, str] = {
     # 2.7 sorts, limits
     "keyset_page": with_views(
         "assets",
-        """SELECT asset_id, taken_at FROM assets WHERE status = 0 AND (taken_at > 1705000000000
+        """SELECT asset_id, taken_at, CAST(row_number() OVER (ORDER BY taken_at, asset_id) AS INTEGER) AS rank FROM assets WHERE status = 0 AND (taken_at > 1705000000000
       OR (taken_at = 1705000000000 AND asset_id > 'a')) ORDER BY taken_at, asset_id LIMIT 20""",
     ),
     "keyset_first_page": with_views(
         "assets",
-        "SELECT asset_id, taken_at FROM assets WHERE status = 0 ORDER BY taken_at NULLS FIRST, asset_id LIMIT 20",
+        "SELECT asset_id, taken_at, CAST(row_number() OVER (ORDER BY taken_at NULLS FIRST, asset_id) AS INTEGER) AS rank FROM assets WHERE status = 0 ORDER BY taken_at NULLS FIRST, asset_id LIMIT 20",
     ),
     "review_batch": with_views(
         ["media_listing", "album_assets", "review_state"],
-        """SELECT asset_id, album_id, creation_time FROM (
+        """SELECT asset_id, album_id, creation_time,
+      CAST(row_number() OVER (ORDER BY album_id, creation_time DESC, asset_id DESC) AS INTEGER) AS rank
+      FROM media_listing JOIN album_assets USING (asset_id) WHERE media_type = 'photo' AND album_id IN ('alb2', 'alb5')
+        AND asset_id NOT IN (SELECT asset_id FROM review_state WHERE processed) ORDER BY rank LIMIT 30""",
+    ),
+    "review_batch_capped": with_views(
+        ["media_listing", "album_assets", "review_state"],
+        """SELECT asset_id, album_id, creation_time,
+      CAST(row_number() OVER (ORDER BY album_id, creation_time DESC, asset_id DESC) AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY creation_time DESC, asset_id DESC) AS r
       FROM media_listing JOIN album_assets USING (asset_id)
       WHERE media_type = 'photo' AND album_id IN ('alb2', 'alb5')) WHERE r <= 500 AND asset_id NOT IN
-        (SELECT asset_id FROM review_state WHERE processed)
-      ORDER BY album_id, creation_time DESC, asset_id DESC LIMIT 30""",
+        (SELECT asset_id FROM review_state WHERE processed) ORDER BY rank LIMIT 30""",
+    ),
+    "review_batch_reviewed": with_views(
+        "media_listing",
+        """SELECT asset_id, creation_time, CAST(row_number() OVER (ORDER BY creation_time DESC, asset_id DESC) AS INTEGER) AS rank
+      FROM (SELECT * FROM media_listing WHERE media_type = 'photo' ORDER BY creation_time DESC, asset_id DESC OFFSET 600)
+      ORDER BY rank LIMIT 30""",
     ),
     "review_batch_oldest": with_views(
         ["media_listing", "review_state"],
-        """SELECT asset_id, creation_time FROM (SELECT * FROM media_listing WHERE media_type = 'video'
-        ORDER BY creation_time, asset_id LIMIT 200) WHERE asset_id NOT IN
-        (SELECT asset_id FROM review_state WHERE processed)
-      ORDER BY creation_time, asset_id LIMIT 20""",
+        """SELECT asset_id, creation_time, CAST(row_number() OVER (ORDER BY creation_time, asset_id) AS INTEGER) AS rank
+      FROM media_listing WHERE media_type = 'video' AND asset_id NOT IN
+        (SELECT asset_id FROM review_state WHERE processed) ORDER BY rank LIMIT 20""",
+    ),
+    "review_batch_random": with_views(
+        ["media_listing", "review_state"],
+        """SELECT asset_id, creation_time, CAST(row_number() OVER (ORDER BY md5('7|' || asset_id), asset_id) AS INTEGER) AS rank
+      FROM media_listing WHERE media_type = 'photo' AND asset_id NOT IN
+        (SELECT asset_id FROM review_state WHERE processed) ORDER BY rank LIMIT 30""",
+    ),
+    "shuffle": with_views(
+        "media_listing",
+        "SELECT asset_id, row_number() OVER (ORDER BY md5('7|' || asset_id), asset_id) AS rank FROM media_listing",
     ),
-    # A shuffle keeps every row; the order itself is random.
-    "shuffle": with_views("media_listing", "SELECT asset_id FROM media_listing"),
     "processed_last": with_views(
         "dup_groups",
-        "SELECT group_id, created_at, best_asset_id IS NULL AS processed FROM dup_groups",
+        """SELECT group_id, created_at, best_asset_id IS NULL AS processed,
+      row_number() OVER (ORDER BY best_asset_id IS NULL, created_at DESC, group_id) AS rank FROM dup_groups""",
     ),
     "thumb_topn": with_views(
         "review_state",
@@ -859,9 +913,8 @@ ORACLES: dict[str, str] = {
     ),
     # 2.9 functions
     "hamming64": with_views(
-        "assets",
-        """SELECT a.asset_id, CAST(bit_count(xor(CAST('0x' || a.phash AS UBIGINT), CAST('0x' || b.phash AS UBIGINT))) AS INTEGER)
-      AS distance FROM assets a JOIN assets b ON a.event_id = b.event_id - 1""",
+        "next_hash",
+        "SELECT asset_id, CAST(bit_count(xor(mine, other)) AS INTEGER) AS distance FROM next_hash WHERE follows",
     ),
     "mean_luma": with_views("features", "SELECT asset_id, mean_luma FROM features"),
     "laplacian_var": with_views("features", "SELECT asset_id, round(blur_score, 6) AS blur_score FROM features"),
@@ -936,8 +989,11 @@ ORACLES: dict[str, str] = {
         """SELECT asset_id, taken_at FROM assets WHERE status = 0 AND NOT coalesce(taken_at > 1705000000000
       OR (taken_at = 1705000000000 AND asset_id > 'a'), false)""",
     ),
-    "error_isolation": """SELECT 'd' || doc_id AS asset_id,
-      CASE WHEN octet_length(encode(text)) > 20000 THEN 'Image too large' END AS error_message FROM documents""",
+    "error_isolation": with_views(
+        "assets",
+        """SELECT asset_id, CASE WHEN doc_id IS NULL THEN 'Asset not found or no local URI' END AS error_message
+    FROM assets LEFT JOIN documents ON doc_id = event_id""",
+    ),
 }
 ORACLES["stream_upsert"] = ORACLES["upsert_coalesce"]
 ORACLES["stream_review"] = ORACLES["review_fold"]

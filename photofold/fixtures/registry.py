@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photofold.config import DONE, ERROR, SimilarityConfig
+from photofold.config import (
+    BLUR_REPORT_ROWS,
+    DONE,
+    ERROR,
+    MAX_LABELS,
+    PHOTO_SOURCE_CAP,
+    SimilarityConfig,
+)
 from photofold.fixtures import views as v
 from photofold.fixtures.oracles import NOW
 from photofold.functions import images as img
@@ -16,7 +24,8 @@ from photofold.operators import catalog as cat
 from photofold.operators import categories as cg
 from photofold.operators import faces, groups, quality, review, similarity
 from photofold.operators import scan as scanning
-from photofold.session import run_folder
+from photofold.plans.ordering import number_sorted
+from photofold.session import cut_lineage, run_folder
 from photofold.sources import media, vocabulary
 from photofold.streaming import catalog as stream_catalog
 from photofold.streaming import ingest
@@ -26,7 +35,6 @@ from photofold.streaming.review import ReviewStream
 Query = Callable[[SparkSession, str], DataFrame]
 
 CURSOR = (1_705_000_000_000, "a")
-MAX_BYTES = 20_000
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
@@ -92,13 +100,37 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read_new_files(spark, sf, EVENTS, glob="events.parquet")
 
 
+def event_files(spark: SparkSession, sf: str, files: int = 6) -> DataFrame:
+    """Stream of the events in so many files in time order, a file per batch."""
+    folder = run_folder(spark, "event-files")
+    parts = number_sorted(v.table(spark, sf, "events").orderBy("event_id"), "_n")
+    rows = parts.count()
+    parts = cut_lineage(parts)
+    for k in range(files):
+        some = parts.filter((F.col("_n") > rows * k // files) & (F.col("_n") <= rows * (k + 1) // files))
+        some.drop("_n").coalesce(1).write.mode("append").parquet(folder)
+    return ingest.read_new_files(spark, folder, EVENTS, files_per_trigger=1)
+
+
 def asset_stream(spark: SparkSession, sf: str) -> DataFrame:
     n_vectors = v.table(spark, sf, "embeddings").count()
     return v.project_assets(event_stream(spark, sf), v.embedding_hashes(spark, sf), n_vectors)
 
 
-def document_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return v.content(spark, sf).filter(F.col("asset_id").startswith("d"))
+def document_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as the images of the assets with their number; the other assets have no image."""
+    docs = v.table(spark, sf, "documents")
+    return docs.select(v.asset_key(F.col("doc_id")).alias("asset_id"), F.encode("text", "UTF-8").alias("content"))
+
+
+def ranked(df: DataFrame, name: str = "rank") -> DataFrame:
+    """The rows with their place in the order in which the operator returns them."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
+def positioned(df: DataFrame) -> DataFrame:
+    """The same for results of any size: sorted partitions keep their order when they are stored."""
+    return number_sorted(df, "rank")
 
 
 def collected_moves(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,10 +221,8 @@ def meta_replace(spark, sf):
 
 
 def _results(spark, sf):
-    images = document_bytes(spark, sf).withColumn(
-        "asset_id", v.asset_key(F.substring("asset_id", 2, 20).cast("bigint"))
-    )
-    return quality.image_features(images, max_bytes=MAX_BYTES)
+    """Results for the pending assets; those without a document are errors."""
+    return quality.features_of(cat.pending(v.assets(spark, sf)), document_images(spark, sf))
 
 
 @query
@@ -220,11 +250,8 @@ def mark_error(spark, sf):
 @query
 def scan(spark, sf):
     """A whole scan; documents are the images of the assets with their number."""
-    images = document_bytes(spark, sf).withColumn(
-        "asset_id", v.asset_key(F.substring("asset_id", 2, 20).cast("bigint"))
-    )
     done = scanning.scan(
-        v.assets(spark, sf), listing(spark, sf, "photo"), images, 3, now(), v.detections(spark, sf)
+        v.assets(spark, sf), listing(spark, sf, "photo"), document_images(spark, sf), 3, now(), v.detections(spark, sf)
     )
     return done.catalog.select(
         "asset_id", "status", r6("blur_score"), "phash", "algo_version", "face_count", "error_message",
@@ -301,8 +328,9 @@ def blurry_static(spark, sf):
 
 
 @query
-def blurry_static_all(spark, sf):
-    return quality.blurry_static(v.assets(spark, sf), limit=None)
+def blurry_static_top(spark, sf):
+    """The report with its own length."""
+    return ranked(quality.blurry_static(v.assets(spark, sf), limit=BLUR_REPORT_ROWS))
 
 
 @query
@@ -325,7 +353,7 @@ def valid_labels(spark, sf):
 
 @query
 def top_labels(spark, sf):
-    top = labeled(spark, sf).select("asset_id", lab.top_labels("labels", 2).alias("top"))
+    top = labeled(spark, sf).select("asset_id", lab.top_labels("labels", MAX_LABELS).alias("top"))
     return top.filter(F.size("top") > 0).select("asset_id", joined(F.col("top.text")))
 
 
@@ -367,11 +395,22 @@ def is_screenshot(spark, sf):
 
 @query
 def people_assets(spark, sf):
-    return cg.people_assets(v.assets(spark, sf), 200).select("asset_id", "taken_at", "face_count")
+    return cg.people_assets(v.assets(spark, sf)).select("asset_id", "taken_at", "face_count")
+
+
+@query
+def people_assets_top(spark, sf):
+    newest = cg.people_assets(v.assets(spark, sf), 200)
+    return ranked(newest.select("asset_id", "taken_at", "face_count"))
 
 
 @query
 def labeled_assets(spark, sf):
+    return cg.labeled_assets(v.assets(spark, sf)).select("asset_id", "taken_at")
+
+
+@query
+def labeled_assets_top(spark, sf):
     return cg.labeled_assets(v.assets(spark, sf), 5000).select("asset_id", "taken_at")
 
 
@@ -393,6 +432,22 @@ def reset_all(spark, sf):
     )
 
 
+def _reset(spark, sf):
+    cursor = cat.replace_cursor(spark.createDataFrame([("global_algo_version", "1")], "key string, value string"), v.assets(spark, sf))
+    return cat.reset_library(v.assets(spark, sf), v.dup_groups(spark, sf), v.dup_members(spark, sf), cursor, now())
+
+
+@query
+def reset_all_rows(spark, sf):
+    """What a fresh start leaves in each of the four tables."""
+    done = _reset(spark, sf)
+    counts = [
+        getattr(done, name).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"))
+        for name in ("catalog", "groups", "members", "meta")
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def center_crop_rect(spark, sf):
     x, y, size = img.center_crop("width", "height")
@@ -495,9 +550,10 @@ def dup_groups(spark, sf):
     return similarity.dup_groups(v.assets(spark, sf))
 
 
-def _even_targets(spark, sf):
+def _chains(spark, sf):
+    """Every group but each fourth is merged into the one before it, so 3 goes by 2 and 1 to 0."""
     number = F.substring("group_id", 2, 20).cast("int")
-    return v.dup_groups(spark, sf).filter(number % 2 == 1).select(
+    return v.dup_groups(spark, sf).filter(number % 4 != 0).select(
         F.col("group_id").alias("source_id"),
         F.concat(F.lit("g"), (number - 1).cast("string")).alias("target_id"),
     )
@@ -505,7 +561,7 @@ def _even_targets(spark, sf):
 
 def _merged(spark, sf):
     return groups.merge_groups(
-        v.dup_groups(spark, sf), v.dup_members(spark, sf), _even_targets(spark, sf)
+        v.dup_groups(spark, sf), v.dup_members(spark, sf), _chains(spark, sf)
     )
 
 
@@ -528,7 +584,7 @@ def delete_group(spark, sf):
 
 @query
 def list_groups(spark, sf):
-    return groups.list_groups(v.dup_groups(spark, sf))
+    return positioned(groups.list_groups(v.dup_groups(spark, sf)))
 
 
 # Aggregations
@@ -591,12 +647,23 @@ def group_summary(spark, sf):
     return summary(spark, sf, SimilarityConfig())
 
 
-def summary(spark: SparkSession, sf: str, config: SimilarityConfig) -> DataFrame:
-    """From the catalog to the report of near-duplicate groups with their best shots."""
+@query
+def group_summary_members(spark, sf):
+    with_best, members = _grouped(spark, sf, SimilarityConfig())
+    rows = groups.summary_members(with_best, members, v.media_listing(spark, sf))
+    return rows.select("group_id", "asset_id", "member_rank")
+
+
+def _grouped(spark: SparkSession, sf: str, config: SimilarityConfig) -> tuple[DataFrame, DataFrame]:
     assets = v.assets(spark, sf)
-    members = similarity.dup_groups(assets, config)
+    members = cut_lineage(similarity.dup_groups(assets, config))
     made = groups.groups_of(members, now())
-    with_best = groups.update_best_shots(made, members, assets).drop("changed")
+    return groups.update_best_shots(made, members, assets).drop("changed"), members
+
+
+def summary(spark: SparkSession, sf: str, config: SimilarityConfig) -> DataFrame:
+    """From the catalog to the report of near-duplicate groups with their best shots."""
+    with_best, members = _grouped(spark, sf, config)
     report = groups.group_summary(with_best, members, v.media_listing(spark, sf))
     return report.select("group_id", "member_count", "best_asset_id", "representative_uri")
 
@@ -698,47 +765,60 @@ def dedupe_keep_first(spark, sf):
 
 @query
 def keyset_page(spark, sf):
-    return cat.keyset_page(v.assets(spark, sf), *CURSOR)
+    return ranked(cat.keyset_page(v.assets(spark, sf), *CURSOR))
 
 
 @query
 def keyset_first_page(spark, sf):
-    return cat.keyset_page(v.assets(spark, sf))
+    return ranked(cat.keyset_page(v.assets(spark, sf)))
+
+
+def _batch(spark, sf, count, seen=None, **options):
+    rows = review.review_batch(
+        v.media_listing(spark, sf), v.album_assets(spark, sf), processed(spark, sf) if seen is None else seen, count, **options
+    )
+    return ranked(rows)
 
 
 @query
 def review_batch(spark, sf):
-    return review.review_batch(
-        v.media_listing(spark, sf), v.album_assets(spark, sf), processed(spark, sf), 30,
-        order="newest", album_ids=["alb2", "alb5"],
-    )
+    return _batch(spark, sf, 30, order="newest", album_ids=["alb2", "alb5"])
+
+
+@query
+def review_batch_capped(spark, sf):
+    """With the source limit of the review screen, which takes reviewed assets into account."""
+    return _batch(spark, sf, 30, order="newest", album_ids=["alb2", "alb5"], source_cap=PHOTO_SOURCE_CAP)
+
+
+@query
+def review_batch_reviewed(spark, sf):
+    """The newest 600 photos have been reviewed; the batch goes on behind them."""
+    photos = review.scan_media(v.media_listing(spark, sf))
+    newest = photos.orderBy(F.desc("creation_time"), F.desc("asset_id")).limit(600).select("asset_id")
+    return _batch(spark, sf, 30, newest, order="newest").select("asset_id", "creation_time", "rank")
 
 
 @query
 def review_batch_oldest(spark, sf):
-    return review.review_batch(
-        v.media_listing(spark, sf), v.album_assets(spark, sf), processed(spark, sf), 20,
-        media_type="video", order="oldest",
-    ).select("asset_id", "creation_time")
+    return _batch(spark, sf, 20, media_type="video", order="oldest").select("asset_id", "creation_time", "rank")
 
 
 @query
 def review_batch_random(spark, sf):
-    return review.review_batch(
-        v.media_listing(spark, sf), v.album_assets(spark, sf), processed(spark, sf), 30, seed=7
-    )
+    return _batch(spark, sf, 30, seed=7).select("asset_id", "creation_time", "rank")
 
 
 @query
 def shuffle(spark, sf):
-    return review.shuffle(v.media_listing(spark, sf), 7).select("asset_id")
+    return positioned(review.shuffle(v.media_listing(spark, sf), 7).select("asset_id"))
 
 
 @query
 def processed_last(spark, sf):
     all_groups = v.dup_groups(spark, sf)
     done = all_groups.filter("best_asset_id IS NULL")
-    return groups.processed_last(all_groups, done).select("group_id", "created_at", "processed")
+    return positioned(groups.processed_last(all_groups, done).select("group_id", "created_at", "processed"))
 
 
 @query
@@ -942,10 +1022,15 @@ def stream_status(spark, sf):
 
 @query
 def stream_upsert(spark, sf):
+    """Several ordered files; the first half is compacted before the rest is folded."""
     folder = run_folder(spark, "stream")
-    ingest.run_available(stream_catalog.stream_upsert(_updates(event_stream(spark, sf)), folder))
+    ingest.run_available(stream_catalog.stream_upsert(_updates(event_files(spark, sf)), folder))
     log = spark.read.parquet(f"{folder}/log")
-    return stream_catalog.current_catalog(v.assets(spark, sf), log, "seq", now()).select(*_UPSERTED)
+    table = stream_catalog.CompactedCatalog(f"{folder}/catalog")
+    table.start(v.assets(spark, sf))
+    half = log.agg(F.max("seq")).first()[0] // 2
+    table.compact(spark, log.filter(F.col("seq") <= half), now())
+    return table.current(spark, log, now()).select(*_UPSERTED)
 
 
 @query
@@ -967,6 +1052,4 @@ def late_assets(spark, sf):
 
 @query
 def error_isolation(spark, sf):
-    return quality.image_features(document_bytes(spark, sf), max_bytes=MAX_BYTES).select(
-        "asset_id", "error_message"
-    )
+    return quality.features_of(v.assets(spark, sf), document_images(spark, sf)).select("asset_id", "error_message")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photofold.config import DONE, ERROR, PENDING, SCAN_BATCH_ROWS
+from photofold.plans.hot_keys import broadcast_if_fits, first_rows, rank_in_key
 from photofold.plans.ordering import POSITION, with_position
 from photofold.schemas import library_keys
 
@@ -181,6 +183,22 @@ def reset_all(catalog: DataFrame, now: Column) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Reset:
+    catalog: DataFrame
+    groups: DataFrame
+    members: DataFrame
+    meta: DataFrame
+
+
+def reset_library(
+    catalog: DataFrame, groups: DataFrame, members: DataFrame, meta: DataFrame, now: Column
+) -> Reset:
+    """A fresh start: every asset PENDING, no groups, no members and no scan cursor."""
+    cursor = F.col("key").isin("scan_cursor_taken_at", "scan_cursor_asset_id")
+    return Reset(reset_all(catalog, now), groups.limit(0), members.limit(0), meta.filter(~cursor))
+
+
 def retry_errors(catalog: DataFrame, now: Column) -> DataFrame:
     """Optional: give failed assets another scan."""
     failed = F.col("status") == ERROR
@@ -193,9 +211,10 @@ def retry_errors(catalog: DataFrame, now: Column) -> DataFrame:
 
 
 def lookup(table: DataFrame, key: str, values: Sequence[object] | DataFrame) -> DataFrame:
-    """Rows whose key is wanted: a pushed-down filter for a list, a semi-join for a table."""
+    """Rows whose key is wanted: a pushed-down filter for a list, a semi-join (within the library) for a table."""
     if isinstance(values, DataFrame):
-        return table.join(values.select(key), key, "left_semi")
+        keys = [*[k for k in library_keys(table) if k in values.columns], key]
+        return table.join(values.select(*keys), keys, "left_semi")
     return table.filter(F.col(key).isin(list(values)))
 
 
@@ -215,7 +234,7 @@ def keyset_page(
     after_asset_id: str | None = None,
     limit: int = SCAN_BATCH_ROWS,
 ) -> DataFrame:
-    """Next page of pending assets in (taken_at, asset_id) order; NULL times first, only without cursor."""
+    """Next page of pending assets (of each library) in (taken_at, asset_id) order; NULL times first, only without cursor."""
     rows = pending(catalog)
     if after_taken_at is not None and after_asset_id is not None:
         taken_at, asset_id = F.col("taken_at"), F.col("asset_id")
@@ -223,19 +242,22 @@ def keyset_page(
             (taken_at > after_taken_at)
             | ((taken_at == after_taken_at) & (asset_id > after_asset_id))
         )
-    return (
-        rows.orderBy(F.asc_nulls_first("taken_at"), "asset_id")
-        .limit(limit)
-        .select("asset_id", "taken_at")
-    )
+    keys = library_keys(catalog)
+    order = [F.asc_nulls_first("taken_at"), F.asc("asset_id")]
+    return first_rows(rows.select(*keys, "asset_id", "taken_at"), keys, order, limit)
 
 
 def scan_batches(catalog: DataFrame, batch_rows: int = SCAN_BATCH_ROWS) -> DataFrame:
-    """Batch number of every pending asset in scan order, without a one-task window."""
+    """Batch number of every pending asset in scan order (of its library), without a one-task window."""
     order = [F.asc_nulls_first("taken_at"), F.asc("asset_id")]
-    numbered = with_position(pending(catalog).select("asset_id", "taken_at"), order)
-    return numbered.select(
-        "asset_id", "taken_at", F.floor(F.col(POSITION) / batch_rows).alias("batch")
+    keys = library_keys(catalog)
+    rows = pending(catalog).select(*keys, "asset_id", "taken_at")
+    if keys:
+        rows = rank_in_key(rows, keys, order, "_rank").withColumn(POSITION, F.col("_rank") - 1)
+    else:
+        rows = with_position(rows, order)
+    return rows.select(
+        *keys, "asset_id", "taken_at", F.floor(F.col(POSITION) / batch_rows).alias("batch")
     )
 
 
@@ -251,21 +273,36 @@ def status_counts(catalog: DataFrame) -> DataFrame:
     )
 
 
-def late_assets(catalog: DataFrame, cursor_taken_at: int, cursor_asset_id: str) -> DataFrame:
-    """Pending assets at or before the scan cursor, which a forward-only scan never reaches."""
+def late_assets(
+    catalog: DataFrame,
+    cursor_taken_at: int | None = None,
+    cursor_asset_id: str | None = None,
+    cursors: DataFrame | None = None,
+) -> DataFrame:
+    """Pending assets at or before the scan cursor, which a forward-only scan never reaches.
+
+    ``cursors`` (library_id, cursor_taken_at, cursor_asset_id) has a cursor per library; a library
+    without one has no late assets.
+    """
+    rows = pending(catalog)
+    if cursors is not None:
+        rows = rows.join(broadcast_if_fits(cursors), library_keys(catalog))
+        at, last_id = F.col("cursor_taken_at"), F.col("cursor_asset_id")
+    else:
+        at, last_id = F.lit(cursor_taken_at), F.lit(cursor_asset_id)
     taken_at = F.col("taken_at")
-    reached = (taken_at > cursor_taken_at) | (
-        (taken_at == cursor_taken_at) & (F.col("asset_id") > cursor_asset_id)
-    )
-    return pending(catalog).filter(~F.coalesce(reached, F.lit(False))).select("asset_id", "taken_at")
+    reached = (taken_at > at) | ((taken_at == at) & (F.col("asset_id") > last_id))
+    late = rows.filter(~F.coalesce(reached, F.lit(False)))
+    return late.select(*library_keys(catalog), "asset_id", "taken_at")
 
 
 def replace_cursor(meta: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Meta table with the scan cursor moved to the last scanned asset."""
-    last = catalog.filter((F.col("status") != PENDING) & F.col("taken_at").isNotNull()).agg(
-        F.max(F.struct("taken_at", "asset_id")).alias("at")
-    )
+    """Meta table with the scan cursor (of each library) moved to the last scanned asset."""
+    keys = library_keys(catalog)
+    scanned = catalog.filter((F.col("status") != PENDING) & F.col("taken_at").isNotNull())
+    last = scanned.groupBy(*keys).agg(F.max(F.struct("taken_at", "asset_id")).alias("at"))
     rows = last.select(
+        *keys,
         F.explode(
             F.array(
                 F.struct(
@@ -278,5 +315,5 @@ def replace_cursor(meta: DataFrame, catalog: DataFrame) -> DataFrame:
             )
         ).alias("kv"),
         F.lit(1).alias("seq"),
-    ).select("kv.*", "seq")
-    return insert_or_replace(meta, rows.filter(F.col("value").isNotNull()), ["key"], "seq")
+    ).select(*keys, "kv.*", "seq")
+    return insert_or_replace(meta, rows.filter(F.col("value").isNotNull()), [*keys, "key"], "seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photofold.config import DONE, PENDING
+from photofold.config import DONE
 from photofold.functions.binding import let
 from photofold.functions.labels import (
     capitalized,
@@ -16,7 +16,7 @@ from photofold.functions.labels import (
     translate_label,
 )
 from photofold.operators.catalog import status_counts
-from photofold.plans.hot_keys import broadcast_if_fits, fits, salted_join
+from photofold.plans.hot_keys import broadcast_if_fits, first_rows, fits, salted_join
 from photofold.schemas import library_keys
 
 # A translation table up to this size is put into the plan as a map literal.
@@ -30,16 +30,17 @@ PROCESSING = {"en": "processing", "zh": "处理中"}
 def _newest(assets: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return assets
-    return assets.orderBy(F.desc_nulls_last("taken_at"), F.desc("asset_id")).limit(limit)
+    order = [F.desc_nulls_last("taken_at"), F.desc("asset_id")]
+    return first_rows(assets, library_keys(assets), order, limit)
 
 
-def people_assets(assets: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Newest assets with faces, whatever their status."""
+def people_assets(assets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Assets with faces, whatever their status; with a limit, the newest of each library."""
     return _newest(assets.filter(F.col("face_count") > 0), limit)
 
 
-def labeled_assets(assets: DataFrame, limit: int | None = 5000) -> DataFrame:
-    """Newest processed assets, with or without labels."""
+def labeled_assets(assets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Processed assets, with or without labels; with a limit, the newest of each library."""
     return _newest(assets.filter(F.col("status") == DONE), limit)
 
 
@@ -49,8 +50,10 @@ def index_labels(
     """Fill empty label texts from the vocabulary by index.
 
     A vocabulary of model size becomes an array literal, so nothing is shuffled; a larger
-    one is joined label by label.
+    one is joined label by label, with the same result. Of an index that is listed twice the
+    first label in alphabetical order counts; empty arrays stay empty and NULL stays NULL.
     """
+    vocabulary = vocabulary.groupBy("idx").agg(F.min("label").alias("label"))
     if fits(vocabulary, LITERAL_ROWS):
         words = {r["idx"]: r["label"] for r in vocabulary.collect()}
         by_index = F.array(*[F.lit(words.get(i)) for i in range(max(words, default=-1) + 1)])
@@ -85,11 +88,16 @@ def index_labels(
             )
         ).alias("_labels")
     )
+    bare = F.transform(
+        F.when(F.size("labels") == 0, F.col("labels")),
+        lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("confidence")),
+    )
     return (
-        detections.drop("labels")
+        detections.withColumn("_empty", bare)
+        .drop("labels")
         .join(filled, keys, "left")
-        .withColumn("labels", F.transform("_labels", lambda x: x["label"]))
-        .drop("_labels")
+        .withColumn("labels", F.coalesce(F.transform("_labels", lambda x: x["label"]), "_empty"))
+        .drop("_labels", "_empty")
     )
 
 
@@ -99,7 +107,7 @@ def translate(
     """Add ``title``: the label in the given language. ``translations`` is (label, zh)."""
     if language != "zh" or translations is None:
         return df.withColumn(title, translate_label(label, language))
-    table = translations.filter(F.col("zh") != "").select("label", "zh")
+    table = translations.filter(F.col("zh") != "").groupBy("label").agg(F.max("zh").alias("zh"))
     if fits(table, LITERAL_ROWS):
         pairs = {r["label"]: r["zh"] for r in table.collect()}
         return df.withColumn(title, translate_label(label, language, pairs))
@@ -115,7 +123,7 @@ def translate(
         .agg(F.min_by("zh", "_at").alias("_title"))
     )
     joined = salted_join(
-        df.withColumn("_label", F.col(label)), broadcast_if_fits(titles), ["_label"], "left"
+        df.withColumn("_label", F.col(label)), titles, ["_label"], "left"
     )
     return joined.withColumn(title, F.coalesce("_title", capitalized(label))).drop(
         "_label", "_title"
@@ -320,7 +328,3 @@ def with_pending_bucket(rollup: DataFrame, assets: DataFrame, language: str = "e
         F.lit(0).alias("section"),
     )
     return rows.unionByName(waiting).orderBy("section", F.desc("count"), "id")
-
-
-def pending_assets(assets: DataFrame) -> DataFrame:
-    return assets.filter(F.col("status") == PENDING).select(*library_keys(assets), "asset_id")

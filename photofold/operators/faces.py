@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photofold.schemas import library_keys
+
 
 def face_group_counts(instances: DataFrame, order_by: str = "seen_at") -> DataFrame:
     """Photos per face and where it was first seen, most photographed first."""
     first = F.min(F.struct(F.col(order_by).alias("at"), F.col("asset_id"))).alias("_first")
     return (
-        instances.groupBy("face_id")
+        instances.groupBy(*library_keys(instances), "face_id")
         .agg(F.count(F.lit(1)).alias("photo_count"), first)
         .select(
+            *library_keys(instances),
             "face_id",
             F.col("_first.asset_id").alias("first_seen_asset_id"),
             "photo_count",
@@ -27,10 +30,11 @@ def list_face_groups(groups: DataFrame) -> DataFrame:
 
 
 def face_cluster_assign(groups: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Set the cluster of the faces in ``clusters`` (face_id, cluster_id)."""
-    new = clusters.select("face_id", F.col("cluster_id").alias("_cluster"), F.lit(True).alias("_set"))
+    """Set the cluster of the faces in ``clusters`` (face_id, cluster_id, and library_id where there is one)."""
+    keys = [*library_keys(groups), "face_id"]
+    new = clusters.select(*keys, F.col("cluster_id").alias("_cluster"), F.lit(True).alias("_set"))
     return (
-        groups.join(new, "face_id", "left")
+        groups.join(new, keys, "left")
         .withColumn("cluster_id", F.when(F.col("_set"), F.col("_cluster")).otherwise(F.col("cluster_id")))
         .drop("_cluster", "_set")
         .select(*groups.columns)
@@ -38,9 +42,9 @@ def face_cluster_assign(groups: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def face_statistics(groups: DataFrame) -> DataFrame:
-    """Distinct faces and clusters among clustered faces."""
+    """Distinct faces and clusters among clustered faces, of each library."""
     clustered = groups.filter(F.col("cluster_id").isNotNull())
-    return clustered.agg(
+    return clustered.groupBy(*library_keys(groups)).agg(
         F.countDistinct("face_id").alias("total_faces"),
         F.countDistinct("cluster_id").alias("total_clusters"),
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photofold.functions.images import lighting_score, resolution_score, sharpness_score
 from photofold.plans.hot_keys import rank_in_key, salted_join, top_n_per_key
 from photofold.schemas import library_keys
+from photofold.session import cut_lineage
 
 
 def _group(df: DataFrame) -> list[str]:
@@ -24,16 +27,37 @@ def groups_of(members: DataFrame, created_at: Column) -> DataFrame:
     )
 
 
+def final_targets(mapping: DataFrame, keys: Sequence[str] = (), most_rounds: int = 40) -> DataFrame:
+    """Each source with the end of its chain of targets.
+
+    Chains are halved in each round, so 40 rounds are enough for any table; what is left then goes in a
+    circle, which is an error. The driver sees one count per round.
+    """
+    ids = [*keys, "source_id"]
+    now = cut_lineage(mapping.select(*ids, "target_id").filter("source_id <> target_id").distinct())
+    for _ in range(most_rounds):
+        after = now.select(*keys, F.col("source_id").alias("target_id"), F.col("target_id").alias("_further"))
+        joined = cut_lineage(now.join(after, [*keys, "target_id"], "left"))
+        if joined.filter(F.col("_further").isNotNull()).isEmpty():
+            return now
+        moved = joined.select(*ids, F.coalesce("_further", "target_id").alias("target_id"))
+        if not moved.filter("source_id = target_id").isEmpty():
+            break
+        now = moved
+    raise ValueError("the mapping goes in a circle")
+
+
 def merge_groups(
     groups: DataFrame, members: DataFrame, mapping: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Move the members of ``source_id`` groups to ``target_id`` and drop the source groups.
 
-    An asset that is already in the target keeps its smaller distance.
+    A target that is merged itself passes its members on. An asset that is already in the
+    target keeps its smaller distance.
     """
     key = _group(members)
     # A hot group has many members but one mapping row.
-    renamed = mapping.select(
+    renamed = final_targets(mapping, key[:-1]).select(
         *key[:-1], F.col("source_id").alias("group_id"), F.col("target_id").alias("_target")
     )
     moved = salted_join(members, renamed, key, "left").withColumn(
@@ -155,6 +179,13 @@ def representative_uri(groups: DataFrame, members: DataFrame, listing: DataFrame
     )
 
 
+def summary_members(groups: DataFrame, members: DataFrame, listing: DataFrame) -> DataFrame:
+    """Members of the groups that ``group_summary`` reports, in display order: one row per member."""
+    reported = group_summary(groups, members, listing).select(*_group(groups))
+    ranked = group_members(members)
+    return salted_join(ranked, reported, _group(groups))
+
+
 def group_summary(groups: DataFrame, members: DataFrame, listing: DataFrame) -> DataFrame:
     """Groups of more than one member, newest first; ``group_members`` lists their members."""
     summary = representative_uri(groups, members, listing).filter(F.col("member_count") > 1)

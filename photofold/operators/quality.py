@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photofold.config import BLUR_REPORT_ROWS, DONE, BlurConfig
+from photofold.config import DONE, BlurConfig
 from photofold.functions.images import blur_threshold, dhash64, laplacian_var, mean_luma
+from photofold.plans.hot_keys import first_rows, fits
 from photofold.schemas import library_keys
 
+NOT_FOUND = "Asset not found or no local URI"
+
 
 def builtin_features(images: DataFrame) -> DataFrame:
     return images.withColumns(
@@ -25,17 +28,13 @@ def builtin_features(images: DataFrame) -> DataFrame:
 def image_features(
     images: DataFrame,
     features_fn: Callable[[DataFrame], DataFrame] | None = None,
-    max_bytes: int | None = None,
 ) -> DataFrame:
     """``blur_score, mean_luma, phash, error_message`` of every image.
 
     ``features_fn`` replaces the built-in expressions (a pandas UDF over ``content``, say).
-    Unreadable images (NULL content) get an error message instead of failing the job;
-    ``max_bytes`` likewise rejects files too large to decode.
+    Unreadable images (NULL content) get an error message instead of failing the job.
     """
-    error = F.when(F.col("content").isNull(), "Asset not found or no local URI")
-    if max_bytes is not None:
-        error = error.when(F.octet_length("content") > max_bytes, "Image too large")
+    error = F.when(F.col("content").isNull(), NOT_FOUND)
     features = (features_fn or builtin_features)(images).withColumn("error_message", error)
     good = F.col("error_message").isNull()
     return features.select(
@@ -46,9 +45,28 @@ def image_features(
     )
 
 
-def image_labels(images: DataFrame, labels_fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Labels of every image from a pluggable labeler returning ``asset_id, labels``."""
-    return images.join(labels_fn(images), [*library_keys(images), "asset_id"], "left")
+def wanted_images(ids: DataFrame, images: DataFrame) -> DataFrame:
+    """The images of the given assets, without moving their content.
+
+    A list of ids of checked size goes to the images; beyond that all images stay.
+    """
+    keys = [*library_keys(images), "asset_id"]
+    narrow = ids.select(*keys)
+    return images.join(F.broadcast(narrow), keys, "left_semi") if fits(narrow) else images
+
+
+def features_of(
+    ids: DataFrame, images: DataFrame, features_fn: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """``image_features`` of the given assets; an asset without an image row is an error row.
+
+    Features are computed where the images are read, and only they are joined.
+    """
+    keys = [*library_keys(ids), "asset_id"]
+    found = image_features(wanted_images(ids, images).select(*keys, "content"), features_fn)
+    joined = ids.select(*keys).join(found.withColumn("_found", F.lit(True)), keys, "left")
+    missing = F.when(F.col("_found").isNull(), NOT_FOUND).otherwise(F.col("error_message"))
+    return joined.withColumn("error_message", missing).drop("_found")
 
 
 def detect_blur(assets: DataFrame, config: BlurConfig = BlurConfig()) -> DataFrame:
@@ -74,15 +92,13 @@ def blur_score_only(images: DataFrame) -> DataFrame:
 
 
 def blurry_static(
-    assets: DataFrame, threshold: float = 100.0, limit: int | None = BLUR_REPORT_ROWS
+    assets: DataFrame, threshold: float = 100.0, limit: int | None = None
 ) -> DataFrame:
-    """The blurriest processed assets under the fixed threshold, worst first."""
-    rows = (
-        assets.filter((F.col("status") == DONE) & (F.col("blur_score") < threshold))
-        .select(*library_keys(assets), "asset_id", "blur_score", "mean_luma")
-        .orderBy("blur_score", "asset_id")
+    """Processed assets under the fixed threshold, blurriest first; with a limit, so many of each library."""
+    rows = assets.filter((F.col("status") == DONE) & (F.col("blur_score") < threshold)).select(
+        *library_keys(assets), "asset_id", "blur_score", "mean_luma"
     )
-    return rows if limit is None else rows.limit(limit)
+    return first_rows(rows, library_keys(assets), [F.asc("blur_score"), F.asc("asset_id")], limit)
 
 
 def live_only(report: DataFrame, listing: DataFrame) -> DataFrame:

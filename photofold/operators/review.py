@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photofold.config import FAILURES_TO_TRIP, PHOTO_SOURCE_CAP, VIDEO_SOURCE_CAP
-from photofold.plans.hot_keys import broadcast_if_fits, salted_join, top_n_per_key
+from photofold.config import FAILURES_TO_TRIP
+from photofold.plans.hot_keys import broadcast_if_fits, first_rows, salted_join, top_n_per_key
 from photofold.plans.ordering import (
     HOME,
     POSITION,
@@ -29,8 +29,8 @@ def _time_order(order: str) -> list[Column]:
 
 
 def _shuffled(seed: int) -> list[Column]:
-    """Repeatable shuffle: by a seeded hash of the id."""
-    return [F.xxhash64("asset_id", F.lit(seed)), F.col("asset_id")]
+    """Repeatable shuffle: by a seeded digest of the id."""
+    return [F.md5(F.concat(F.lit(f"{seed}|"), F.col("asset_id"))), F.col("asset_id")]
 
 
 def shuffle(df: DataFrame, seed: int) -> DataFrame:
@@ -50,8 +50,8 @@ def scan_media(
         wanted = bridge.filter(F.col("album_id").isin(list(album_ids)))
         keys = [*library_keys(listing), "asset_id"]
         rows = rows.join(wanted.select(*keys), keys, "left_semi")
-    rows = rows.orderBy("creation_time", "asset_id")
-    return rows if limit is None else rows.limit(limit)
+    order = [F.asc("creation_time"), F.asc("asset_id")]
+    return first_rows(rows, library_keys(listing), order, limit)
 
 
 def album_restrict(
@@ -102,28 +102,32 @@ def review_batch(
     source_cap: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """The next assets to review.
+    """The next assets to review, ``count`` of each library.
 
-    Each source (a selected album, or the whole library) offers its first ``source_cap``
-    assets; those already reviewed are skipped; a random order shuffles what is left.
+    Assets already reviewed are skipped; a random order shuffles what is left. With a
+    ``source_cap`` each source (a selected album, or the whole library) offers only its first
+    so many assets, reviewed or not.
     """
-    cap = source_cap or (VIDEO_SOURCE_CAP if media_type == "video" else PHOTO_SOURCE_CAP)
+    libraries = library_keys(listing)
     media = listing.filter(F.col("media_type") == media_type)
     by_time = _time_order(order)
     if album_ids:
         places = {album: i for i, album in enumerate(album_ids)}
         wanted = bridge.filter(F.col("album_id").isin(list(places)))
-        offered = per_album_top_n(media, wanted, cap, order)
+        keys = [*libraries, "asset_id"]
+        if source_cap is None:
+            offered = wanted.join(media.select(*keys, "creation_time"), keys)
+        else:
+            offered = per_album_top_n(media, wanted, source_cap, order)
         place = F.coalesce(*[F.when(F.col("album_id") == a, i) for a, i in places.items()])
         by_time = [place, *by_time]
     else:
-        offered = media.orderBy(*by_time).limit(cap).withColumn(
-            "album_id", F.lit(None).cast("string")
-        )
+        offered = media if source_cap is None else first_rows(media, libraries, by_time, source_cap)
+        offered = offered.withColumn("album_id", F.lit(None).cast("string"))
     fresh = anti_processed(offered, processed)
-    ordered = fresh.orderBy(*(_shuffled(seed) + [F.col("album_id")] if order == RANDOM else by_time))
-    return ordered.limit(count).select(
-        *library_keys(listing), "asset_id", "album_id", "creation_time"
+    by = _shuffled(seed) + [F.col("album_id")] if order == RANDOM else by_time
+    return first_rows(fresh, libraries, by, count).select(
+        *libraries, "asset_id", "album_id", "creation_time"
     )
 
 

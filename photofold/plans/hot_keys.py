@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photofold.plans.ordering import POSITION, with_position
+from photofold.session import cut_lineage
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
 BROADCAST_ROWS = 100_000
 
 
@@ -31,23 +31,20 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    salt_by: Sequence[Column | str] = (),
 ) -> DataFrame:
     """Equi-join in which the left rows of a hot key are spread over many tasks.
 
-    Keys with more than ``hot_rows`` left rows are split by a hash of the row; only
-    their right rows are repeated. The hot-key list is cut at ``MAX_HOT_KEYS``
-    rows, which bounds the broadcast; keys beyond it simply stay unsplit.
+    Keys with more than ``hot_rows`` left rows are split by a hash of the row (or of ``salt_by``); only
+    their right rows are repeated. Counting the keys runs one job when the plan is built, for which ``left`` is
+    evaluated once; the list of hot keys, which has a row per ``hot_rows`` rows at most, is stored.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = cut_lineage(counts.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    hot = broadcast_if_fits(hot)
+    named = [F.col(f"`{c}`") for c in left.columns]
+    row_hash = F.xxhash64(*(salt_by or ([F.col("asset_id")] if "asset_id" in left.columns and "asset_id" not in on else named)))
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     spread = (
         F.when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")))
@@ -55,12 +52,12 @@ def salted_join(
         .otherwise(F.lit(0))
         .cast("int")
     )
-    left_salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", spread).drop("_salts")
+    left_salted = left.join(hot, on, "left").withColumn("_salt", spread).drop("_salts")
     copies = F.when(
         F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)
     ).otherwise(F.array(F.lit(0)))
     right_salted = (
-        right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+        right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     )
     return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt")
 
@@ -85,6 +82,15 @@ def top_n_per_key(
     )
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None) -> DataFrame:
+    """All rows in order, or the first ``n`` of each key (of the table where there are no keys)."""
+    if n is None:
+        return df.orderBy(*order)
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    return top_n_per_key(df, keys, order, n).drop("_rank").orderBy(*order)
+
+
 def rank_in_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str
 ) -> DataFrame:
@@ -95,7 +101,7 @@ def rank_in_key(
     numbered = with_position(df, [*keys, *order])
     starts = numbered.groupBy(*keys).agg(F.min(POSITION).alias("_start"))
     return (
-        salted_join(numbered, starts, keys)
+        salted_join(numbered, starts, keys, salt_by=[POSITION])
         .withColumn(name, (F.col(POSITION) - F.col("_start") + 1).cast("int"))
         .drop(POSITION, "_start")
     )

@@ -68,6 +68,17 @@ def with_position(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     )
 
 
+def number_sorted(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: 1, 2, ... in the order of a frame that is sorted already, by an ``orderBy`` at its end."""
+    parts = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
+    part = F.shiftright("_rid", _ROW_BITS).cast("int")
+    inside = F.col("_rid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    parts = parts.withColumns({PART: part, ROW_IN_PART: inside}).drop("_rid")
+    starts = _before_part(parts, {"_start": F.count(F.lit(1))})
+    numbered = parts.join(F.broadcast(starts), PART)
+    return numbered.withColumn(name, F.col("_start") + F.col(ROW_IN_PART) + 1).drop(PART, ROW_IN_PART, "_start")
+
+
 def with_running_total(
     df: DataFrame, order: Sequence[Column | str], name: str, value: Column
 ) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="photofold-checkpoint-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -58,6 +60,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``cut_lineage`` and a function that removes the table, for when nothing reads it any more."""
+    spark, path = df.sparkSession, run_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+
+    def remove() -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.schema(df.schema).parquet(path), remove
+
+
 def cut_lineage_in_order(df: DataFrame) -> DataFrame:
     """The same by ``checkpoint()``, which keeps partitions and the order within them."""
     context = df.sparkSession.sparkContext

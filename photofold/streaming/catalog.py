@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from photofold.operators.catalog import upsert_coalesce
@@ -25,6 +28,46 @@ def current_catalog(
     return upsert_coalesce(base, log, seq, now)
 
 
-def compact(base: DataFrame, log: DataFrame, path: str, seq: str = "seq") -> None:
-    """Write the current catalog as the next base table."""
-    current_catalog(base, log, seq).write.mode("overwrite").parquet(path)
+@dataclass
+class CompactedCatalog:
+    """Versions of the base table, each with the highest ``seq`` that was folded into it.
+
+    Updates up to that number are skipped when the log is folded again, so they can't undo what came later. A
+    compaction writes a new version and leaves the ones before it alone.
+    """
+
+    folder: str
+    seq: str = "seq"
+
+    def start(self, base: DataFrame) -> None:
+        self._write(base, 0, None)
+
+    def current(self, spark: SparkSession, log: DataFrame, now: Column | None = None) -> DataFrame:
+        version = self._newest(spark)
+        return current_catalog(self._base(spark, version["version"]), self._newer(log, version), self.seq, now)
+
+    def compact(self, spark: SparkSession, log: DataFrame, now: Column | None = None) -> None:
+        version = self._newest(spark)
+        newer = self._newer(log, version)
+        folded = newer.agg(F.max(self.seq).alias("seq")).first()["seq"]
+        if folded is not None:
+            # What arrives meanwhile has a higher number and waits for the next compaction.
+            fixed = newer.filter(F.col(self.seq) <= folded)
+            base = self._base(spark, version["version"])
+            self._write(current_catalog(base, fixed, self.seq, now), version["version"] + 1, folded)
+
+    def _newer(self, log: DataFrame, version) -> DataFrame:
+        return log if version["folded"] is None else log.filter(F.col(self.seq) > version["folded"])
+
+    def _base(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/base/{version:06d}")
+
+    def _write(self, base: DataFrame, version: int, folded: int | None) -> None:
+        """The entry in the list of versions is written last, so a half-written base is never read."""
+        base.write.mode("overwrite").parquet(f"{self.folder}/base/{version:06d}")
+        spark = base.sparkSession
+        row = spark.createDataFrame([(version, folded)], "version int, folded bigint")
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
+
+    def _newest(self, spark: SparkSession):
+        return spark.read.parquet(f"{self.folder}/versions").orderBy(F.desc("version")).first()

@@ -38,7 +38,9 @@ class GroupStream:
         rows = cut_lineage(to_group(batch))
         columns = [*keys, "asset_id", "taken_at", "_bits", "_root"]
         new = rows.withColumn("_root", F.lit(None).cast("string"))
-        if batch_id:
+        if not batch_id:
+            rows.drop("_bits").limit(0).write.mode("overwrite").parquet(self._path("late", batch_id))
+        else:
             tail = batch.sparkSession.read.parquet(self._path("tail", batch_id - 1))
             new, late = self._split_late(new, tail, keys)
             late.drop("_root", "_bits").write.mode("overwrite").parquet(self._path("late", batch_id))

@@ -72,3 +72,50 @@ def test_rank_in_key(skewed):
 def test_fits_reads_no_more_than_the_limit(spark):
     assert hot_keys.fits(spark.range(5), 5)
     assert not hot_keys.fits(spark.range(6), 5)
+
+
+def test_scan_does_not_shuffle_content(spark):
+    from pyspark.sql import functions as F
+
+    from photofold.operators import scan
+    from photofold.schemas import ASSETS
+
+    catalog = spark.createDataFrame([("a", 1, 64, 64, "s", 1, None, None, None, None, 0, None, 1, None)], ASSETS)
+    images = spark.createDataFrame([("a", bytearray(b"x" * 99)), ("b", bytearray(b"y"))], "asset_id string, content binary")
+    done = scan.scan_pending(catalog, images, 2, F.lit(5).cast("bigint"))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert done.first()["status"] == 1
+    # Above the projection that makes the features no column is called content.
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins
+    executed = done._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in executed.split("\n") if "Exchange" in line and "content" in line]
+
+
+def test_pluggable_features_and_labels(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from photofold.operators import scan
+    from photofold.schemas import ASSETS
+
+    @F.pandas_udf("double")
+    def size(content: pd.Series) -> pd.Series:
+        return content.map(len).astype(float)
+
+    @F.pandas_udf("string")
+    def first_byte(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: chr(b[0]))
+
+    def features(images):
+        return images.withColumns({"blur_score": size("content"), "mean_luma": F.lit(9.0), "phash": F.lit("00")})
+
+    def labels(images):
+        label = F.struct(first_byte("content").alias("text"), F.lit(0.9).cast("double").alias("confidence"))
+        box = "array<struct<bounding_box:struct<x:double,y:double,width:double,height:double>,confidence:double>>"
+        return images.select("asset_id", F.array(label).alias("labels"), F.lit(None).cast(box).alias("faces"))
+
+    catalog = spark.createDataFrame([("a", 1, 64, 64, "s", 1, None, None, None, None, 0, None, 1, None)], ASSETS)
+    images = spark.createDataFrame([("a", bytearray(b"xyz"))], "asset_id string, content binary")
+    row = scan.scan_pending(catalog, images, 2, F.lit(5).cast("bigint"), features_fn=features, labels_fn=labels).first()
+    assert (row.blur_score, row.mean_luma, row.status) == (3.0, 9.0, 1) and '"x"' in row.labels_json

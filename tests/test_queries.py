@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import digest
+from photofold.fixtures.oracles import ORACLES
+from photofold.fixtures.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
@@ -22,19 +24,17 @@ def con():
     return connection
 
 
-def test_only_the_random_batch_lacks_sql():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"review_batch_random"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     mine = digest(df.columns, df.collect())
-    sql = entry.oracle_sql().get(name)
-    if sql is not None:
-        cursor = con.execute(sql)
-        assert mine == digest([d[0] for d in cursor.description], cursor.fetchall())
+    cursor = con.execute(entry.oracle_sql()[name])
+    assert mine == digest([d[0] for d in cursor.description], cursor.fetchall())
 
 
 def test_entry(spark):

@@ -133,6 +133,14 @@ def test_review_batch(spark):
     assert len(ids(count=99, album_ids=["A", "B"])) == 25 - 1
 
 
+def test_review_batch_goes_on_behind_what_was_reviewed(spark):
+    listing = spark.createDataFrame([(f"p{i:04d}", "photo", i) for i in range(700)], LISTING)
+    bridge = spark.createDataFrame([], "album_id string, asset_id string")
+    seen = listing.filter("creation_time >= 100").select("asset_id")
+    batch = review.review_batch(listing, bridge, seen, 20, order="newest").collect()
+    assert [r.asset_id for r in batch] == [f"p{i:04d}" for i in range(99, 79, -1)]
+
+
 def test_albums(spark):
     listing = spark.createDataFrame([("a", "photo", 1), ("b", "video", 2), ("c", "photo", 3)], LISTING)
     bridge = spark.createDataFrame([("A", "a"), ("A", "c"), ("B", "a")], "album_id string, asset_id string")

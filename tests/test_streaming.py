@@ -74,8 +74,22 @@ def test_upsert_log_resumes(spark, tmp_path):
     write_parts(spark, [("x", 0, 0, 0), ("c", 2, None, 2), ("a", 3, None, 1)][1:], schema, f"{tmp_path}/in", 5)
     log, got = run()
     assert got == {"a": (9, 1), "b": (2, 1), "c": (None, 2)} and log.count() == 3
-    stream_catalog.compact(base, log, f"{tmp_path}/next")
-    assert spark.read.parquet(f"{tmp_path}/next").count() == 3
+
+
+def test_compaction_keeps_later_changes(spark, tmp_path):
+    schema = "asset_id string, seq bigint, width int, status int"
+    base = spark.createDataFrame([("a", 1, 1)], "asset_id string, width int, status int")
+    table = stream_catalog.CompactedCatalog(str(tmp_path))
+    table.start(base)
+    log = spark.createDataFrame([("a", 1, 9, None), ("b", 2, 3, 1)], schema)
+    table.compact(spark, log)
+    table.compact(spark, log)  # nothing new
+    later = log.union(spark.createDataFrame([("a", 3, 50, 1)], schema))
+    for _ in range(2):
+        got = {r.asset_id: (r.width, r.status) for r in table.current(spark, later).collect()}
+        assert got == {"a": (50, 1), "b": (3, 1)}
+        table.compact(spark, later)
+    assert len(list((tmp_path / "base").iterdir())) == 3
 
 
 def test_ingest_files_and_counts(spark, tmp_path):
