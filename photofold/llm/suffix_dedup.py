@@ -34,7 +34,7 @@ GRAM = 32
 MOST = 64
 SPLITS = (34, 6, 1)
 
-OCCURRENCE = "doc_id long, tag int, start long, end long, repeat long, copies long"
+OCCURRENCE = "doc_id long, tag long, start long, end long, repeat long, copies long"
 
 
 def anchors(texts: Sequence[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -44,20 +44,19 @@ def anchors(texts: Sequence[bytes], length: int = LENGTH, gram: int = GRAM) -> d
     none = np.empty(0, np.int64)
     if n < length:
         return {"doc": none, "pos": none, "left": none, "right": none, "gram": none, "context": none}
-    begin = np.arange(n - gram + 1)
-    hashes = b.hashes(begin, begin + gram)
-    packed = (hashes >> np.uint64(32) << np.uint64(32)) | begin.astype(np.uint64)
-    rows = np.full(-(-(len(packed) + width) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    rows[: len(packed)] = packed
+    hashes = b.every(gram)
+    rows = np.full(-(-(len(hashes) + width) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    packed = rows[: len(hashes)]
+    np.bitwise_and(hashes, np.uint64(0xFFFFFFFF00000000), out=packed)
+    packed |= np.arange(len(hashes), dtype=np.uint64)
     rows = rows.reshape(-1, width)
     forth = np.minimum.accumulate(rows, axis=1).ravel()
     back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - length + 1
     least = np.minimum(back[:windows], forth[width - 1 : width - 1 + windows])
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    doc = np.searchsorted(b.end, np.arange(windows), "right")
-    inside = np.arange(windows) + length <= b.end[np.minimum(doc, len(b.end) - 1)]
-    pos = np.unique(at[inside])
+    inside = np.arange(windows) <= np.repeat(b.end - length, b.end - b.start)[:windows]
+    at = (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    pos = at[np.append(True, at[1:] != at[:-1])] if len(at) else at  # the least of a moving window moves forth only
     doc = np.searchsorted(b.end, pos, "right")
     left = np.minimum(pos - b.start[doc], width - 1)
     right = np.minimum(b.end[doc] - pos, length)
@@ -70,7 +69,7 @@ def anchors(texts: Sequence[bytes], length: int = LENGTH, gram: int = GRAM) -> d
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 19):
             a = anchors(batch.column(2).to_pylist(), length, gram)
             if not len(a["pos"]):
                 continue
@@ -81,7 +80,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 ["doc_id", "tag", "pos", "left", "right", "gram", "context"],
             )
 
-    return named_bytes(docs).mapInArrow(run, "doc_id long, tag int, pos long, left int, right int, gram long, context long")
+    return named_bytes(docs).mapInArrow(run, "doc_id long, tag long, pos long, left int, right int, gram long, context long")
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -166,24 +165,35 @@ def maximal_repeats(
 
 
 #: Rows of a level: classes of contexts. A class of one occurrence is at (doc_id, tag, pos).
-CLASS = "gram long, context long, doc_id long, tag int, pos long, left int, right int, copies long, bytes binary"
+CLASS = "gram long, context long, doc_id long, tag long, pos long, left int, right int, copies long, bytes binary"
 
 
-def _intervals(classes: DataFrame, length: int) -> DataFrame:
-    """Occurrences of maximal repeats among the classes of each gram, one row for each member class."""
+def _intervals(classes: DataFrame, length: int, groups: bool) -> DataFrame:
+    """Occurrences of maximal repeats among the classes of each gram, one row for each member class; or only the union
+    of their spans for each class of one occurrence (they all hold its anchor)."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("repeat", pa.int64()), ("copies", pa.int64())]
+        [("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("repeat", pa.int64()), ("copies", pa.int64())]
     )
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         column = {c: rows.column(c).to_pylist() for c in ("doc_id", "tag", "pos", "left", "gram", "context", "copies", "bytes")}
         out: list[tuple] = []
+        reach: dict[int, tuple[int, int]] = {}
         for left, right, members in maximal_repeats(column["bytes"], column["left"], column["gram"], length):
+            if not groups:
+                for i in members:
+                    far = reach.get(i, (0, 0))
+                    reach[i] = (max(far[0], left), max(far[1], right))
+                continue
             one = min(column["context"][i] for i in members)
             name = int(mix(np.array([one, left, right], np.int64).view(np.uint64)).sum().astype(np.int64))
             for i in members:
                 pos = column["pos"][i]
                 out.append((column["doc_id"][i], column["tag"][i], pos - left, pos + right, name, column["copies"][i]))
+        for i, (left, right) in reach.items():
+            if column["copies"][i] == 1:
+                pos = column["pos"][i]
+                out.append((column["doc_id"][i], column["tag"][i], pos - left, pos + right, column["context"][i], 1))
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,18 +250,27 @@ def _split(classes: DataFrame, length: int, reach: int, width: int) -> DataFrame
     return classes.mapInArrow(run, CLASS)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, splits: Sequence[int] = SPLITS) -> DataFrame:
+def repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    most: int = MOST,
+    splits: Sequence[int] = SPLITS,
+    groups: bool = True,
+) -> DataFrame:
     """Occurrences of repeated substrings of ``length`` bytes or more: ``doc_id``, ``tag`` (of the row, see ``spans``),
     ``start``, ``end`` (bytes), ``repeat`` (its id) and ``copies`` (occurrences for which the row stands).
 
     Every window of ``length`` bytes that begins in more than one place lies in a reported occurrence at each of these
     places, and no reported span holds a byte outside such windows. A repeat that goes beyond an anchor's context is reported in
-    overlapping parts, one per anchor.
+    overlapping parts, one per anchor. With ``groups`` off, of the maximal repeats around one anchor only the union of their spans
+    is reported: the same bytes in fewer rows.
     """
     rows = anchor_rows(docs, length, gram)
     grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-    again = grams.filter("n > 1").select("gram", F.col("low").eqNullSafe(F.col("high")).alias("pure"))
-    again = cut_lineage(rows.join(again, "gram"))
+    # Sums are stored before a join on their key, else a hot gram couldn't be split in that join.
+    grams = cut_lineage(grams.filter("n > 1").select("gram", F.col("low").eqNullSafe(F.col("high")).alias("pure")))
+    again = cut_lineage(rows.join(grams, "gram"))
     whole = [F.col("pos") - F.col("left"), F.col("pos") + F.col("right")]
     occurrence = ["doc_id", "tag", whole[0].alias("start"), whole[1].alias("end"), F.col("context").alias("repeat"), F.lit(1).cast("long").alias("copies")]
     found = [again.filter("pure").select(*occurrence)]
@@ -267,11 +286,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
 
     reach = length - gram
     for width in [*splits, None]:
-        sizes = level.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
-        sized = level.join(sizes.filter("classes > 1"), "gram")
         if width is None:  # whole windows: a gram has one class
             break
-        found.append(cut_lineage(_intervals(sized.filter(F.col("classes") <= most).drop("classes"), length)))
+        sizes = level.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
+        sized = level.join(cut_lineage(sizes.filter("classes > 1")), "gram")
+        found.append(cut_lineage(_intervals(sized.filter(F.col("classes") <= most).drop("classes"), length, groups)))
         members = cut_lineage(_split(sized.filter(F.col("classes") > most).drop("classes"), length, reach, width))
         reach = width - 1
         at = F.struct("doc_id", "tag", "pos", "left", "right")
@@ -321,4 +340,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
     than ``length`` stay. Each row is a text of its own, also where rows or ids repeat. Other columns are ignored; an
     empty table gives an empty result.
     """
-    return cut_spans(docs, repeats(docs, length, **options).select("doc_id", "tag", "start", "end"))
+    spans = repeats(docs, length, groups=False, **options)
+    return cut_spans(docs, spans.select("doc_id", "tag", "start", "end"))

@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photofold.llm.common import id_and_text, pieces, task_count
-from photofold.llm.words import Bytes
+from photofold.llm.words import Bytes, worker_memory
 from photofold.session import run_folder
 
 BLOCK_IDS = 1 << 17
 MIN_COUNT = 6
-CACHED_WORDS = 700_000
+CACHED_WORDS = 400_000
 
 BLOCK_SCHEMA = (
     "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
@@ -78,8 +76,7 @@ class WordEncoder:
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
         """The encoder of this Python worker, which serves many tasks."""
-        kept = sys.modules.setdefault("_photofold_worker", types.ModuleType("_photofold_worker"))
-        encoders = kept.__dict__.setdefault("encoders", {})
+        encoders = worker_memory().setdefault("encoders", {})
         if path not in encoders:
             encoders[path] = cls(path)
         return encoders[path]
@@ -297,7 +294,7 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema)
 
         total = 0
-        for batch in pieces(batches, 1 << 22):
+        for batch in pieces(batches, 1 << 20):
             for name, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids.append(own + end)
                 names.append(name)

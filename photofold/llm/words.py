@@ -6,6 +6,8 @@ byte ranges come from prefix sums of a polynomial in 64-bit arithmetic and a fin
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,22 +18,33 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def worker_memory() -> dict:
+    """What this Python worker keeps from one task to the next; never shipped with code."""
+    return sys.modules.setdefault("_photofold_worker", types.ModuleType("_photofold_worker")).__dict__
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    size = 1 << max(16, n.bit_length())
+    known = worker_memory().get("powers")
+    if known is None or len(known[0]) < n:
+        size = 1 << max(16, n.bit_length())
 
-    def powers(base: int) -> np.ndarray:
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
+        def powers(base: int) -> np.ndarray:
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            return np.multiply.accumulate(steps)
 
-    return powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
+        known = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
+        if size <= 1 << 21:
+            worker_memory()["powers"] = known
+    return known
 
 
 class Bytes:
@@ -44,16 +57,29 @@ class Bytes:
         self.start = self.end - sizes
         self._sums = None
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each range of bytes; equal bytes have equal hashes."""
+    def _prepare(self) -> None:
         if self._sums is None:
             n = len(self.data)
             self._power, self._inverse = _powers(n + 1)
             values = mix(np.arange(1, 257, dtype=np.uint64))[self.data]
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self._power[:n], dtype=np.uint64)])
+            values *= self._power[:n]
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(values, out=self._sums[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each range of bytes; equal bytes have equal hashes."""
+        self._prepare()
         raw = (self._sums[end] - self._sums[start]) * self._inverse[start]
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def every(self, size: int) -> np.ndarray:
+        """The hashes of all ranges of ``size`` bytes, also those that cross texts."""
+        self._prepare()
+        raw = self._sums[size:] - self._sums[:-size]
+        raw *= self._inverse[: len(raw)]
+        raw += np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+        return mix(raw)
+
 
 class Words:
     """``start`` and ``end`` of every word and the text ``doc`` it belongs to, in order."""
