@@ -995,5 +995,6 @@ ORACLES: dict[str, str] = {
     FROM assets LEFT JOIN documents ON doc_id = event_id""",
     ),
 }
+ORACLES["stream_best_shot"] = ORACLES["best_shot"]
 ORACLES["stream_upsert"] = ORACLES["upsert_coalesce"]
 ORACLES["stream_review"] = ORACLES["review_fold"]

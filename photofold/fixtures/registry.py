@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +13,7 @@ from photofold.config import (
     DONE,
     ERROR,
     MAX_LABELS,
+    PENDING,
     PHOTO_SOURCE_CAP,
     SimilarityConfig,
 )
@@ -96,14 +97,12 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return exploded.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.read_new_files(spark, sf, EVENTS, glob="events.parquet")
-
-
-def event_files(spark: SparkSession, sf: str, files: int = 6) -> DataFrame:
+def event_files(
+    spark: SparkSession, sf: str, files: int = 6, order: Sequence[str] = ("event_id",)
+) -> DataFrame:
     """Stream of the events in so many files in time order, a file per batch."""
     folder = run_folder(spark, "event-files")
-    parts = number_sorted(v.table(spark, sf, "events").orderBy("event_id"), "_n")
+    parts = number_sorted(v.table(spark, sf, "events").orderBy(*order), "_n")
     rows = parts.count()
     parts = cut_lineage(parts)
     for k in range(files):
@@ -112,9 +111,9 @@ def event_files(spark: SparkSession, sf: str, files: int = 6) -> DataFrame:
     return ingest.read_new_files(spark, folder, EVENTS, files_per_trigger=1)
 
 
-def asset_stream(spark: SparkSession, sf: str) -> DataFrame:
+def asset_stream(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
     n_vectors = v.table(spark, sf, "embeddings").count()
-    return v.project_assets(event_stream(spark, sf), v.embedding_hashes(spark, sf), n_vectors)
+    return v.project_assets(event_files(spark, sf, files, ["ts", "event_id"]), v.embedding_hashes(spark, sf), n_vectors)
 
 
 def document_images(spark: SparkSession, sf: str) -> DataFrame:
@@ -1008,16 +1007,29 @@ def stream_ingest(spark, sf):
 
 @query
 def stream_dup_groups(spark, sf):
+    return _group_stream(spark, sf).members(spark).select("group_id", "asset_id", "distance_to_parent")
+
+
+@query
+def stream_best_shot(spark, sf):
+    return _group_stream(spark, sf).best(spark).select("group_id", "best_asset_id", r6("score"))
+
+
+def _group_stream(spark, sf):
+    """Over several files in time order, so that groups go on from batch to batch."""
     stream = GroupStream(run_folder(spark, "stream"))
-    ingest.run_available(stream.start(asset_stream(spark, sf)))
-    return stream.members(spark).select("group_id", "asset_id", "distance_to_parent")
+    ingest.run_available(stream.start(asset_stream(spark, sf, 3)))
+    return stream
 
 
 @query
 def stream_status(spark, sf):
-    folder = run_folder(spark, "stream")
-    ingest.run_available(ingest.stream_status(asset_stream(spark, sf), folder))
-    return spark.read.parquet(f"{folder}/counts/{0:012d}")
+    """Every asset comes twice, first as pending."""
+    stream = ingest.StatusStream(run_folder(spark, "stream"))
+    assets = asset_stream(spark, sf, 2)
+    first = assets.withColumns({"status": F.lit(PENDING), "updated_at": F.col("updated_at") - 1})
+    ingest.run_available(stream.start(first.union(assets)))
+    return stream.counts(spark)
 
 
 @query
@@ -1036,8 +1048,8 @@ def stream_upsert(spark, sf):
 @query
 def stream_review(spark, sf):
     stream = ReviewStream(run_folder(spark, "stream"))
-    ingest.run_available(stream.start(v.project_reviews(event_stream(spark, sf))))
-    return stream.state(spark, 0)
+    ingest.run_available(stream.start(v.project_reviews(event_files(spark, sf))))
+    return stream.state(spark)
 
 
 @query

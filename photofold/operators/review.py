@@ -260,7 +260,8 @@ def effective_restores(events: DataFrame, block_rows: int | None = None) -> Data
         *keys, "media_type", "asset_id", "seq", "action"
     )
     clearing = F.when(F.col("asset_id").isNull() & F.col("action").isin(CLEARS_TRASH), 1).otherwise(0)
-    counted = with_running_total(video, [*keys, "seq"], "_epoch", clearing)
+    # Stored state comes back with one seq for all, so the id is needed to make the order unique.
+    counted = with_running_total(video, [*keys, "seq", "asset_id"], "_epoch", clearing)
     moves = counted.filter(F.col("asset_id").isNotNull() & F.col("action").isin("trash", "restore"))
     positioned = with_position(
         moves.select(*keys, "media_type", "asset_id", "seq", "action", "_epoch"), [*keys, "asset_id", "seq"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from photofold.config import SimilarityConfig
+from photofold.operators.groups import best_shot
 from photofold.operators.similarity import as_members, assign_roots, to_group
 from photofold.plans.hot_keys import broadcast_if_fits, salted_join, top_n_per_key
 from photofold.plans.ordering import BLOCK_ROWS
@@ -21,7 +22,7 @@ class GroupStream:
     """Group assignment batch by batch, equal to one run over everything that was on time.
 
     Between batches only the last ``max_compare_count - 1`` assets of each library and
-    their groups are kept. Assets at or before the newest one seen are late: they go to
+    their groups are kept, and read again when the library has new assets. Assets at or before the newest one seen are late: they go to
     their own table and wait for a full run. Every batch writes its own folders, so a
     repeated batch replaces its output.
     """
@@ -35,28 +36,46 @@ class GroupStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         keys = library_keys(batch)
-        rows = cut_lineage(to_group(batch))
+        stored = cut_lineage(batch)
+        rows = to_group(stored)
         columns = [*keys, "asset_id", "taken_at", "_bits", "_root"]
         new = rows.withColumn("_root", F.lit(None).cast("string"))
-        if not batch_id:
+        tail = self._tail(batch, rows, batch_id)
+        if tail is None:
             rows.drop("_bits").limit(0).write.mode("overwrite").parquet(self._path("late", batch_id))
         else:
-            tail = batch.sparkSession.read.parquet(self._path("tail", batch_id - 1))
             new, late = self._split_late(new, tail, keys)
             late.drop("_root", "_bits").write.mode("overwrite").parquet(self._path("late", batch_id))
             new = new.select(*columns).unionByName(tail.select(*columns))
         roots = cut_lineage(assign_roots(new, self.config, self.block_rows))
-        as_members(roots.filter("grouped")).write.mode("overwrite").parquet(
-            self._path("members", batch_id)
-        )
+        members = as_members(roots.filter("grouped"))
+        members.write.mode("overwrite").parquet(self._path("members", batch_id))
+        if {"width", "height", "blur_score", "mean_luma"} <= set(stored.columns):
+            best = best_shot(members, stored)
+            best.write.mode("overwrite").parquet(self._path("best", batch_id))
         n = max(self.config.max_compare_count - 1, 1)
         newest = [F.desc("taken_at"), F.desc("asset_id")]
         last = top_n_per_key(new, keys, newest, n).drop("_rank", "_root")
         ids = [*keys, "asset_id"]
         known = roots.select(*ids, F.col("root_id").alias("_root"))
-        known.join(broadcast_if_fits(last), ids).write.mode("overwrite").parquet(
-            self._path("tail", batch_id)
-        )
+        kept = known.join(broadcast_if_fits(last), ids).withColumn("_batch", F.lit(batch_id).cast("bigint"))
+        kept.write.mode("overwrite").parquet(self._path("tail", batch_id))
+
+    def _tail(self, batch: DataFrame, rows: DataFrame, batch_id: int) -> DataFrame | None:
+        """The last assets of the libraries in the batch, from the last batch that each was in."""
+        if not batch_id:
+            return None
+        keys = library_keys(batch)
+        tails = batch.sparkSession.read.parquet(f"{self.folder}/tail/*").filter(F.col("_batch") < batch_id)
+        if keys:
+            present = rows.select(*keys).distinct()
+            tails = tails.join(broadcast_if_fits(present), keys, "left_semi")
+        if not keys:
+            last = tails.agg(F.max("_batch")).first()[0]
+            return cut_lineage(tails.filter(F.col("_batch") == last).drop("_batch"))
+        newest = tails.groupBy(*keys).agg(F.max("_batch").alias("_newest"))
+        marked = tails.join(broadcast_if_fits(newest), keys)
+        return cut_lineage(marked.filter("_batch = _newest").drop("_newest", "_batch"))
 
     @staticmethod
     def _split_late(new: DataFrame, tail: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -87,5 +106,14 @@ class GroupStream:
     def members(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/members/*")
 
+    def best(self, spark) -> DataFrame:
+        """Best shot of each group so far: the best of those that the batches found for their members."""
+        rows = spark.read.parquet(f"{self.folder}/best/*")
+        top = F.min(F.struct((-F.col("score")).alias("by"), "best_asset_id")).alias("top")
+        keys = [*library_keys(rows), "group_id"]
+        return rows.groupBy(*keys).agg(top).select(
+            *keys, F.col("top.best_asset_id").alias("best_asset_id"), (-F.col("top.by")).alias("score")
+        )
+
     def late(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/late/*")

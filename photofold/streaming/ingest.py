@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,18 +57,27 @@ def stream_ingest(images: DataFrame, folder: str) -> DataStreamWriter:
     )
 
 
-def stream_status(results: DataFrame, folder: str) -> DataStreamWriter:
-    """Running counts per status; the state is one row per status."""
-    counts = results.groupBy(*library_keys(results), "status").agg(F.count(F.lit(1)).alias("count"))
+@dataclass
+class StatusStream:
+    """Assets by their last status, so that a scan repeated counts once; batches come in time order."""
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/counts/{batch_id:012d}")
+    folder: str
 
-    return (
-        counts.writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .foreachBatch(publish)
-    )
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        ids = [*library_keys(batch), "asset_id"]
+        order = [c for c in ("updated_at",) if c in batch.columns] or ["status"]
+        last = batch.groupBy(*ids).agg(F.max_by("status", F.struct(*order, "status")).alias("status"))
+        path = f"{self.folder}/status/{batch_id:012d}"
+        last.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(path)
+
+    def start(self, results: DataFrame) -> DataStreamWriter:
+        return results.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.process)
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.parquet(f"{self.folder}/status/*")
+        keys = library_keys(rows)
+        last = rows.groupBy(*keys, "asset_id").agg(F.max_by("status", "_batch").alias("status"))
+        return last.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("count"))
 
 
 def on_time_assets(assets: DataFrame, delay: str = "0 seconds") -> DataFrame:

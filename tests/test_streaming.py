@@ -49,6 +49,39 @@ def test_late_assets_are_set_aside(spark, tmp_path):
     assert sorted(r.asset_id for r in stream.late(spark).collect()) == ["a", "c"]
 
 
+def test_libraries_come_and_go(spark, tmp_path):
+    rows = sorted((r for r in library(41, 120) + library(42, 120, name="M") if r[2]), key=lambda r: (r[2], r[1]))
+    parts = [[r for r in rows if r[0] != "M"][:50], [r for r in rows if r[0] == "M"], [r for r in rows if r[0] != "M"][50:]]
+    stream = GroupStream(str(tmp_path), block_rows=16)
+    for k, part in enumerate(parts):
+        stream.process(spark.createDataFrame(part, SCHEMA), k)
+        if not k:
+            assert stream.late(spark).count() == 0
+    got = {(r.library_id, r.asset_id, r.group_id) for r in stream.members(spark).collect()}
+    assert got == {(r.library_id, r.asset_id, r.group_id) for r in similarity.dup_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {r.library_id for r in spark.read.parquet(f"{tmp_path}/tail/{1:012d}").collect()} == {"M"}
+
+
+def test_review_state_is_written_for_named_assets_only(spark, tmp_path):
+    schema = "seq bigint, asset_id string, media_type string, action string"
+    stream = ReviewStream(str(tmp_path))
+    stream.process(spark.createDataFrame([(k, f"p{k}", "photo", "delete") for k in range(50)], schema), 0)
+    stream.process(spark.createDataFrame([(60, "p1", "photo", "undo"), (61, None, "photo", "confirm")], schema), 1)
+    assert spark.read.parquet(f"{tmp_path}/state/{1:012d}").count() == 1
+    state = {r.asset_id: r for r in stream.state(spark).collect()}
+    assert len(state) == 50 and not any(r.in_delete_queue for r in state.values())
+    assert [k for k, r in state.items() if not r.processed] == ["p1"]
+
+
+def test_stored_review_state_is_no_single_sort_key(spark):
+    from photofold.plans.ordering import sorted_parts
+
+    rows = spark.range(40_000).selectExpr("-1L AS seq", "concat('v', id) AS asset_id")
+    with_parts = sorted_parts(rows.repartition(8), ["seq", "asset_id"])
+    sizes = [r["count"] for r in with_parts.groupBy("_part").count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_review_batch_by_batch(spark, tmp_path):
     log = random_log(5, 200)
     schema = "library_id string, seq bigint, asset_id string, media_type string, action string"
@@ -110,9 +143,18 @@ def test_ingest_files_and_counts(spark, tmp_path):
     results = spark.read.parquet(f"{tmp_path}/scan/results")
     assert {r.asset_id: r.status for r in results.collect()} == {"a": 1, "b": 2}
     again = ingest.read_new_files(spark, f"{tmp_path}/scan/results", results._jdf.schema().toDDL())
-    ingest.run_available(ingest.stream_status(again, f"{tmp_path}/status"))
-    counts = spark.read.parquet(f"{tmp_path}/status/counts/{0:012d}").collect()
-    assert {r.status: r["count"] for r in counts} == {1: 1, 2: 1}
+    status = ingest.StatusStream(f"{tmp_path}/status")
+    ingest.run_available(status.start(again))
+    assert {r.status: r["count"] for r in status.counts(spark).collect()} == {1: 1, 2: 1}
+
+
+def test_status_counts_an_asset_once(spark, tmp_path):
+    stream = ingest.StatusStream(str(tmp_path))
+    schema = "library_id string, asset_id string, status int"
+    stream.process(spark.createDataFrame([("L", "a", 0), ("L", "b", 0), ("M", "a", 2)], schema), 0)
+    for _ in range(2):  # a repeated batch replaces its output
+        stream.process(spark.createDataFrame([("L", "a", 1)], schema), 1)
+    assert sorted(tuple(r) for r in stream.counts(spark).collect()) == [("L", 0, 1), ("L", 1, 1), ("M", 2, 1)]
 
 
 def test_watermark_keeps_one_row_per_asset(spark, tmp_path):
