@@ -139,3 +139,19 @@ def test_targets_share_the_excess():
     assert mixing.targets([10, 10, 10], [5, 2, 1], 45, 2) == pytest.approx([20, 50 / 3, 25 / 3])
     assert mixing.targets([1, 100], [5, 1], 60, 2) == pytest.approx([2, 58])
     assert mixing.targets([], [], 0, 2) == [] and mixing.targets([0, 5], [1, 1], 7.5, 2) == pytest.approx([0, 7.5])
+
+
+def test_line_dedup_query_against_sql(spark):
+    import duckdb
+
+    from check import digest
+    from photofold.llm.oracles import ORACLES
+    from photofold.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, folder)
+        cursor = con.execute(sql)
+        assert digest(df.columns, df.collect()) == digest([d[0] for d in cursor.description], cursor.fetchall())
