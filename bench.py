@@ -32,6 +32,9 @@ HEADLINE = [
     "group_members",
     "per_album_top_n",
     "stream_dup_groups",
+    "scan",
+    "stream_review",
+    "stream_upsert",
 ]
 
 

@@ -369,7 +369,8 @@ ORACLES: dict[str, str] = {
     # 2.1 sources, catalog writes
     "scan_media": with_views(
         "media_listing",
-        "SELECT asset_id, creation_time, width, height FROM media_listing WHERE media_type = 'photo'",
+        """SELECT asset_id, creation_time, width, height, row_number() OVER (ORDER BY creation_time, asset_id) AS rank
+      FROM media_listing WHERE media_type = 'photo'""",
     ),
     "scan_media_albums": with_views(
         ["media_listing", "album_assets"],
@@ -734,7 +735,8 @@ ORACLES: dict[str, str] = {
     ),
     "group_summary": with_views(
         ["summary", "media_listing"],
-        """SELECT 'grp_' || root_id AS group_id, n AS member_count, best_asset_id, uri AS representative_uri FROM summary LEFT JOIN
+        """SELECT 'grp_' || root_id AS group_id, n AS member_count, best_asset_id, uri AS representative_uri,
+        row_number() OVER (ORDER BY 'grp_' || root_id) AS rank FROM summary LEFT JOIN
         (SELECT asset_id, coalesce(nullif(local_uri, ''), nullif(uri, '')) AS uri FROM media_listing) l
         ON l.asset_id = root_id""",
     ),
@@ -989,6 +991,7 @@ ORACLES: dict[str, str] = {
         """SELECT asset_id, taken_at FROM assets WHERE status = 0 AND NOT coalesce(taken_at > 1705000000000
       OR (taken_at = 1705000000000 AND asset_id > 'a'), false)""",
     ),
+    "stream_on_time": with_views("assets", "SELECT asset_id, taken_at FROM assets WHERE taken_at IS NOT NULL"),
     "error_isolation": with_views(
         "assets",
         """SELECT asset_id, CASE WHEN doc_id IS NULL THEN 'Asset not found or no local URI' END AS error_message

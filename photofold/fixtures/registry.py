@@ -144,9 +144,8 @@ def collected_moves(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_media(spark, sf):
-    return review.scan_media(v.media_listing(spark, sf)).select(
-        "asset_id", "creation_time", "width", "height"
-    )
+    rows = review.scan_media(v.media_listing(spark, sf))
+    return positioned(rows.select("asset_id", "creation_time", "width", "height"))
 
 
 @query
@@ -643,7 +642,7 @@ def best_shot_changes(spark, sf):
 
 @query
 def group_summary(spark, sf):
-    return summary(spark, sf, SimilarityConfig())
+    return positioned(summary(spark, sf, SimilarityConfig()))
 
 
 @query
@@ -1062,6 +1061,17 @@ def late_assets(spark, sf):
     return cat.late_assets(v.assets(spark, sf), *CURSOR)
 
 
+@query
+def stream_on_time(spark, sf):
+    """Every asset comes twice within the watermark and is kept once."""
+    folder = run_folder(spark, "stream")
+    timed = asset_stream(spark, sf).filter("taken_at is not null").select("asset_id", "taken_at")
+    once = ingest.on_time_assets(timed.union(timed), "1 hour").select("asset_id", "taken_at")
+    writer = once.writeStream.format("parquet").option("path", f"{folder}/once")
+    ingest.run_available(writer.option("checkpointLocation", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/once")
+
+
 @query
 def error_isolation(spark, sf):
     return quality.features_of(v.assets(spark, sf), document_images(spark, sf)).select("asset_id", "error_message")

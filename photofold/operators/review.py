@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photofold.config import FAILURES_TO_TRIP
-from photofold.plans.hot_keys import broadcast_if_fits, first_rows, salted_join, top_n_per_key
+from photofold.plans.hot_keys import first_rows, join_small, salted_join, top_n_per_key
 from photofold.plans.ordering import (
     HOME,
     POSITION,
@@ -216,7 +216,7 @@ def _with_global_marks(per_asset: DataFrame, events: DataFrame) -> DataFrame:
             _last(["progress_reset"]).alias("_reset"),
         )
     )
-    return per_asset.join(broadcast_if_fits(marks), keys, "left")
+    return join_small(per_asset, marks, keys, "left")
 
 
 def fold_photos(events: DataFrame) -> DataFrame:

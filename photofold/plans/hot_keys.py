@@ -62,6 +62,13 @@ def salted_join(
     return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt")
 
 
+def join_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table that is small as a rule: broadcast where its counted size allows, else split by hot keys."""
+    if fits(right):
+        return left.join(F.broadcast(right), list(on), how)
+    return salted_join(left, right, on, how)
+
+
 def top_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 32
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from photofold.operators.review import (
     CLEARS_TRASH,
     review_fold,
 )
-from photofold.plans.hot_keys import broadcast_if_fits
+from photofold.plans.hot_keys import broadcast_if_fits, join_small
 from photofold.schemas import library_keys
 from photofold.session import cut_lineage
 
@@ -97,7 +97,7 @@ class ReviewStream:
         cleared = marks.groupBy(*keys, "media_type").agg(
             *[F.max(F.when(F.col(flag), F.col("_batch"))).alias(f"_{flag}") for flag in FLAGS]
         )
-        joined = last.join(broadcast_if_fits(cleared), [*keys, "media_type"], "left")
+        joined = join_small(last, cleared, [*keys, "media_type"], "left")
         now = {f: F.col(f) & ~F.coalesce(F.col(f"_{f}") > F.col("_batch"), F.lit(False)) for f in FLAGS}
         queued = F.when(now["in_delete_queue"], F.col("queued_at")).alias("queued_at")
         return joined.select(*keys, "asset_id", "media_type", *[c.alias(f) for f, c in now.items()], queued)
