@@ -6,17 +6,21 @@ any number of neighbours is no task of its own. The least node of each component
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photofold.session import cut_lineage
+from photofold.session import stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Every neighbour above u points to the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # Stored, so that the join can split a node with very many neighbours.
+    least, remove = stored(least)
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), remove
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,12 +34,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node``, ``label`` for every node that has an edge; ``edges`` has ``u`` and ``v`` (numbers, not null).
 
     The number of rounds grows with the logarithm of the longest chain; the driver sees one row count and
-    one check sum per round. Each round is written below the session's shared folder.
+    one check sum per round. Each round is written below the session's shared folder, and removed after the next.
     """
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, seen = cut_lineage(now), None
+    now, remove = stored(now)
+    seen = None
     for _ in range(most_rounds):
-        now = cut_lineage(_small_star(_large_star(now)))
+        large, remove_least = _large_star(now)
+        new, remove_new = stored(_small_star(large))
+        remove_least()
+        remove()
+        now, remove = new, remove_new
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == seen:
             break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photofold.llm.common import pieces
+from photofold.llm.common import pieces, small_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -305,10 +305,11 @@ def extract(pages: DataFrame) -> DataFrame:
     space. Repeated rows give repeated results; other columns are ignored; an empty table gives an empty
     result. Each page is read whole, in place, without a shuffle.
     """
+    small_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 22, "html"):
+        for batch in pieces(batches, 1 << 20, "html"):
             texts = [main_text(page) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photofold.llm.common import numbered, task_count
+from photofold.llm.common import pick_rows, row_tag, task_count
 from photofold.session import cut_lineage
 
 SEED = 20
@@ -101,8 +101,8 @@ def mix(
 ) -> DataFrame:
     """The mixture as packets in its global order.
 
-    ``docs`` has ``doc_id``, ``source`` and ``size`` (words, not null), and may have a unique ``row_id``. Returns for
-    each packet ``row_id`` (of its document), ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copy`` (0,
+    ``docs`` has ``doc_id``, ``source`` and ``size`` (words, not null), and may have a ``tag`` that tells rows of one
+    id apart. Returns for each packet ``row_id`` (of its document), ``tag``, ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copy`` (0,
     1, ...), ``finish`` (virtual time), ``words``, ``position`` (increasing in the global order) and ``taken`` (all
     words, those up to the cut, or 0).
 
@@ -115,9 +115,9 @@ def mix(
     partitions, since it is sorted by its shuffled order too.
     """
     spark = docs.sparkSession
-    own = F.col("row_id") if "row_id" in docs.columns else F.lit(None)
+    tag = F.col("tag") if "tag" in docs.columns else F.lit(0)
     sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("size").cast("long").alias("size"), own.cast("long").alias("own")
+        F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("size").cast("long").alias("size"), tag.cast("long").alias("tag")
     )
     known = source_targets(sized, weights, share, most)
     budget = int(round(sum(t for _, _, t in known)))
@@ -129,9 +129,9 @@ def mix(
     # 1. Each document's place in its queue.
     drawn = sized.join(plan, F.col("source").eqNullSafe(F.col("its"))).drop("its")
     drawn = drawn.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
-    order = ["number", "draw", "doc_id", "size", "own"]
+    order = ["number", "draw", "doc_id", "size", "tag"]
     queued = drawn.repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("draw")
-    columns = "doc_id long, size long, own long, number int, source_size long, target double"
+    columns = "doc_id long, size long, tag long, number int, source_size long, target double"
     queued = cut_lineage(
         queued.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(
             _numbered("_inside", "number", "size"), f"{columns}, _part long, _row long, _inside long"
@@ -145,8 +145,8 @@ def mix(
     last = F.greatest(F.ceil(F.col("size") / packet_words).cast("long") - 1, F.lit(0))
     packets = (
         queued.select(
-            F.coalesce("own", F.shiftleft("_part", 33).bitwiseOR(F.col("_row"))).alias("row_id"),
-            "doc_id", "size", "number", "source_size", "target", place.alias("place"),
+            F.shiftleft("_part", 33).bitwiseOR(F.col("_row")).alias("row_id"),
+            "doc_id", "tag", "size", "number", "source_size", "target", place.alias("place"),
             F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"),
         )
         .withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -159,7 +159,7 @@ def mix(
 
     # 3. Global order by finish time, cut at the budget.
     order = ["finish", "number", "row_id", "copy", "packet"]
-    kinds = "row_id long, doc_id long, size long, number int, copy int, finish double, words long"
+    kinds = "row_id long, doc_id long, tag long, size long, number int, copy int, finish double, words long"
     names = [c.split()[0] for c in kinds.split(", ")]
     ordered = cut_lineage(
         packets.repartitionByRange(tasks, *order)
@@ -174,7 +174,7 @@ def mix(
         ordered.join(starts, "_part")
         .join(plan, "number")
         .select(
-            "row_id", "doc_id", F.col("its").alias("source"), "size", "source_size", "target", "copy", "finish",
+            "row_id", "doc_id", "tag", F.col("its").alias("source"), "size", "source_size", "target", "copy", "finish",
             "words", F.shiftleft("_part", 33).bitwiseOR(F.col("_row")).alias("position"), taken.alias("taken"),
         )
     )
@@ -196,15 +196,12 @@ def mixed_copies(docs: DataFrame, **options) -> DataFrame:
 
     ``docs`` has ``doc_id``, ``source`` and ``text``; all columns are kept. Documents of no words add nothing and go.
     """
-    rows, name = numbered(docs)
-    sized = rows.select(F.col(name).alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = (
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_tag(docs).alias("tag"))
+    taken = (
         mix(sized, **options)
-        .groupBy("row_id", "copy")
+        .groupBy("row_id", "doc_id", "tag", "copy")
         .agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
-        .filter("taken > 0 and 2 * taken >= size")
-        .groupBy(F.col("row_id").alias(name))
-        .agg(F.count(F.lit(1)).cast("int").alias("copies"))
+        .withColumn("whole", ((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size"))).cast("int"))
     )
-    again = F.explode(F.sequence(F.lit(1), copies["copies"]))
-    return rows.join(copies, name).select(*[rows[c] for c in docs.columns], again.alias(name)).drop(name)
+    by_name = taken.groupBy("doc_id", "tag").agg(F.count_distinct("row_id").alias("rows"), F.sum("whole").alias("copies"))
+    return pick_rows(docs, by_name.filter("copies > 0"))

@@ -16,10 +16,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photofold.llm.common import id_and_text, numbered, pieces
+from photofold.llm.common import pick_rows, pieces, row_tag
+from photofold.llm.spans import named_bytes
 from photofold.llm.components import components
 from photofold.llm.words import Words, mix
 from photofold.session import cut_lineage
@@ -78,24 +79,23 @@ def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total
 
 
-def _sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``h1``, ``h2`` (null for texts of no words), ``n`` shingles and the ``bands`` keys."""
+def _sets(docs: DataFrame, words: int, bands: int, rows: int, tag: Column | None) -> DataFrame:
+    """``doc_id``, ``tag``, ``h1``, ``h2`` (null for texts of no words), ``n`` shingles and the ``bands`` keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 19):
             keys, sizes, bands_ = [], [], []
-            for own in shingle_sets([t or b"" for t in batch.column(1).to_pylist()], words):
+            for own in shingle_sets([t or b"" for t in batch.column(2).to_pylist()], words):
                 keys.append(set_key(own) if len(own) else (None, None))
                 sizes.append(len(own))
                 bands_.append(band_keys(own, bands, rows).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()),
+                [batch.column(0), batch.column(1), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()),
                  pa.array(sizes, pa.int64()), pa.array(bands_, pa.binary())],
-                ["doc_id", "h1", "h2", "n", "bands"],
+                ["doc_id", "tag", "h1", "h2", "n", "bands"],
             )
 
-    rows_in = id_and_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, h1 long, h2 long, n long, bands binary")
+    return named_bytes(docs, tag).mapInArrow(run, "doc_id long, tag long, h1 long, h2 long, n long, bands binary")
 
 
 def similar_in_blocks(
@@ -181,8 +181,10 @@ def similar_documents(
     recall: float = RECALL,
     rows: int = ROWS,
     block: int = BLOCK,
+    tag: Column | None = None,
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``class_id``, ``n_links`` and ``class_number`` (unique, null for texts of no words).
+    """One row per input row: ``doc_id``, ``class_id``, ``n_links`` ``class_number`` (unique, null for texts of no words)
+    and ``tag`` (by default a hash of the text).
 
     Two documents are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``threshold`` or
     more; ``n_links`` counts the other rows linked to this one, copies too. ``class_id`` is the least id of all rows
@@ -195,7 +197,7 @@ def similar_documents(
     group of any size is compared block by block.
     """
     bands = bands_for(threshold, recall, rows)
-    sets = cut_lineage(_sets(docs, words, bands, rows))
+    sets = cut_lineage(_sets(docs, words, bands, rows, tag))
     classes = sets.filter("h1 is not null").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
     )
@@ -212,11 +214,11 @@ def similar_documents(
     wanted = dealt.join(classes.select("node", "h1", "h2", "least", "copies"), "node")
 
     # Full sets of one document of each candidate class.
-    texts = id_and_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = named_bytes(docs).drop("tag")
     located = texts.join(wanted.withColumnRenamed("least", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).drop("at", "doc_id")
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 19):
             own = shingle_sets([t or b"" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], words)
             keys = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h1", "h2")))
             same = [len(x) > 0 and set_key(x) == k for x, k in zip(own, keys)]  # another row with this id may differ
@@ -243,25 +245,24 @@ def similar_documents(
     by_set = counted.join(names, "label").select(
         "h1", "h2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("label").alias("class_number")
     )
-    left = sets.select("doc_id", "h1", "h2")
-    out = left.filter("h1 is not null").join(by_set, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "class_number")
-    alone = left.filter("h1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long"))
+    left = sets.select("doc_id", "tag", "h1", "h2")
+    out = left.filter("h1 is not null").join(by_set, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "class_number", "tag")
+    alone = left.filter("h1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long"), "tag")
     return out.union(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are left when one document of each class stays, the one with the least id.
 
-    Null ids come last, and of equal ids one row stays. Texts of no words are in no class, so all of them stay.
+    Null ids come last, and of equal rows one stays. Texts of no words are in no class, so all of them stay. All columns
+    are kept.
     """
-    rows, name = numbered(docs)
-    found = similar_documents(rows.select(F.col(name).alias("doc_id"), "text"), **options)
-    ids = rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id"))
-    classed = found.filter("class_number is not null").join(ids, F.col("doc_id") == F.col("row"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    stay = classed.groupBy("class_number").agg(first.alias("first")).select(F.col("first.row").alias(name))
-    alone = found.filter("class_number is null").select(F.col("doc_id").alias(name))
-    return rows.join(stay.union(alone), name, "left_semi").drop(name)
+    found = similar_documents(docs, tag=row_tag(docs), **options)
+    names = found.groupBy("class_number", "doc_id", "tag").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "rows")).alias("first")
+    stay = names.filter("class_number is not null").groupBy("class_number").agg(first)
+    alone = names.filter("class_number is null").select("doc_id", "tag", F.lit(1).alias("rows"), F.lit(1).alias("copies"))
+    return pick_rows(docs, stay.select("first.doc_id", "first.tag", "first.rows", F.lit(1).alias("copies")).union(alone))
 
 
 def _longs(column: str, count: int):

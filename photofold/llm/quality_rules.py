@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from photofold.llm.common import pieces
+from photofold.llm.common import pieces, small_batches
 from photofold.llm.words import Words, covered, mix, per_text, repeated
 
 MIN_WORDS = 50
@@ -140,13 +140,14 @@ def quality(
     fails. All columns are kept; input columns named like a result are replaced. Repeated rows are judged
     alike; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     made = [c.split() for c in COLUMNS.split(", ")]
     docs = docs.drop(*[name for name, _ in made])
     fields = {f.name.lower() for f in docs.schema.fields}
     key = next(name for name in ("_measured", "_measured_text", "_measured_whole_text") if name not in fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 21, key):
+        for batch in pieces(batches, 1 << 19, key):
             texts = [t or b"" for t in batch.column(batch.schema.get_field_index(key)).to_pylist()]
             m = measure(texts, min_repeat)
             n, repeats = m["n_words"], m["n_repeat_words"]

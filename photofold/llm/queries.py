@@ -56,7 +56,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("class_number")
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("class_number", "tag")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

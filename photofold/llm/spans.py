@@ -7,16 +7,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photofold.llm.common import pieces
+from photofold.llm.common import pieces, small_batches, text_tag
 
 
-def named_bytes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``tag`` (a hash that tells rows with one id apart by their text) and the whole ``text`` as bytes."""
+def named_bytes(docs: DataFrame, tag: Column | None = None) -> DataFrame:
+    """``doc_id``, ``tag`` (a hash that tells rows with one id apart, by default by their text) and the whole ``text`` as bytes."""
+    small_batches(docs.sparkSession)
     whole = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(whole).alias("tag"), whole.cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (text_tag(F.col("text")) if tag is None else tag).alias("tag"), whole.cast("binary").alias("text"))
 
 
 def with_lists(rows: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
@@ -43,7 +44,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
     lists = spans.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 22):
+        for batch in pieces(batches, 1 << 20):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("text", "starts", "ends")]
             removed, runs, kept = [], [], []
             for text, starts, ends in zip(columns[0].to_pylist(), columns[1], columns[2]):

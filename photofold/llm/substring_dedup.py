@@ -85,7 +85,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``tag``, ``start``, ``end`` and ``digest`` of every chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 19):
             texts = batch.column(2).to_pylist()
             ends = chunks(texts)
             counts = [len(e) for e in ends]
@@ -104,7 +104,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 ["doc_id", "tag", "start", "end", "digest"],
             )
 
-    return named_bytes(docs).mapInArrow(run, "doc_id long, tag int, start long, end long, digest binary")
+    return named_bytes(docs).mapInArrow(run, "doc_id long, tag long, start long, end long, digest binary")
 
 
 def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:

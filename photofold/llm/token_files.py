@@ -29,7 +29,7 @@ from photofold.session import run_folder
 
 BLOCK_IDS = 1 << 17
 MIN_COUNT = 6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 BLOCK_SCHEMA = (
     "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
