@@ -29,7 +29,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 7
-BLOCK = 256
+BLOCK = 128
 COLUMNS = 1 << 13
 
 
