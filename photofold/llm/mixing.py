@@ -128,7 +128,7 @@ def mix(
 
     # 1. Each document's place in its queue.
     drawn = sized.join(plan, F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    drawn = drawn.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+    drawn = drawn.withColumn("draw", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))))
     order = ["number", "draw", "doc_id", "size", "tag"]
     queued = drawn.repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("draw")
     columns = "doc_id long, size long, tag long, number int, source_size long, target double"
