@@ -97,6 +97,41 @@ SELECT doc_id, size, n AS source_size, target,
 FROM ordered GROUP BY doc_id, size, n, target
 """
 
+QUALITY_RULES = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+threes AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+repeated AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n
+    FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM threes), (VALUES (0), (1), (2)) x(k)
+    WHERE times > 1 GROUP BY doc_id
+),
+eights AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 6)) AS i FROM texts)),
+again AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM eights) WHERE times > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 8) x(k) GROUP BY doc_id),
+diagonals AS (
+    SELECT a.doc_id, b.i - a.i AS apart, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS run
+    FROM again a JOIN again b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i
+),
+longest AS (
+    SELECT doc_id, max(n) + 7 AS n FROM (SELECT doc_id, count(*) AS n FROM diagonals GROUP BY doc_id, apart, run) GROUP BY doc_id
+),
+lines AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+),
+counts AS (
+    SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+           coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n, 0) AS covered_words, coalesce(l.n, 0) AS longest_repeat
+    FROM texts t LEFT JOIN lines USING (doc_id) LEFT JOIN repeated r USING (doc_id) LEFT JOIN covered c USING (doc_id)
+    LEFT JOIN longest l USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+       AND covered_words <= 0.3::DOUBLE * n_words AND longest_repeat <= 0.2::DOUBLE * n_words AS kept
+FROM counts
+"""
+
 NGRAM_JOIN = f"""
 WITH RECURSIVE shingles AS (
     SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
@@ -118,6 +153,7 @@ LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = d.doc_id
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_mixing": MIXING,
+    "op7_quality_rules": QUALITY_RULES,
     "op9_ngram_join": NGRAM_JOIN,
     "op10_line_dedup": LINE_DEDUP,
 }
