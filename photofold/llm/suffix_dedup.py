@@ -281,7 +281,7 @@ def repeats(
     classes = cut_lineage(classes)
     found.append(mixed.join(classes.filter("copies > 1").select("gram", "context"), ["gram", "context"], "left_semi").select(*occurrence))
     open_ = classes.groupBy("gram").agg(F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("single")).filter("single > 0")
-    wanted = classes.join(open_.select("gram"), "gram", "left_semi").select("gram", "context", "copies", "at.*")
+    wanted = classes.join(cut_lineage(open_.select("gram")), "gram", "left_semi").select("gram", "context", "copies", "at.*")
     level = cut_lineage(_contexts(docs, wanted))
 
     reach = length - gram
