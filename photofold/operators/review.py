@@ -11,7 +11,6 @@ from photofold.config import FAILURES_TO_TRIP
 from photofold.plans.hot_keys import first_rows, join_small, salted_join, top_n_per_key
 from photofold.plans.ordering import (
     HOME,
-    POSITION,
     block_window,
     in_blocks,
     with_position,

@@ -41,10 +41,6 @@ def read_media_files(
     )
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def write_report(report: DataFrame, path: str) -> None:
     """Write a report, one folder per library when there are several."""
     writer = report.write.mode("overwrite")

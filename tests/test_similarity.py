@@ -4,7 +4,6 @@ import pytest
 
 from photofold.config import SimilarityConfig
 from photofold.operators import groups, similarity
-from photofold.plans.hot_keys import top_n_per_key  # noqa: F401
 
 SCHEMA = "library_id string, asset_id string, taken_at bigint, phash string, status int"
 

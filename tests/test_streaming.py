@@ -174,4 +174,4 @@ def test_reports_are_written_per_library(spark, tmp_path):
     )
     media.write_report(report, f"{tmp_path}/report")
     assert (tmp_path / "report" / "library_id=L").is_dir()
-    assert media.read_listing(spark, f"{tmp_path}/report").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/report").count() == 2
