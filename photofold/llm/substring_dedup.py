@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from photofold.llm.common import pieces
 from photofold.llm.spans import cut_spans, named_bytes
 from photofold.llm.words import mix
+from photofold.session import cut_lineage
 
 GEAR = 24
 REACH = 28
@@ -115,15 +116,11 @@ def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     share an id and the place, all keep the chunk. A null or empty text has no chunks. Other columns are ignored;
     an empty table gives an empty result.
 
-    A digest is counted before the shuffle, and a digest that very many documents hold is an ordinary row of
-    the table it is joined with; Spark splits the other side of that join where it is skewed.
+    A digest is counted before the shuffle, and one that very many documents hold is an ordinary row of the table of repeated
+    digests. That table is stored, so that Spark can split the other side of its join where it is skewed.
     """
     rows = chunk_rows(docs)
-    first = (
-        rows.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-        .filter("n > 1")
-        .select("digest", "first")
-    )
+    counted = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+    first = cut_lineage(counted.filter("n > 1").select("digest", "first"))
     again = rows.join(first, "digest").filter(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
     return cut_spans(docs, again.select("doc_id", "tag", "start", "end"), least_run)
