@@ -29,7 +29,7 @@ from photofold.session import run_folder
 
 BLOCK_IDS = 1 << 17
 MIN_COUNT = 6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 BLOCK_SCHEMA = (
     "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
@@ -294,7 +294,7 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema)
 
         total = 0
-        for batch in pieces(batches, 1 << 21):
+        for batch in pieces(batches, 1_500_000):
             for name, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids.append(own + end)
                 names.append(name)

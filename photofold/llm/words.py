@@ -42,7 +42,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             return np.multiply.accumulate(steps)
 
         known = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             worker_memory()["powers"] = known
     return known
 
