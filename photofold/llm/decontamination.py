@@ -3,7 +3,8 @@
 Texts and benchmark items become templates: tokens in lower case, with numbers, names and units replaced by
 typed placeholders. Windows of template tokens are hash-joined, so that a question with other numbers or names
 still matches. The slots of the matching windows must then agree: one value of the item stands for one value of
-the document throughout.
+the document throughout. Where an item has too few literal tokens for a window, the window grows, and the same
+place is looked for by its exact tokens, too.
 
 Before the join, windows of documents pass a bitmap of the benchmark's window hashes. The bitmap has a fixed
 size; with more windows than it can tell apart more rows reach the join, and the result is the same.
@@ -20,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photofold.llm.common import id_and_text, pieces
-from photofold.llm.words import Bytes, mix
+from photofold.llm.words import Bytes, _powers, mix
 from photofold.plans.hot_keys import broadcast_if_fits
 from photofold.session import cut_lineage
 
 WINDOW = 8
 LEAST_WINDOW = 5
 LEAST_LITERALS = 5
+WHOLE_LITERALS = 3
 LEAST_SHARE = 0.5
 ENOUGH_TOKENS = 13
 BITMAP_BITS = 24
@@ -56,6 +58,7 @@ class Templates:
     """Template tokens of many texts: ``start``, ``end``, ``doc`` and ``key``, and whether each is a ``slot``."""
 
     def __init__(self, texts: Sequence[str]):
+        self._sums: dict[bool, np.ndarray] = {}
         self.bytes = b = Bytes([_same_length_lower(t).encode() for t in texts])
         data = b.data
         raw = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -63,6 +66,7 @@ class Templates:
         if not n:
             self.start = self.end = self.doc = np.empty(0, np.int64)
             self.key, self.slot = np.empty(0, np.uint64), np.empty(0, bool)
+            self.exact = self.key
             return
         digit = (data >= 48) & (data <= 57)
         token = digit | ((data >= 97) & (data <= 122)) | (data >= 0x80)
@@ -84,7 +88,7 @@ class Templates:
         first[edges], last[ends] = token[edges], token[ends]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(b.end, self.start, "right")
-        self.key = b.hashes(self.start, self.end)
+        self.key = self.exact = b.hashes(self.start, self.end)
         count = len(self.start)
 
         digits = np.concatenate([[0], np.cumsum(digit)])
@@ -109,22 +113,54 @@ class Templates:
         name = upper & small & ~begins & ~number & ~unit
         self.key = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, self.key)))
         self.slot = number | name | unit
+        self.literals = np.concatenate([[0], np.cumsum(~self.slot)])
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens of windows with enough literal tokens, and the windows' hashes."""
+    def windows(self, size: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens of the windows that lie in one text, and the windows' hashes, by template or by exact tokens."""
         n = len(self.key) - size + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        total = np.full(n, size, np.uint64)
-        for k in range(size):
-            total = total * np.uint64(0x9FB21C651E98DF25) + self.key[k : k + n]
-        literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        enough = literal[size:] - literal[:-size] >= LEAST_LITERALS
-        at = np.flatnonzero((self.doc[:n] == self.doc[size - 1 :]) & enough)
-        return at, mix(total[at])
-
-    def slots(self, first: int, size: int) -> list[str]:
-        """Values of the window's slots, null string at its literals."""
+        power, inverse = _powers(len(self.key) + 1)
+        if exact not in self._sums:
+            values = mix(self.exact if exact else self.key)
+            self._sums[exact] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
+        sums = self._sums[exact]
+        at = self.doc[:n] == self.doc[size - 1 :]
+        if not exact:
+            at &= self.literals[size:] - self.literals[:-size] >= WHOLE_LITERALS
+        at = np.flatnonzero(at)
+        salt = (2 * size + exact) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+        return at, mix((sums[at + size] - sums[at]) * inverse[at] + np.uint64(salt))
+
+    def item_places(self, window: int) -> list[tuple[int, int, bool]]:
+        """First token, size and exactness of the windows of a single text, which is an item.
+
+        A window with fewer than ``LEAST_LITERALS`` literal tokens stands by its exact tokens, and grows to the
+        right until it has so many; where the text ends before, it grows to the left. A text that has fewer
+        in all is one window by template if it has ``WHOLE_LITERALS`` of them.
+        """
+        n, found = len(self.key), {}
+        size = min(window, n)
+        literals = self.literals
+        for a in range(n - size + 1):
+            if literals[a + size] - literals[a] >= LEAST_LITERALS:
+                found[a, size, False] = None
+                continue
+            found[a, size, True] = None
+            end = int(np.searchsorted(literals, literals[a] + LEAST_LITERALS))
+            if end <= n:
+                found[a, end - a, False] = None
+            elif literals[n] >= LEAST_LITERALS:
+                first = int(np.searchsorted(literals, literals[n] - LEAST_LITERALS, "right")) - 1
+                found[first, n - first, False] = None
+            elif literals[n] >= WHOLE_LITERALS:
+                found[0, n, False] = None
+        return list(found)
+
+    def slots(self, first: int, size: int, exact: bool = False) -> list[str]:
+        """Values of the window's slots, null string at its literals; exact windows have nothing left to compare."""
+        if exact:
+            return [""] * size
         raw = self.bytes.data
         return [
             raw[self.start[k] : self.end[k]].tobytes().decode() if self.slot[k] else ""
@@ -133,12 +169,12 @@ class Templates:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """``item_id``, ``n_tokens``, ``hash``, ``size``, ``at`` and ``slots`` of all windows; a shorter item is one window."""
+    """``item_id``, ``n_tokens``, ``hash``, ``size``, ``exact``, ``at`` and ``slots`` of all windows; a shorter item is one window."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [("item_id", pa.int64()), ("n_tokens", pa.int32()), ("hash", pa.int64()), ("size", pa.int32()),
-             ("at", pa.int32()), ("slots", pa.list_(pa.string()))]
+             ("exact", pa.bool_()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))]
         )
         for batch in pieces(batches, 1 << 20):
             rows = []
@@ -147,14 +183,17 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
                 n = len(t.key)
                 if n < LEAST_WINDOW:
                     continue
-                size = min(window, n)
-                at, hashes = t.windows(size)
-                for a, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
-                    rows.append(dict(zip(schema.names, (item, n, h, size, a, t.slots(a, size)))))
+                hashes: dict[tuple[int, bool], dict[int, int]] = {}
+                for a, size, exact in t.item_places(window):
+                    if (size, exact) not in hashes:
+                        at, h = t.windows(size, exact)
+                        hashes[size, exact] = dict(zip(at.tolist(), h.view(np.int64).tolist()))
+                    h = hashes[size, exact][a]
+                    rows.append(dict(zip(schema.names, (item, n, h, size, exact, a, t.slots(a, size, exact)))))
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     whole = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.mapInArrow(run, "item_id long, n_tokens int, hash long, size int, at int, slots array<string>")
+    return whole.mapInArrow(run, "item_id long, n_tokens int, hash long, size int, exact boolean, at int, slots array<string>")
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -172,7 +211,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
-def _document_windows(docs: DataFrame, sizes: list[int], bitmap) -> DataFrame:
+def _document_windows(docs: DataFrame, kinds: list[tuple[int, bool]], bitmap) -> DataFrame:
     """``doc_id``, ``hash``, ``slots``: windows of documents whose hash the bitmap has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +221,12 @@ def _document_windows(docs: DataFrame, sizes: list[int], bitmap) -> DataFrame:
             ids = batch.column(0).to_pylist()
             t = Templates(batch.column(1).to_pylist())
             rows = []
-            for size in sizes:
-                at, hashes = t.windows(size)
+            for size, exact in kinds:
+                at, hashes = t.windows(size, exact)
                 place = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                 found = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 for a, h in zip(at[found].tolist(), hashes[found].view(np.int64).tolist()):
-                    rows.append(dict(zip(schema.names, (ids[t.doc[a]], h, t.slots(a, size)))))
+                    rows.append(dict(zip(schema.names, (ids[t.doc[a]], h, t.slots(a, size, exact)))))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -219,7 +258,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     One row per document and item: ``doc_id``, ``item_id``, ``n_windows`` (distinct), ``n_covered`` and ``n_tokens`` (of the item),
     where slot-consistent windows cover at least half of the item's tokens or ``ENOUGH_TOKENS`` of them.
     Documents without a leak have no row. Windows have ``window`` tokens, with ``LEAST_LITERALS`` that are no slots;
-    an item of fewer tokens is one window, one of under ``LEAST_WINDOW`` can't be told and is passed over.
+    an item of fewer tokens is one window. Windows with fewer literals grow until they have so many, and count as they
+    stand where the document has the same tokens. An item with too few in all is one window as a whole, with
+    ``WHOLE_LITERALS``, or found by its exact tokens. One of under ``LEAST_WINDOW`` tokens can't be told and is passed over.
 
     A null text is empty. Rows that share an id (null is one, too) count as one document; items likewise.
     Repeated items give repeated findings for other ids only. Other columns are ignored. Without documents or
@@ -227,13 +268,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     """
     spark = docs.sparkSession
     known = item_windows(items, window).groupBy("hash", "item_id").agg(
-        F.max("n_tokens").alias("n_tokens"), F.min("size").alias("size"), F.collect_set("at").alias("at"),
+        F.max("n_tokens").alias("n_tokens"), F.min("size").alias("size"), F.min("exact").alias("exact"), F.collect_set("at").alias("at"),
         F.min_by("slots", F.struct("at", "slots")).alias("item_slots"),
     )
     known = cut_lineage(known)
-    sizes = [row["size"] for row in known.select("size").distinct().orderBy("size").collect()]
+    kinds = [(row["size"], row["exact"]) for row in known.select("size", "exact").distinct().orderBy("size", "exact").collect()]
     bitmap = spark.sparkContext.broadcast(_bitmap(known).tobytes())
-    found = _document_windows(docs, sizes, bitmap)
+    found = _document_windows(docs, kinds, bitmap)
     hits = found.groupBy("hash", "doc_id", "slots").agg(F.count(F.lit(1)).alias("times")).join(known, "hash")
     window_type = F.struct("slots", "item_slots", "at", "times")
     groups = hits.groupBy("doc_id", "item_id").agg(

@@ -116,6 +116,20 @@ def test_leaks_with_other_numbers_and_names(spark):
     assert leaks(spark, texts, []) == [] and leaks(spark, []) == []
 
 
+DENSE = [
+    (1, "A train travels 60 km in 2 hours and 90 km in 3 hours"), (2, "What is 12 + 7 * 3 - 4 divided by 2?"), (3, "I have 3 red apples"),
+    (4, "Which of the rivers is long: 3 km, 4 km, 5 km, 6 km, 7 km, 8 km"), (5, "1, 2, 4, 8, 17"),
+]
+
+
+def test_leaks_of_slot_dense_and_short_items(spark):
+    texts = [f"{prose(1, 30)}. {t} {prose(2, 20)}" for _, t in DENSE] + [
+        "A train travels 80 km in 5 hours and 70 km in 4 hours", "What is 2 + 9 * 5 - 1 divided by 8?", "Hm, I have 7 red apples",
+        "A train travels 60 km in 2 hours or so", "She saw 1, 2, 4, 8, 16 of them", "60 km in 3 hours and 90 km in 2 hours",
+    ]
+    assert leaks(spark, texts, DENSE) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 1), (6, 2), (7, 3), (8, 1)]
+
+
 def test_inconsistent_slots_do_not_count():
     window = lambda mine, theirs, at: {"item_slots": mine, "slots": theirs, "at": [at], "times": 1}
     agree = [window(["3", "", ""], ["5", "", ""], 0), window(["", "", "3"], ["", "", "5"], 4)]
