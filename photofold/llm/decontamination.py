@@ -2,8 +2,8 @@
 
 Texts and benchmark items become templates: tokens in lower case, with numbers, names and units replaced by
 typed placeholders. Windows of template tokens are hash-joined, so that a question with other numbers or names
-still matches. The slots of the matching windows must then agree: one value of the item stands for one value of
-the document throughout. Where an item has too few literal tokens for a window, the window grows, and the same
+still matches. The slots of the matching windows must then agree: within one occurrence of the item, one of its
+values stands for one value of the document throughout. Where an item has too few literal tokens for a window, the window grows, and the same
 place is looked for by its exact tokens, too.
 
 Before the join, windows of documents pass a bitmap of the benchmark's window hashes. The bitmap has a fixed
@@ -12,6 +12,7 @@ size; with more windows than it can tell apart more rows reach the join, and the
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -212,51 +213,98 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def _document_windows(docs: DataFrame, kinds: list[tuple[int, bool]], bitmap) -> DataFrame:
-    """``doc_id``, ``hash``, ``slots``: windows of documents whose hash the bitmap has."""
+    """``doc_id``, ``place``, ``hash``, ``slots``: windows of documents whose hash the bitmap has; ``place`` counts tokens.
+
+    Windows without slots agree wherever they stand: their place is -1, so that repeated ones are one.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in pieces(batches, 1 << 19):
             ids = batch.column(0).to_pylist()
             t = Templates(batch.column(1).to_pylist())
+            first = np.searchsorted(t.doc, np.arange(len(ids)))
             rows = []
             for size, exact in kinds:
                 at, hashes = t.windows(size, exact)
                 place = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                 found = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 for a, h in zip(at[found].tolist(), hashes[found].view(np.int64).tolist()):
-                    rows.append(dict(zip(schema.names, (ids[t.doc[a]], h, t.slots(a, size, exact)))))
+                    slots = t.slots(a, size, exact)
+                    place = a - int(first[t.doc[a]]) if any(slots) else -1
+                    rows.append(dict(zip(schema.names, (ids[t.doc[a]], place, h, slots))))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     whole = id_and_text(docs)
     return whole.withColumn("doc_id", whole.doc_id.cast("long")).mapInArrow(
-        run, "doc_id long, hash long, slots array<string>"
+        run, "doc_id long, place int, hash long, slots array<string>"
     )
 
 
-def consistent_tokens(windows: list[dict]) -> int:
-    """Item tokens covered by windows whose slots agree with the most frequent value for each item value."""
+def _votes(windows: list[dict]) -> dict[str, str]:
+    """The most frequent value for each item value; of equally frequent ones the item's own, then the largest."""
     votes: dict[str, Counter] = defaultdict(Counter)
     for w in windows:
         for mine, theirs in zip(w["item_slots"], w["slots"]):
             if mine:
                 votes[mine][theirs] += w["times"]
-    stands_for = {mine: max(c.items(), key=lambda x: (x[1], x[0]))[0] for mine, c in votes.items()}
-    covered: set[int] = set()
+    return {mine: max(c.items(), key=lambda x: (x[1], x[0] == mine, x[0]))[0] for mine, c in votes.items()}
+
+
+def _agrees(w: dict, stands_for: dict[str, str]) -> bool:
+    """Whether the window's values are the item's own, or those that stand for them."""
+    pairs = [(m, t) for m, t in zip(w["item_slots"], w["slots"]) if m]
+    known: dict[str, str] = {}
+    return all(m == t for m, t in pairs) or all(known.setdefault(m, stands_for.get(m, t)) == t for m, t in pairs)
+
+
+def _tokens(windows: Iterable[dict]) -> set[int]:
+    return {k for w in windows for at in w["at"] for k in range(at, at + len(w["slots"]))}
+
+
+def consistent_tokens(windows: list[dict]) -> int:
+    """Item tokens covered by windows whose slots agree with the most frequent value for each item value."""
+    stands_for = _votes(windows)
+    return len(_tokens(w for w in windows if _agrees(w, stands_for)))
+
+
+def best_covered(windows: list[dict], n_tokens: int) -> int:
+    """The most item tokens that windows cover which agree, in one occurrence or in the document as a whole.
+
+    An occurrence is a diagonal, of windows with one distance between ``place`` in the document and in the item. Around it
+    come windows of the diagonals near by, the nearest first, which agree with those before: words put in or left out shift
+    the rest of an occurrence. Windows with the item's own values, or without slots, count with each occurrence.
+    """
+    best, own = consistent_tokens(windows), _tokens(w for w in windows if w["slots"] == w["item_slots"])
+    diagonals: dict[int, list[dict]] = defaultdict(list)
     for w in windows:
-        if all(stands_for[m] == t for m, t in zip(w["item_slots"], w["slots"]) if m):
-            for at in w["at"]:
-                covered.update(range(at, at + len(w["slots"])))
-    return len(covered)
+        if w["place"] >= 0:
+            diagonals[w["place"] - w["at"][0]].append(w)
+    order = sorted(diagonals)
+    for d in order:
+        if best >= n_tokens:
+            break
+        stands_for = _votes(diagonals[d])
+        covered = set(own)
+        near = order[bisect_left(order, d - n_tokens) : bisect_right(order, d + n_tokens)]
+        for other in sorted(near, key=lambda x: (abs(x - d), x)):
+            for w in diagonals[other]:
+                if _agrees(w, stands_for):
+                    covered |= _tokens([w])
+                    for m, t in zip(w["item_slots"], w["slots"]):
+                        if m:
+                            stands_for.setdefault(m, t)
+        best = max(best, len(covered))
+    return best
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents that hold a benchmark item, or a good part of one.
 
     One row per document and item: ``doc_id``, ``item_id``, ``n_windows`` (distinct), ``n_covered`` and ``n_tokens`` (of the item),
-    where slot-consistent windows cover at least half of the item's tokens or ``ENOUGH_TOKENS`` of them.
+    where slot-consistent windows of one occurrence, or of the document as a whole, cover at least half of the item's tokens or ``ENOUGH_TOKENS`` of them.
     Documents without a leak have no row. Windows have ``window`` tokens, with ``LEAST_LITERALS`` that are no slots;
     an item of fewer tokens is one window. Windows with fewer literals grow until they have so many, and count as they
     stand where the document has the same tokens. An item with too few in all is one window as a whole, with
@@ -267,30 +315,32 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     items the result is empty.
     """
     spark = docs.sparkSession
-    known = item_windows(items, window).groupBy("hash", "item_id").agg(
-        F.max("n_tokens").alias("n_tokens"), F.min("size").alias("size"), F.min("exact").alias("exact"), F.collect_set("at").alias("at"),
-        F.min_by("slots", F.struct("at", "slots")).alias("item_slots"),
-    )
+    known = item_windows(items, window).groupBy("hash", "item_id", "at").agg(
+        F.max("n_tokens").alias("n_tokens"), F.min("size").alias("size"), F.min("exact").alias("exact"), F.min("slots").alias("item_slots")
+    )
     known = cut_lineage(known)
     kinds = [(row["size"], row["exact"]) for row in known.select("size", "exact").distinct().orderBy("size", "exact").collect()]
     bitmap = spark.sparkContext.broadcast(_bitmap(known).tobytes())
     found = _document_windows(docs, kinds, bitmap)
-    hits = found.groupBy("hash", "doc_id", "slots").agg(F.count(F.lit(1)).alias("times")).join(known, "hash")
-    window_type = F.struct("slots", "item_slots", "at", "times")
-    groups = hits.groupBy("doc_id", "item_id").agg(
-        F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_windows"), F.collect_list(window_type).alias("windows")
-    )
+    hits = found.distinct().withColumn("times", F.lit(1)).join(known, "hash")
+    window_type = F.struct("hash", "place", "slots", "item_slots", F.array("at").alias("at"), "times")
+    groups = hits.groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(window_type).alias("windows"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("windows")).to_pylist()
-            covered = pa.array([consistent_tokens(x) for x in lists], pa.int32())
+            columns = [batch.column(i) for i in range(3)]
+            lists = batch.column(batch.schema.get_field_index("windows"))
+            windows, covered = [], []
+            for k, n_tokens in enumerate(columns[2].to_pylist()):
+                x = lists[k].as_py()
+                windows.append(len({(w["hash"], *w["slots"]) for w in x}))
+                covered.append(best_covered(x, n_tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(4)] + [covered],
+                [*columns, pa.array(windows, pa.int64()), pa.array(covered, pa.int32())],
                 ["doc_id", "item_id", "n_tokens", "n_windows", "n_covered"],
             )
 
-    counted = groups.select("doc_id", "item_id", "n_tokens", "n_windows", "windows").mapInArrow(
+    counted = groups.select("doc_id", "item_id", "n_tokens", "windows").mapInArrow(
         run, "doc_id long, item_id long, n_tokens int, n_windows long, n_covered int"
     )
     return counted.filter((F.col("n_covered") >= LEAST_SHARE * F.col("n_tokens")) | (F.col("n_covered") >= ENOUGH_TOKENS))

@@ -137,6 +137,21 @@ def test_inconsistent_slots_do_not_count():
     assert decontamination.consistent_tokens([*agree, window(["3", "", ""], ["6", "", ""], 9)]) == 6
 
 
+def test_leaks_beside_copies_with_other_values(spark):
+    item = "Tom has {} apples and {} pears. Anna has {} apples and {} pears."
+    own, other = item.format(3, 4, 5, 6), item.format(1, 9, 2, 8)
+    texts = [f"{own} {other}", f"{other} {own}", " ".join(item.format(k, 3 * k % 10, 7 * k % 10, 9 - k) for k in range(1, 9)), own, other]
+    assert leaks(spark, texts, [(1, own)]) == [(k, 1) for k in range(5)]
+
+
+def test_best_occurrence_counts():
+    window = lambda theirs, at, place: {"item_slots": ["3", "", "", "4"], "slots": theirs, "at": [at], "times": 1, "place": place}
+    first = [window(["7", "", "", "8"], 0, 20), window(["7", "", "", "8"], 4, 25)]
+    second = [window(["9", "", "", "1"], 0, 50), window(["9", "", "", "2"], 4, 54)]
+    assert decontamination.best_covered(first + second, 8) == 8
+    assert decontamination.best_covered(second, 8) == 4
+
+
 def test_leaks_of_the_test_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
