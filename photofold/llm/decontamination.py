@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photofold.llm.common import id_and_text, pieces
+from photofold.llm.common import pieces, small_batches, text_tag
 from photofold.llm.words import Bytes, _powers, mix
 from photofold.plans.hot_keys import broadcast_if_fits
 from photofold.session import cut_lineage
@@ -213,17 +213,19 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def _document_windows(docs: DataFrame, kinds: list[tuple[int, bool]], bitmap) -> DataFrame:
-    """``doc_id``, ``place``, ``hash``, ``slots``: windows of documents whose hash the bitmap has; ``place`` counts tokens.
+    """``doc_id``, ``tag`` (of its text), ``place``, ``hash``, ``slots``: windows of documents whose hash the bitmap has; ``place`` counts tokens.
 
     Windows without slots agree wherever they stand: their place is -1, so that repeated ones are one.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+        schema = pa.schema(
+            [("doc_id", pa.int64()), ("tag", pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]
+        )
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in pieces(batches, 1 << 19):
-            ids = batch.column(0).to_pylist()
-            t = Templates(batch.column(1).to_pylist())
+            ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            t = Templates(batch.column(2).to_pylist())
             first = np.searchsorted(t.doc, np.arange(len(ids)))
             rows = []
             for size, exact in kinds:
@@ -233,14 +235,13 @@ def _document_windows(docs: DataFrame, kinds: list[tuple[int, bool]], bitmap) ->
                 for a, h in zip(at[found].tolist(), hashes[found].view(np.int64).tolist()):
                     slots = t.slots(a, size, exact)
                     place = a - int(first[t.doc[a]]) if any(slots) else -1
-                    rows.append(dict(zip(schema.names, (ids[t.doc[a]], place, h, slots))))
+                    rows.append(dict(zip(schema.names, (ids[t.doc[a]], tags[t.doc[a]], place, h, slots))))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    whole = id_and_text(docs)
-    return whole.withColumn("doc_id", whole.doc_id.cast("long")).mapInArrow(
-        run, "doc_id long, place int, hash long, slots array<string>"
-    )
+    small_batches(docs.sparkSession)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    return whole.mapInArrow(run, "doc_id long, tag long, place int, hash long, slots array<string>")
 
 
 def _votes(windows: list[dict]) -> dict[str, str]:
@@ -300,20 +301,8 @@ def best_covered(windows: list[dict], n_tokens: int) -> int:
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents that hold a benchmark item, or a good part of one.
-
-    One row per document and item: ``doc_id``, ``item_id``, ``n_windows`` (distinct), ``n_covered`` and ``n_tokens`` (of the item),
-    where slot-consistent windows of one occurrence, or of the document as a whole, cover at least half of the item's tokens or ``ENOUGH_TOKENS`` of them.
-    Documents without a leak have no row. Windows have ``window`` tokens, with ``LEAST_LITERALS`` that are no slots;
-    an item of fewer tokens is one window. Windows with fewer literals grow until they have so many, and count as they
-    stand where the document has the same tokens. An item with too few in all is one window as a whole, with
-    ``WHOLE_LITERALS``, or found by its exact tokens. One of under ``LEAST_WINDOW`` tokens can't be told and is passed over.
-
-    A null text is empty. Rows that share an id (null is one, too) count as one document; items likewise.
-    Repeated items give repeated findings for other ids only. Other columns are ignored. Without documents or
-    items the result is empty.
-    """
+def _named_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``find_leaks`` with the ``tag`` of the text, which tells rows with one id apart."""
     spark = docs.sparkSession
     known = item_windows(items, window).groupBy("hash", "item_id", "at").agg(
         F.max("n_tokens").alias("n_tokens"), F.min("size").alias("size"), F.min("exact").alias("exact"), F.min("slots").alias("item_slots")
@@ -324,29 +313,49 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     found = _document_windows(docs, kinds, bitmap)
     hits = found.distinct().withColumn("times", F.lit(1)).join(known, "hash")
     window_type = F.struct("hash", "place", "slots", "item_slots", F.array("at").alias("at"), "times")
-    groups = hits.groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(window_type).alias("windows"))
+    groups = hits.groupBy("doc_id", "tag", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(window_type).alias("windows"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i) for i in range(3)]
+            columns = [batch.column(i) for i in range(4)]
             lists = batch.column(batch.schema.get_field_index("windows"))
             windows, covered = [], []
-            for k, n_tokens in enumerate(columns[2].to_pylist()):
+            for k, n_tokens in enumerate(columns[3].to_pylist()):
                 x = lists[k].as_py()
                 windows.append(len({(w["hash"], *w["slots"]) for w in x}))
                 covered.append(best_covered(x, n_tokens))
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(windows, pa.int64()), pa.array(covered, pa.int32())],
-                ["doc_id", "item_id", "n_tokens", "n_windows", "n_covered"],
+                ["doc_id", "tag", "item_id", "n_tokens", "n_windows", "n_covered"],
             )
 
-    counted = groups.select("doc_id", "item_id", "n_tokens", "windows").mapInArrow(
-        run, "doc_id long, item_id long, n_tokens int, n_windows long, n_covered int"
+    counted = groups.select("doc_id", "tag", "item_id", "n_tokens", "windows").mapInArrow(
+        run, "doc_id long, tag long, item_id long, n_tokens int, n_windows long, n_covered int"
     )
     return counted.filter((F.col("n_covered") >= LEAST_SHARE * F.col("n_tokens")) | (F.col("n_covered") >= ENOUGH_TOKENS))
 
 
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Documents that hold a benchmark item, or a good part of one.
+
+    One row per document and item: ``doc_id``, ``item_id``, ``n_windows`` (distinct), ``n_covered`` and ``n_tokens`` (of the item),
+    where slot-consistent windows of one occurrence, or of the document as a whole, cover at least half of the item's tokens or ``ENOUGH_TOKENS`` of them.
+    Documents without a leak have no row. Windows have ``window`` tokens, with ``LEAST_LITERALS`` that are no slots;
+    an item of fewer tokens is one window. Windows with fewer literals grow until they have so many, and count as they
+    stand where the document has the same tokens. An item with too few in all is one window as a whole, with
+    ``WHOLE_LITERALS``, or found by its exact tokens. One of under ``LEAST_WINDOW`` tokens can't be told and is passed over.
+
+    A null text is empty. Rows that share an id (null is one, too) are documents of their own if their texts differ;
+    items that share one count as one.
+    Repeated items give repeated findings for other ids only. Other columns are ignored. Without documents or
+    items the result is empty.
+    """
+    return _named_leaks(docs, items, window).drop("tag")
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id no leak names; all columns are kept."""
-    leaks = cut_lineage(find_leaks(docs, items, **options).select(F.col("doc_id").alias("leaking")).distinct())
-    return docs.join(broadcast_if_fits(leaks), docs["doc_id"].eqNullSafe(F.col("leaking")), "left_anti")
+    """The rows of ``docs`` that hold no leak, by id and text; all columns are kept."""
+    leaks = _named_leaks(docs, items, **options).select(F.col("doc_id").alias("leaking"), F.col("tag").alias("leaking_tag"))
+    leaks = cut_lineage(leaks.distinct())
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("leaking")) & (text_tag(docs["text"]) == F.col("leaking_tag"))
+    return docs.join(broadcast_if_fits(leaks), on, "left_anti")

@@ -199,8 +199,9 @@ def similar_documents(
     bands = bands_for(threshold, recall, rows)
     sets = cut_lineage(_sets(docs, words, bands, rows, tag))
     classes = sets.filter("h1 is not null").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
     )
+    classes = classes.select("h1", "h2", F.col("one.doc_id").alias("least"), F.col("one.tag").alias("least_tag"), "copies", "bands")
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
 
     # Candidates: classes that share a band, grouped.
@@ -211,11 +212,11 @@ def similar_documents(
     groups = components(edges).withColumnRenamed("label", "part")
     sizes = groups.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = groups.join(sizes, "part").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = dealt.join(classes.select("node", "h1", "h2", "least", "copies"), "node")
+    wanted = dealt.join(classes.select("node", "h1", "h2", "least", "least_tag", "copies"), "node")
 
-    # Full sets of one document of each candidate class.
-    texts = named_bytes(docs).drop("tag")
-    located = texts.join(wanted.withColumnRenamed("least", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).drop("at", "doc_id")
+    # Full sets of one document of each candidate class, named by id and tag: many rows may have no id.
+    on = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("tag") == F.col("least_tag"))
+    located = named_bytes(docs, tag).join(wanted, on).drop("least", "least_tag", "doc_id", "tag")
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 19):

@@ -152,6 +152,24 @@ def test_best_occurrence_counts():
     assert decontamination.best_covered(second, 8) == 4
 
 
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    item = "Tom has 3 apples and buys 12 more apples at the market for Anna. How many apples does Tom have?"
+    texts = [item.replace("3", "5"), item.replace("12", "40"), item[:30], item[30:62], item[62:], prose(1, 40), None]
+    for i in (None, 7):
+        docs = spark.createDataFrame([(i, t, 1) for t in texts], "doc_id long, text string, tag int")
+        items = spark.createDataFrame([(1, item)], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()] == [(i, 1)] * 2
+        assert as_set(decontamination.without_leaks(docs, items), "text") == sorted(((t,) for t in texts[2:]), key=repr)
+
+
+def test_rows_without_an_id_do_not_meet_each_other(spark):
+    base = prose(1, 120)
+    some = [(None, f"{base} {k}") if k % 2 else (None, prose(k, 90)) for k in range(60)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    found = ngram_join.similar_documents(docs)
+    assert as_set(found, "doc_id", "class_id", "n_links") == brute_links(some)
+
+
 def test_leaks_of_the_test_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
