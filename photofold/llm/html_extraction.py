@@ -23,8 +23,7 @@ from photofold.llm.common import pieces, small_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|svg|iframe|textarea|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
-    r"(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>script|style|title|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>))|[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -32,6 +31,11 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([\w-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
+#: Left out whole where they are closed; without an end tag it is the tag alone.
+_LEFT_OUT = {
+    t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in "noscript template svg iframe select object canvas".split()
+}
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub "
@@ -45,11 +49,18 @@ BOILERPLATE_WORDS = frozenset(
     "social related recommended comment comments disqus reply replies respond subscribe subscription newsletter signup login footer "
     "masthead topbar toolbar widget pagination pager disclaimer alert copyright skip".split()
 )
+#: Of these, the ones that name texts of others, which may have article elements of their own.
+OTHER_TEXTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion related recommended comment "
+    "comments disqus reply replies respond cookie cookies consent gdpr".split()
+)
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 
 STRUCTURE = 6.0
 TEXT = 2.0
+WRAPPER = 0.9
+DEEP = 32
 NEIGHBOUR = 0.6
 SIBLING = 0.8
 
@@ -58,19 +69,24 @@ SIBLING = 0.8
 class Element:
     tag: str
     number: int
-    boilerplate: bool
+    hidden: bool
     content: bool
     link: bool
+    marked: bool
+    #: Marks above and at the element, and whether a content element lies between each and this.
+    marks: dict[int, bool]
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     parent: int
-    boilerplate: bool
+    boilerplate: int
     content: bool
     heading: bool
     linked: float
+    own: bool = False
+    marks: dict[int, bool] = field(default_factory=dict)
 
 
 @dataclass(slots=True)
@@ -81,33 +97,76 @@ class _Page:
     raw: int = 0
     linked: int = 0
     elements: int = 0
+    kinds: list[int] = field(default_factory=list)
+
 
+LAYOUT, OTHERS, TAG = range(3)
 
-def _hints(tag: str, attrs: str, above: Element | None) -> tuple[bool, bool]:
-    """Whether the element lies in boilerplate, and in content."""
-    boilerplate, content = (above.boilerplate, above.content) if above else (False, False)
-    named: set[str] = set()
+
+def _hints(tag: str, attrs: str, above: Element | None) -> tuple[bool, bool, int | None, bool]:
+    """Whether the element is hidden, lies in content, the kind of its boilerplate mark, and whether it is itself content."""
+    hidden, content = (above.hidden, above.content) if above else (False, False)
+    mark, main, named = None, tag in CONTENT_TAGS, set()
     if attrs and attrs.strip():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 named.update(w.lower() for w in _PART.findall(value))
             elif key == "role":
-                boilerplate |= value.lower() in BOILERPLATE_ROLES
-                content |= value.lower() == "main"
+                if value.lower() in BOILERPLATE_ROLES:
+                    mark = LAYOUT if value.lower() == "form" else TAG
+                main |= value.lower() == "main"
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                boilerplate = True
+                hidden = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                boilerplate = True
+                hidden = True
     if tag in ("html", "body"):
-        return False, content
-    if tag in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(named):
-        boilerplate = True
-    if not content and (tag == "header" or "header" in named):
-        boilerplate = True
-    if tag in CONTENT_TAGS or not CONTENT_WORDS.isdisjoint(named):
-        content = True
-    return boilerplate, content
+        return False, content or main, None, False
+    if tag in BOILERPLATE_TAGS or (not content and tag == "header"):
+        mark = LAYOUT if tag == "form" else TAG
+    elif mark is None and not named.isdisjoint(OTHER_TEXTS):
+        mark = OTHERS
+    elif mark is None and (not BOILERPLATE_WORDS.isdisjoint(named) or (not content and "header" in named)):
+        mark = LAYOUT
+    main |= not CONTENT_WORDS.isdisjoint(named)
+    return hidden, content or main, mark, main and mark is None
+
+
+def _settle(blocks: list[Block], kinds: list[int]) -> None:
+    """Set ``boilerplate``: 2 for hidden blocks and those with a mark of their own, 1 for those below a mark, else 0.
+
+    A mark around the page's main text says nothing about it. So a layout's mark doesn't count for content elements below it if they
+    have more text than those without marks, or at all if it holds half of the text and the page has no content
+    elements. Marks that name other texts, and those of tags, must hold ``WRAPPER`` of the text for that. The largest come first.
+    """
+    size = [len(b.text) * (1 - b.linked) for b in blocks]
+    live = [i for i, b in enumerate(blocks) if not b.boilerplate]
+    under: dict[int, list[int]] = {}
+    for i in live:
+        for m in blocks[i].marks:
+            under.setdefault(m, []).append(i)
+    texts = {m: sum(size[i] for i in x) for m, x in under.items()}
+    #: Number of marks that count for each block, and the text of blocks without one, in content elements and in all.
+    left = {i: len(blocks[i].marks) for i in live}
+    free = [sum(size[i] for i in live if not left[i] and blocks[i].content), sum(size[i] for i in live if not left[i])]
+    gone: dict[int, list[int]] = {}
+    for m in sorted(texts, key=lambda m: (-texts[m], m)):
+        inner = [i for i in under[m] if all(blocks[i].marks.values())]
+        held, wrapper = sum(size[i] for i in inner), (1 - WRAPPER) / WRAPPER
+        if held:
+            void = inner if (held > free[0] if kinds[m] == LAYOUT else held * wrapper >= free[1]) else []
+        elif free[0] or kinds[m] == TAG:
+            void = []
+        else:
+            void = under[m] if (texts[m] >= free[1] if kinds[m] == LAYOUT else texts[m] * wrapper >= free[1]) else []
+        gone[m] = void
+        for i in void:
+            left[i] -= 1
+            if not left[i]:
+                free[0] += size[i] * blocks[i].content
+                free[1] += size[i]
+    for i in live:
+        blocks[i].boilerplate = 0 if not left[i] else 2 if blocks[i].own else 1
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -131,8 +190,9 @@ def blocks_of(page: str) -> list[Block]:
                 parents = [e for e in p.stack if e.tag not in INLINE and e is not holder]
                 outer = parents[-1].number if holder and holder.tag != "body" and parents else holder.number if holder else -1
                 heading = bool(holder) and bool(re.fullmatch("h[1-6]", holder.tag))
-                flags = (above.boilerplate, above.content) if above else (False, False)
-                p.blocks.append(Block(" ".join(words), outer, *flags, heading, p.linked / p.raw))
+                flags = (2 * above.hidden, above.content) if above else (0, False)
+                of = (above.marked, above.marks) if above else (False, {})
+                p.blocks.append(Block(" ".join(words), outer, *flags, heading, p.linked / p.raw, *of))
         p.buffer.clear()
         p.raw = p.linked = 0
 
@@ -144,13 +204,24 @@ def blocks_of(page: str) -> list[Block]:
             if p.stack[i].tag in barriers:
                 return
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _LEFT_OUT and not m["close"]:
+            if m["attrs"].endswith("/"):
+                continue
+            end = None if tag in unclosed else _LEFT_OUT[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(tag)
+            flush()
+            continue
         if tag == "br":
             p.buffer.append(" ")
             continue
@@ -169,11 +240,18 @@ def blocks_of(page: str) -> list[Block]:
             elif tag in ("td", "th", "tr"):
                 close(tag, ("table",))
         above = p.stack[-1] if p.stack else None
-        boilerplate, content = _hints(tag, m["attrs"], above)
+        hidden, content, mark, clears = _hints(tag, m["attrs"], above)
+        marks = above.marks if above and tag not in ("html", "body") else {}
+        if clears and marks:
+            marks = dict.fromkeys(marks, True)
+        if mark is not None and len(marks) < DEEP:  # further ones go with the innermost of these
+            marks = {**marks, len(p.kinds): False}
+            p.kinds.append(mark)
         p.elements += 1
-        p.stack.append(Element(tag, p.elements, boilerplate, content, tag == "a" or bool(above and above.link)))
+        p.stack.append(Element(tag, p.elements, hidden, content, tag == "a" or bool(above and above.link), mark is not None, marks))
     text(page[at:])
     flush()
+    _settle(p.blocks, p.kinds)
     return p.blocks
 
 
@@ -183,7 +261,7 @@ def evidence(block: Block) -> float:
     score = TEXT if words >= 12 or (words >= 4 and marks) else -0.2 * TEXT
     score += TEXT * (words >= 40 and marks > 0) + 0.5 * TEXT * block.heading
     score -= 2 * TEXT * (block.linked > 0.5)
-    score += STRUCTURE * block.content if not block.boilerplate else -2 * STRUCTURE
+    score += STRUCTURE * block.content if not block.boilerplate else -block.boilerplate * STRUCTURE
     return score
 
 
@@ -281,15 +359,14 @@ def _flow_labels(rest: list[int], scores: list[float], edges: list[tuple[int, in
 
 
 def label_blocks(blocks: list[Block]) -> list[bool]:
-    """Edges join blocks that agree on lying in boilerplate elements; between others there is no smoothness."""
+    """Edges join neighbours on the page and blocks of one parent element."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
-        if i and blocks[i - 1].boilerplate == b.boilerplate:
+        if i:
             edges.append((i - 1, i, NEIGHBOUR))
-        sibling = last.get((b.parent, b.boilerplate))
-        if sibling is not None:
-            edges.append((sibling, i, SIBLING))
-        last[b.parent, b.boilerplate] = i
+        if b.parent in last:
+            edges.append((last[b.parent], i, SIBLING))
+        last[b.parent] = i
     return minimum_cut([evidence(b) for b in blocks], edges)
 
 

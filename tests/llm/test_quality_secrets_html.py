@@ -155,6 +155,32 @@ def test_page_without_article_element():
     )
 
 
+LONG = [f"Paragraph {k} of the main article goes on for long enough to be told, and it ends here. It has a second sentence." for k in range(4)]
+ARTICLE = "<article><h1>The title</h1>" + "".join(f"<p>{x}</p>" for x in LONG) + "<p>Short end</p></article>"
+PLAIN = "".join(f"<p>{x}</p>" for x in LONG)
+SIDE = '<div class="sidebar"><div class="content"><p>A text at the side that has some more words in it. Yes.</p></div></div>'
+WHOLE = " ".join(["The title", *LONG, "Short end"])
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (f'<div class="layout with-sidebar">{ARTICLE}{SIDE}</div>', WHOLE),
+        (f'<body><form id="aspnetForm"><div id="menu"><a href=x>Home</a></div>{ARTICLE}{SIDE}</form></body>', WHOLE),
+        (f'<body><form id="aspnetForm"><div>{PLAIN}</div>{SIDE.replace("content", "box")}</form></body>', " ".join(LONG)),
+        (f'<div class="page comments-open">{ARTICLE}</div>', WHOLE),
+        (f'<main>{ARTICLE}</main>{SIDE}', WHOLE),
+        (f'<div style="display:none">{ARTICLE}</div>', ""),
+        (f"<p><svg viewBox='0 0 1 1'/></p>{ARTICLE}", WHOLE),
+        (f"<svg><path d='x'/><text>no</text></svg><select><option>a</select>{ARTICLE}", WHOLE),
+        (f"<object data=x>{ARTICLE}", WHOLE),
+        (f"<iframe src=x>{ARTICLE}", WHOLE),
+    ],
+)
+def test_whole_articles_in_marked_elements(page, wanted):
+    assert html_extraction.main_text(page) == wanted
+
+
 def test_extraction_edge_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (None, "u", PAGE), (3, "v", "<" * 3000), (4, "v", '<a b="' * 2000), (4, "v", "<p>x<p"), (5, "w", "<article>" + "<p>a b.</p>" * 3000)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
