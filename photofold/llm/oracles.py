@@ -150,7 +150,27 @@ FROM documents d LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = d.doc_id
 """
 
+# Every mark is escaped by one character more, and a turn has a header, its text, and an end on a line of its own.
+CHAT_FORMAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+marked AS (
+    SELECT *, len(regexp_extract_all(text, '</turn>|### (?:(?:System|User|Assistant|Tool): |Role ")')) AS n_marks,
+           length('### ' || role || ': ') + length(chr(10) || '</turn>' || chr(10)) AS around
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(around + length(text) + n_marks)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_chat_format": CHAT_FORMAT,
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_mixing": MIXING,
     "op7_quality_rules": QUALITY_RULES,
