@@ -262,6 +262,46 @@ VIEWS: dict[str, tuple[list[str], str]] = {
       SELECT e.asset_id, t.root_id, e.distance FROM tree t JOIN edges e ON e.parent_id = t.asset_id)
     SELECT * FROM tree)""",
     ),
+    "library_order": (
+        ["assets"],
+        """SELECT 'L' || ((event_id // 40) % 5) AS library_id, asset_id, taken_at, CAST('0x' || phash AS UBIGINT) AS bits,
+    row_number() OVER (PARTITION BY (event_id // 40) % 5 ORDER BY taken_at, asset_id) AS rn
+  FROM assets WHERE status = 1 AND taken_at IS NOT NULL AND taken_at <> 0""",
+    ),
+    "library_edges": (
+        ["library_order"],
+        """SELECT asset_id, parent_id, distance FROM (
+    SELECT x.asset_id, y.asset_id AS parent_id, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance,
+      row_number() OVER (PARTITION BY x.asset_id ORDER BY bit_count(xor(x.bits, y.bits)), k) AS pick
+    FROM library_order x, range(1, 10) t(k), library_order y
+    WHERE y.library_id = x.library_id AND y.rn = x.rn - k AND x.taken_at - y.taken_at <= 120000
+      AND bit_count(xor(x.bits, y.bits)) < 15)
+  WHERE pick = 1""",
+    ),
+    "library_roots": (
+        ["library_edges"],
+        """SELECT library_id, asset_id, root_id, distance_to_parent FROM (
+    WITH RECURSIVE tree AS (
+      SELECT s.library_id, s.asset_id, s.asset_id AS root_id, CAST(NULL AS INTEGER) AS distance_to_parent
+      FROM library_order s LEFT JOIN library_edges e USING (asset_id) WHERE s.bits IS NOT NULL AND e.asset_id IS NULL
+      UNION ALL
+      SELECT t.library_id, e.asset_id, t.root_id, e.distance FROM tree t JOIN library_edges e ON e.parent_id = t.asset_id)
+    SELECT * FROM tree)""",
+    ),
+    # Four slices of the time order; the newest time of the slices before, less the delay, is the watermark.
+    "arriving": (
+        ["assets"],
+        """SELECT asset_id, event_id, taken_at - CASE WHEN event_id % 9 = 4 THEN 86400000 * (event_id % 3) ELSE 0 END AS taken_at,
+      CASE WHEN n <= t // 4 THEN 0 WHEN n <= t * 2 // 4 THEN 1 WHEN n <= t * 3 // 4 THEN 2 ELSE 3 END AS slice
+    FROM (SELECT a.*, row_number() OVER (ORDER BY ts, event_id) AS n, count(*) OVER () AS t
+          FROM assets a JOIN events USING (event_id))""",
+    ),
+    "arrived": (
+        ["arriving"],
+        """SELECT a.*, coalesce(w.newest - 21600000, 0) AS watermark FROM arriving a LEFT JOIN (
+      SELECT s.slice, max(b.taken_at) AS newest FROM range(0, 4) s(slice) JOIN arriving b ON b.slice < s.slice GROUP BY s.slice) w
+      USING (slice)""",
+    ),
     "scored": (
         ["assets"],
         """SELECT asset_id,
@@ -984,6 +1024,26 @@ ORACLES: dict[str, str] = {
     "stream_dup_groups": with_views(
         "roots", "SELECT 'grp_' || root_id AS group_id, asset_id, distance_to_parent FROM roots"
     ),
+    "stream_regroup": with_views(
+        "roots",
+        "SELECT 'grp_' || root_id AS group_id, asset_id, root_id AS representative_asset_id, distance_to_parent FROM roots",
+    ),
+    "stream_keyed_groups": with_views(
+        "library_roots", "SELECT library_id, asset_id, root_id AS representative_asset_id, distance_to_parent FROM library_roots"
+    ),
+    "stream_keyed_best": with_views(
+        ["library_roots", "scored"],
+        """SELECT library_id, 'grp_' || library_id || '_' || root_id AS group_id, asset_id AS best_asset_id, round(score, 6) AS score FROM (
+      SELECT library_id, root_id, asset_id, score, row_number() OVER (PARTITION BY root_id ORDER BY score DESC, asset_id) AS r
+      FROM library_roots JOIN scored USING (asset_id)) WHERE r = 1""",
+    ),
+    "stream_arrivals": with_views(
+        "arrived",
+        """SELECT asset_id, taken_at, CASE WHEN taken_at IS NULL THEN 'undated' WHEN taken_at < watermark THEN 'late' ELSE 'on_time' END
+      AS arrival FROM arrived
+    UNION ALL SELECT asset_id, taken_at, CASE WHEN taken_at IS NULL THEN 'undated' WHEN taken_at < watermark THEN 'late'
+      ELSE 'repeat' END FROM arrived WHERE event_id % 10 = 0""",
+    ),
     "stream_status": with_views("assets", "SELECT status, count(*) AS count FROM assets GROUP BY status"),
     "review_fold": with_views("review_state", "SELECT * FROM review_state"),
     "late_assets": with_views(
@@ -1000,4 +1060,5 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["stream_best_shot"] = ORACLES["best_shot"]
 ORACLES["stream_upsert"] = ORACLES["upsert_coalesce"]
-ORACLES["stream_review"] = ORACLES["review_fold"]
+ORACLES["stream_review"] = ORACLES["stream_review_batches"] = ORACLES["review_fold"]
+ORACLES["stream_status_batches"] = ORACLES["stream_status"]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from photofold.config import (
     BLUR_REPORT_ROWS,
@@ -31,6 +33,8 @@ from photofold.sources import media, vocabulary
 from photofold.streaming import catalog as stream_catalog
 from photofold.streaming import ingest
 from photofold.streaming.groups import GroupStream
+from photofold.streaming.keyed import Arrivals, KeyedGroups, KeyedReview, StatusCounters
+from photofold.streaming.regroup import GroupTable
 from photofold.streaming.review import ReviewStream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,23 +101,42 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return exploded.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def event_files(
-    spark: SparkSession, sf: str, files: int = 6, order: Sequence[str] = ("event_id",)
-) -> DataFrame:
-    """Stream of the events in so many files in time order, a file per batch."""
+@dataclass
+class Slices:
+    """The events in equal slices of their order. ``run`` lets a slice arrive, in as many files as there are tasks, and takes it through
+    the stream, which goes on from its checkpoint each time; ``rows`` is the stream of them."""
+
+    spark: SparkSession
+    parts: DataFrame
+    total: int
+    files: int
+    folder: str
+
+    @property
+    def rows(self) -> DataFrame:
+        return ingest.read_new_files(self.spark, self.folder, EVENTS)
+
+    def run(self, start: Callable[[], DataStreamWriter | None]) -> None:
+        for k in range(self.files):
+            low, high = self.total * k // self.files, self.total * (k + 1) // self.files
+            self.parts.filter((F.col("_n") > low) & (F.col("_n") <= high)).drop("_n").write.mode("append").parquet(self.folder)
+            writer = start()
+            if writer is not None:
+                ingest.run_available(writer)
+
+
+def event_slices(spark: SparkSession, sf: str, files: int = 6, order: Sequence[str] = ("event_id",)) -> Slices:
     folder = run_folder(spark, "event-files")
-    parts = number_sorted(v.table(spark, sf, "events").orderBy(*order), "_n")
-    rows = parts.count()
-    parts = cut_lineage(parts)
-    for k in range(files):
-        some = parts.filter((F.col("_n") > rows * k // files) & (F.col("_n") <= rows * (k + 1) // files))
-        some.drop("_n").coalesce(1).write.mode("append").parquet(folder)
-    return ingest.read_new_files(spark, folder, EVENTS, files_per_trigger=1)
+    parts = cut_lineage(number_sorted(v.table(spark, sf, "events").orderBy(*order), "_n"))
+    v.table(spark, sf, "events").limit(0).write.parquet(folder)
+    return Slices(spark, parts, parts.count(), files, folder)
 
 
-def asset_stream(spark: SparkSession, sf: str, files: int = 1) -> DataFrame:
+def asset_slices(spark: SparkSession, sf: str, files: int = 1) -> tuple[Slices, DataFrame]:
+    """Slices in time order, and the stream of assets that they make."""
+    slices = event_slices(spark, sf, files, ["ts", "event_id"])
     n_vectors = v.table(spark, sf, "embeddings").count()
-    return v.project_assets(event_files(spark, sf, files, ["ts", "event_id"]), v.embedding_hashes(spark, sf), n_vectors)
+    return slices, v.project_assets(slices.rows, v.embedding_hashes(spark, sf), n_vectors)
 
 
 def document_images(spark: SparkSession, sf: str) -> DataFrame:
@@ -1015,27 +1038,93 @@ def stream_best_shot(spark, sf):
 
 
 def _group_stream(spark, sf):
-    """Over several files in time order, so that groups go on from batch to batch."""
+    """Over several slices in time order, so that groups go on from batch to batch."""
     stream = GroupStream(run_folder(spark, "stream"))
-    ingest.run_available(stream.start(asset_stream(spark, sf, 3)))
+    slices, assets = asset_slices(spark, sf, 3)
+    slices.run(lambda: stream.start(assets))
+    return stream
+
+
+def _in_libraries(assets: DataFrame) -> DataFrame:
+    """The assets dealt to five libraries, so that neighbours in time share one."""
+    number = F.substring("asset_id", 2, 9).cast("bigint")
+    return assets.withColumn("library_id", F.concat(F.lit("L"), (F.floor(number / 40) % 5).cast("string")))
+
+
+def _keyed_groups(spark, sf):
+    stream = KeyedGroups(run_folder(spark, "stream"))
+    slices, assets = asset_slices(spark, sf, 6)
+    slices.run(lambda: stream.start(_in_libraries(assets)))
     return stream
 
 
+@query
+def stream_keyed_groups(spark, sf):
+    """Groups of several libraries with their state by key."""
+    return _keyed_groups(spark, sf).members(spark).select("library_id", "asset_id", "representative_asset_id", "distance_to_parent")
+
+
+@query
+def stream_keyed_best(spark, sf):
+    return _keyed_groups(spark, sf).best(spark).select("library_id", "group_id", "best_asset_id", r6("score"))
+
+
+def _regrouped(spark, sf):
+    """A catalog in which some assets are missing, lie elsewhere in time, look different or wait for their scan; then all as they are."""
+    table = GroupTable(run_folder(spark, "groups"))
+    assets = v.assets(spark, sf)
+    number = F.substring("asset_id", 2, 9).cast("bigint")
+    kind = number % 50
+    before = assets.filter(kind != 3).withColumns({
+        "taken_at": F.when(kind == 7, F.col("taken_at") + 86_400_000).otherwise(F.col("taken_at")),
+        "phash": F.when(kind == 11, F.lit("00000000000000ff")).otherwise(F.col("phash")),
+        "status": F.when(kind == 19, PENDING).when(kind == 23, DONE).otherwise(F.col("status")),
+    })
+    table.first_run(before)
+    return table, assets.filter(kind.isin(3, 7, 11, 19, 23)), number
+
+
+@query
+def stream_regroup(spark, sf):
+    """Late, changed and reset assets in two batches; the groups are those of the catalog as it then is."""
+    table, changes, number = _regrouped(spark, sf)
+    folder = run_folder(spark, "changes")
+    for half in range(2):
+        changes.filter(F.floor(number / 50) % 2 == half).write.mode("append").parquet(folder)
+        ingest.run_available(table.start(ingest.read_new_files(spark, folder, changes._jdf.schema().toDDL())))
+    return table.members(spark).select("group_id", "asset_id", "representative_asset_id", "distance_to_parent")
+
+
 @query
 def stream_status(spark, sf):
-    """Every asset comes twice, first as pending."""
+    """Every asset comes twice, first as pending; counters go up and down step by step."""
+    counters = StatusCounters(run_folder(spark, "stream"))
+    slices, assets = asset_slices(spark, sf, 6)
+    first = assets.withColumns({"status": F.lit(PENDING), "updated_at": F.col("updated_at") - 1})
+
+    def one() -> None:
+        counters.run(first.union(assets))
+
+    slices.run(one)
+    return counters.counts(spark)
+
+
+@query
+def stream_status_batches(spark, sf):
+    """The same from the last status of each batch."""
     stream = ingest.StatusStream(run_folder(spark, "stream"))
-    assets = asset_stream(spark, sf, 2)
+    slices, assets = asset_slices(spark, sf, 2)
     first = assets.withColumns({"status": F.lit(PENDING), "updated_at": F.col("updated_at") - 1})
-    ingest.run_available(stream.start(first.union(assets)))
+    slices.run(lambda: stream.start(first.union(assets)))
     return stream.counts(spark)
 
 
 @query
 def stream_upsert(spark, sf):
-    """Several ordered files; the first half is compacted before the rest is folded."""
+    """Several ordered slices; the first half is compacted before the rest is folded."""
     folder = run_folder(spark, "stream")
-    ingest.run_available(stream_catalog.stream_upsert(_updates(event_files(spark, sf)), folder))
+    slices = event_slices(spark, sf)
+    slices.run(lambda: stream_catalog.stream_upsert(_updates(slices.rows), folder))
     log = spark.read.parquet(f"{folder}/log")
     table = stream_catalog.CompactedCatalog(f"{folder}/catalog")
     table.start(v.assets(spark, sf))
@@ -1046,8 +1135,19 @@ def stream_upsert(spark, sf):
 
 @query
 def stream_review(spark, sf):
+    """State by asset in the state store."""
+    stream = KeyedReview(run_folder(spark, "stream"))
+    slices = event_slices(spark, sf)
+    slices.run(lambda: stream.start(v.project_reviews(slices.rows)))
+    return stream.state(spark)
+
+
+@query
+def stream_review_batches(spark, sf):
+    """The same with a table of states for each batch."""
     stream = ReviewStream(run_folder(spark, "stream"))
-    ingest.run_available(stream.start(v.project_reviews(event_files(spark, sf))))
+    slices = event_slices(spark, sf, 3)
+    slices.run(lambda: stream.start(v.project_reviews(slices.rows)))
     return stream.state(spark)
 
 
@@ -1065,13 +1165,29 @@ def late_assets(spark, sf):
 def stream_on_time(spark, sf):
     """Every asset comes twice within the watermark and is kept once."""
     folder = run_folder(spark, "stream")
-    timed = asset_stream(spark, sf).filter("taken_at is not null").select("asset_id", "taken_at")
+    slices, assets = asset_slices(spark, sf)
+    timed = assets.filter("taken_at is not null").select("asset_id", "taken_at")
     once = ingest.on_time_assets(timed.union(timed), "1 hour").select("asset_id", "taken_at")
     writer = once.writeStream.format("parquet").option("path", f"{folder}/once")
-    ingest.run_available(writer.option("checkpointLocation", f"{folder}/checkpoint"))
+    slices.run(lambda: writer.option("checkpointLocation", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/once")
 
 
+DELAY_MS = 6 * 3_600_000
+
+
+@query
+def stream_arrivals(spark, sf):
+    """Assets in four slices of time, every tenth twice; some are dated up to two days back, and are late where that is before the watermark."""
+    stream = Arrivals(run_folder(spark, "stream"), ["asset_id"], "taken_at", DELAY_MS)
+    slices, assets = asset_slices(spark, sf, 4)
+    number = F.substring("asset_id", 2, 9).cast("bigint")
+    back = F.when(number % 9 == 4, F.col("taken_at") - 86_400_000 * (number % 3)).otherwise(F.col("taken_at"))
+    rows = assets.select("asset_id", back.alias("taken_at"))
+    slices.run(lambda: stream.start(rows.union(rows.filter(number % 10 == 0))))
+    return stream.rows(spark).select("asset_id", "taken_at", "arrival")
+
+
 @query
 def error_isolation(spark, sf):
     return quality.features_of(v.assets(spark, sf), document_images(spark, sf)).select("asset_id", "error_message")

@@ -9,7 +9,7 @@ the last few rows of each block need to be chased across blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,11 +39,11 @@ from photofold.schemas import library_keys
 from photofold.session import cut_lineage, cut_lineage_in_order
 
 
-def to_group(assets: DataFrame) -> DataFrame:
-    """Scanned assets with a time, cut down to what grouping needs."""
+def to_group(assets: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Scanned assets with a time, cut down to what grouping needs and ``extra`` columns."""
     scanned = (F.col("status") == DONE) & F.col("taken_at").isNotNull() & (F.col("taken_at") != 0)
     return assets.filter(scanned).select(
-        *library_keys(assets), "asset_id", "taken_at", hash_bits("phash").alias("_bits")
+        *library_keys(assets), "asset_id", "taken_at", hash_bits("phash").alias("_bits"), *extra
     )
 
 

@@ -48,7 +48,7 @@ def sorted_parts(
     ).drop("_rid")
 
 
-def _before_part(parts: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
+def before_part(parts: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
     """Sums over all earlier partitions: one row per shuffle partition, so broadcast-safe."""
     per_part = parts.groupBy(PART).agg(*[expr.alias(name) for name, expr in totals.items()])
     earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +60,7 @@ def _before_part(parts: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
 def with_position(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Add ``_position``: 0, 1, 2, … in the global order."""
     parts = sorted_parts(df, order)
-    starts = _before_part(parts, {"_start": F.count(F.lit(1))})
+    starts = before_part(parts, {"_start": F.count(F.lit(1))})
     return (
         parts.join(F.broadcast(starts), PART)
         .withColumn(POSITION, F.col("_start") + F.col(ROW_IN_PART))
@@ -74,7 +74,7 @@ def number_sorted(df: DataFrame, name: str) -> DataFrame:
     part = F.shiftright("_rid", _ROW_BITS).cast("int")
     inside = F.col("_rid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     parts = parts.withColumns({PART: part, ROW_IN_PART: inside}).drop("_rid")
-    starts = _before_part(parts, {"_start": F.count(F.lit(1))})
+    starts = before_part(parts, {"_start": F.count(F.lit(1))})
     numbered = parts.join(F.broadcast(starts), PART)
     return numbered.withColumn(name, F.col("_start") + F.col(ROW_IN_PART) + 1).drop(PART, ROW_IN_PART, "_start")
 
@@ -84,7 +84,7 @@ def with_running_total(
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over all rows up to and including this one."""
     parts = sorted_parts(df.withColumn("_value", value.cast("long")), order)
-    starts = _before_part(parts, {"_start": F.sum("_value")})
+    starts = before_part(parts, {"_start": F.sum("_value")})
     inside = (
         Window.partitionBy(PART)
         .orderBy(ROW_IN_PART)

@@ -60,16 +60,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def child_folders(spark: SparkSession, path: str, with_file: str | None = None) -> list[str]:
+    """Names of the folders in a folder, if any, that hold a file of the given name."""
+    where, system = _file_system(spark, path)
+    if not system.exists(where):
+        return []
+    found = [s.getPath() for s in system.listStatus(where) if s.isDirectory()]
+    held = [p for p in found if with_file is None or system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, with_file))]
+    return sorted(p.getName() for p in held)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where, system = _file_system(spark, path)
+    system.delete(where, True)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """``cut_lineage`` and a function that removes the table, for when nothing reads it any more."""
     spark, path = df.sparkSession, run_folder(df.sparkSession, "cut")
     df.write.parquet(path)
 
-    def remove() -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    return spark.read.schema(df.schema).parquet(path), remove
+    return spark.read.schema(df.schema).parquet(path), lambda: remove_folder(spark, path)
 
 
 def cut_lineage_in_order(df: DataFrame) -> DataFrame:
