@@ -1024,6 +1024,39 @@ ORACLES: dict[str, str] = {
     "stream_dup_groups": with_views(
         "roots", "SELECT 'grp_' || root_id AS group_id, asset_id, distance_to_parent FROM roots"
     ),
+    "scan_media_pages": with_views(
+        "media_listing", "SELECT asset_id, creation_time, width, height FROM media_listing WHERE media_type = 'photo'"
+    ),
+    "scan_plugged": with_views(
+        "assets",
+        """SELECT asset_id, CASE WHEN a.status <> 0 THEN a.status WHEN doc_id IS NULL THEN 2 ELSE 1 END AS status,
+      CASE WHEN a.status = 0 AND doc_id IS NOT NULL THEN CAST(octet_length(encode(text)) AS DOUBLE) ELSE blur_score END AS blur_score,
+      CASE WHEN a.status = 0 AND doc_id IS NOT NULL THEN '00000000000000ff' ELSE phash END AS phash,
+      CASE WHEN a.status = 0 AND doc_id IS NOT NULL THEN CASE WHEN octet_length(encode(text)) % 2 = 1 THEN 'odd' ELSE 'even' END
+        WHEN NOT bad_json THEN labels[1].text END AS label
+    FROM assets a LEFT JOIN documents ON doc_id = event_id
+    WHERE CASE WHEN a.status = 0 AND doc_id IS NOT NULL THEN 3 ELSE algo_version END = 3""",
+    ),
+    "pending_images": with_views(
+        "pending_features",
+        """SELECT asset_id, round(blur_score, 6) AS blur_score, phash,
+      CASE WHEN bad THEN 'Asset not found or no local URI' END AS error_message FROM pending_features""",
+    ),
+    "sink": with_views(
+        "assets",
+        """SELECT 'L' || ((event_id // 40) % 5) AS library_id, asset_id, blur_score, mean_luma FROM assets
+    WHERE status = 1 AND blur_score < 100""",
+    ),
+    "keyset_page_clustered": with_views(
+        "assets",
+        """SELECT asset_id, taken_at FROM assets WHERE status = 0 AND (taken_at > 1705000000000
+      OR (taken_at = 1705000000000 AND asset_id > 'a'))""",
+    ),
+    "face_statistics_sketched": with_views(
+        "face_groups",
+        """SELECT count(DISTINCT face_id) AS total_faces, count(DISTINCT cluster_id) AS total_clusters,
+      true AS total_faces_close, true AS total_clusters_close FROM face_groups WHERE cluster_id IS NOT NULL""",
+    ),
     "stream_regroup": with_views(
         "roots",
         "SELECT 'grp_' || root_id AS group_id, asset_id, root_id AS representative_asset_id, distance_to_parent FROM roots",
@@ -1059,6 +1092,7 @@ ORACLES: dict[str, str] = {
     ),
 }
 ORACLES["stream_best_shot"] = ORACLES["best_shot"]
-ORACLES["stream_upsert"] = ORACLES["upsert_coalesce"]
+ORACLES["stream_upsert"] = ORACLES["compact_buckets"] = ORACLES["upsert_coalesce"]
+ORACLES["stream_media_pages"] = ORACLES["scan_media_pages"]
 ORACLES["stream_review"] = ORACLES["stream_review_batches"] = ORACLES["review_fold"]
 ORACLES["stream_status_batches"] = ORACLES["stream_status"]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -28,8 +29,9 @@ from photofold.operators import categories as cg
 from photofold.operators import faces, groups, quality, review, similarity
 from photofold.operators import scan as scanning
 from photofold.plans.ordering import number_sorted
+from photofold.schemas import FACE, MEDIA_LISTING
 from photofold.session import cut_lineage, run_folder
-from photofold.sources import media, vocabulary
+from photofold.sources import clustered, media, pages, vocabulary
 from photofold.streaming import catalog as stream_catalog
 from photofold.streaming import ingest
 from photofold.streaming.groups import GroupStream
@@ -179,6 +181,37 @@ def scan_media_albums(spark, sf):
     return rows.select("asset_id", "creation_time")
 
 
+def _paged(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """A listing folder of files that each cover a range of times, under the name of a data source."""
+    folder = run_folder(spark, "listing")
+    laid = rows.select(*[field.split()[0] for field in MEDIA_LISTING.split(", ")])
+    laid.repartitionByRange("creation_time", "asset_id").write.parquet(folder)
+    pages.register_listing(spark, name, pages.FolderListing(folder))
+    return folder
+
+
+@query
+def scan_media_pages(spark, sf):
+    """The photos of the listing, read page by page."""
+    _paged(spark, v.media_listing(spark, sf), "listing_pages")
+    paged = spark.read.format("listing_pages").load()
+    return paged.filter("media_type = 'photo'").select("asset_id", "creation_time", "width", "height")
+
+
+@query
+def stream_media_pages(spark, sf):
+    """The same as a stream that stops and goes on when newer entries have come."""
+    rows = v.media_listing(spark, sf)
+    middle = rows.agg(F.floor((F.min("creation_time") + F.max("creation_time")) / 2)).first()[0] or 0
+    folder, out = _paged(spark, rows.filter(F.col("creation_time") <= middle), "listing_stream"), run_folder(spark, "stream")
+    for later in (None, rows.filter(F.col("creation_time") > middle)):
+        if later is not None:
+            later.write.mode("append").parquet(folder)
+        found = spark.readStream.format("listing_stream").load().filter("media_type = 'photo'")
+        ingest.run_available(found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/rows").select("asset_id", "creation_time", "width", "height")
+
+
 @query
 def file_signature(spark, sf):
     return listing(spark, sf).select("asset_id", "file_signature")
@@ -280,6 +313,49 @@ def scan(spark, sf):
     )
 
 
+def _plugged_features(images: DataFrame) -> DataFrame:
+    @F.pandas_udf("double")
+    def size(content: pd.Series) -> pd.Series:
+        return content.map(len).astype(float)
+
+    return images.withColumns({"blur_score": size("content"), "mean_luma": F.lit(9.0), "phash": F.lit("00000000000000ff")})
+
+
+def _plugged_labels(images: DataFrame) -> DataFrame:
+    @F.pandas_udf("string")
+    def kind(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: "odd" if len(c) % 2 else "even")
+
+    label = F.struct(kind("content").alias("text"), F.lit(0.9).alias("confidence"))
+    return images.select("asset_id", F.array(label).alias("labels"), F.lit(None).cast(f"array<{FACE}>").alias("faces"))
+
+
+@query
+def scan_plugged(spark, sf):
+    """A scan of what is pending with models given as pandas UDFs."""
+    done = scanning.scan_pending(
+        v.assets(spark, sf), document_images(spark, sf), 3, now(), features_fn=_plugged_features, labels_fn=_plugged_labels
+    )
+    return done.filter(F.col("algo_version") == 3).select(
+        "asset_id", "status", "blur_score", "phash", F.get(lab.parse_labels("labels_json"), F.lit(0))["text"].alias("label")
+    )
+
+
+@query
+def pending_images(spark, sf):
+    """Features of the pending assets alone, whose ids reach the images as a Bloom filter."""
+    todo = cat.pending(v.assets(spark, sf)).select("asset_id")
+    return quality.features_of(todo, document_images(spark, sf), few=0).select("asset_id", r6("blur_score"), "phash", "error_message")
+
+
+@query
+def sink(spark, sf):
+    """A report that was written and read back."""
+    folder = run_folder(spark, "report")
+    media.write_report(_in_libraries(v.assets(spark, sf)).transform(quality.blurry_static), folder)
+    return spark.read.parquet(folder).select("library_id", "asset_id", "blur_score", "mean_luma")
+
+
 @query
 def album_list(spark, sf):
     bridge = v.album_assets(spark, sf)
@@ -1133,6 +1209,42 @@ def stream_upsert(spark, sf):
     return table.current(spark, log, now()).select(*_UPSERTED)
 
 
+@query
+def compact_buckets(spark, sf):
+    """The catalog after two compactions that write the buckets named by the log, and what came after them."""
+    base = v.assets(spark, sf)
+    log = cut_lineage(_updates(v.events(spark, sf)))
+    table = stream_catalog.BucketedCatalog(run_folder(spark, "catalog"), base.schema, buckets=16)
+    table.start(base)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for part in (3, 2):
+        table.compact(spark, log.filter(F.col("seq") <= last // part), now())
+    return table.current(spark, log, now()).select(*_UPSERTED)
+
+
+@query
+def keyset_page_clustered(spark, sf):
+    """All that a scan finds beyond its cursor, from a catalog laid out by month."""
+    folder = run_folder(spark, "clustered")
+    clustered.write_clustered(v.assets(spark, sf), folder)
+    rows = clustered.read_clustered(spark, folder, since=CURSOR[0])
+    return cat.keyset_page(rows, *CURSOR, limit=None).select("asset_id", "taken_at")
+
+
+@query
+def face_statistics_sketched(spark, sf):
+    """Estimates from the sketches of all days beside the exact numbers."""
+    groups_ = v.face_groups(spark, sf)
+    sketches = cut_lineage(faces.face_sketches(groups_))
+    near = faces.estimated_statistics(sketches).select(F.lit(0).alias("k"), F.col("total_faces").alias("f"), F.col("total_clusters").alias("c"))
+    exact = faces.face_statistics(groups_).withColumn("k", F.lit(0))
+
+    def close(estimate: str, exact: str) -> Column:
+        return (F.abs(F.col(estimate) - F.col(exact)) <= F.col(exact) * 0.02).alias(f"{exact}_close")
+
+    return exact.join(near, "k").select("total_faces", "total_clusters", close("f", "total_faces"), close("c", "total_clusters"))
+
+
 @query
 def stream_review(spark, sf):
     """State by asset in the state store."""

@@ -232,7 +232,7 @@ def keyset_page(
     catalog: DataFrame,
     after_taken_at: int | None = None,
     after_asset_id: str | None = None,
-    limit: int = SCAN_BATCH_ROWS,
+    limit: int | None = SCAN_BATCH_ROWS,
 ) -> DataFrame:
     """Next page of pending assets (of each library) in (taken_at, asset_id) order; NULL times first, only without cursor."""
     rows = pending(catalog)

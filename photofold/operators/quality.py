@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from photofold.config import DONE, BlurConfig
 from photofold.functions.images import blur_threshold, dhash64, laplacian_var, mean_luma
-from photofold.plans.hot_keys import first_rows, fits
+from photofold.plans.bloom import might_be_among
+from photofold.plans.hot_keys import BROADCAST_ROWS, first_rows, fits
 from photofold.schemas import library_keys
 
 NOT_FOUND = "Asset not found or no local URI"
@@ -45,25 +46,27 @@ def image_features(
     )
 
 
-def wanted_images(ids: DataFrame, images: DataFrame) -> DataFrame:
+def wanted_images(ids: DataFrame, images: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
     """The images of the given assets, without moving their content.
 
-    A list of ids of checked size goes to the images; beyond that all images stay.
+    Up to ``few`` ids go to the images themselves; of more, a Bloom filter does, which lets few other images pass.
     """
     keys = [*library_keys(images), "asset_id"]
     narrow = ids.select(*keys)
-    return images.join(F.broadcast(narrow), keys, "left_semi") if fits(narrow) else images
+    if fits(narrow, few):
+        return images.join(F.broadcast(narrow), keys, "left_semi")
+    return might_be_among(images, narrow, keys)
 
 
 def features_of(
-    ids: DataFrame, images: DataFrame, features_fn: Callable[[DataFrame], DataFrame] | None = None
+    ids: DataFrame, images: DataFrame, features_fn: Callable[[DataFrame], DataFrame] | None = None, few: int = BROADCAST_ROWS
 ) -> DataFrame:
     """``image_features`` of the given assets; an asset without an image row is an error row.
 
     Features are computed where the images are read, and only they are joined.
     """
     keys = [*library_keys(ids), "asset_id"]
-    found = image_features(wanted_images(ids, images).select(*keys, "content"), features_fn)
+    found = image_features(wanted_images(ids, images, few).select(*keys, "content"), features_fn)
     joined = ids.select(*keys).join(found.withColumn("_found", F.lit(True)), keys, "left")
     missing = F.when(F.col("_found").isNull(), NOT_FOUND).otherwise(F.col("error_message"))
     return joined.withColumn("error_message", missing).drop("_found")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from photofold.operators.catalog import upsert_coalesce
+from photofold.schemas import LIBRARY
+from photofold.streaming.tables import BucketTable, buckets_of, hash_bucket
 
 
 def stream_upsert(updates: DataFrame, folder: str) -> DataStreamWriter:
@@ -71,3 +75,49 @@ class CompactedCatalog:
 
     def _newest(self, spark: SparkSession):
         return spark.read.parquet(f"{self.folder}/versions").orderBy(F.desc("version")).first()
+
+
+@dataclass
+class BucketedCatalog:
+    """The same with a base in buckets by a hash of the asset's key: a compaction reads and writes the buckets that the log names.
+
+    Versions are kept until ``vacuum``; each notes the highest ``seq`` that it holds.
+    """
+
+    folder: str
+    schema: StructType
+    buckets: int = 256
+    seq: str = "seq"
+
+    @cached_property
+    def table(self) -> BucketTable:
+        return BucketTable(f"{self.folder}/base", self.schema, self._keys)
+
+    @property
+    def _keys(self) -> list[str]:
+        return [LIBRARY, "asset_id"] if LIBRARY in self.schema.names else ["asset_id"]
+
+    def _bucket(self) -> Column:
+        return hash_bucket(self._keys, self.buckets)
+
+    def start(self, base: DataFrame) -> None:
+        self.table.write(base, self._bucket(), 0)
+
+    def _newer(self, spark: SparkSession, log: DataFrame) -> DataFrame:
+        folded = self.table.note(spark)
+        return log if folded is None else log.filter(F.col(self.seq) > folded)
+
+    def current(self, spark: SparkSession, log: DataFrame, now: Column | None = None) -> DataFrame:
+        return current_catalog(self.table.read(spark), self._newer(spark, log), self.seq, now)
+
+    def compact(self, spark: SparkSession, log: DataFrame, now: Column | None = None) -> list[int]:
+        """Fold what the log has beyond the base; returns the buckets written."""
+        newer = self._newer(spark, log)
+        folded = newer.agg(F.max(self.seq).alias("seq")).first()["seq"]
+        if folded is None:
+            return []
+        fixed = newer.filter(F.col(self.seq) <= folded)
+        touched = buckets_of(fixed, self._bucket())
+        rows = current_catalog(self.table.read(spark, touched), fixed, self.seq, now)
+        self.table.write(rows, self._bucket(), self.table.newest(spark) + 1, touched, folded)
+        return touched
