@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photofold.llm.common import small_batches, task_count
+from photofold.llm.words import lean
 from photofold.session import run_folder
 
 LABELS = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
@@ -172,7 +173,7 @@ def write_chats(turns: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) ->
             close(False)
             yield pa.RecordBatch.from_pylist(made, schema)
 
-    ordered.select("conv_id", "role", "text").mapInArrow(run, CHUNKS).write.parquet(path)
+    ordered.select("conv_id", "role", "text").mapInArrow(lean(run), CHUNKS).write.parquet(path)
 
 
 def _streams(turns: list[Turn], text: str, mask: list[dict]) -> tuple[bytes, str]:
@@ -227,9 +228,9 @@ def read_chats(spark: SparkSession, path: str) -> DataFrame:
     marked = chunks.join(F.broadcast(crossing.withColumn("_several", F.lit(True))), F.col("conv_id").eqNullSafe(F.col("_cut")), "left")
     several = F.coalesce(F.col("_several"), F.lit(False)) | F.col("continued") | F.col("continues")
     columns = ["conv_id", "text", "mask"]
-    whole = marked.filter(~several).select(*columns).mapInArrow(_digest_sorted, READ)
+    whole = marked.filter(~several).select(*columns).mapInArrow(lean(_digest_sorted), READ)
     cut = marked.filter(several).repartition(task_count(chunks), "conv_id").sortWithinPartitions("conv_id", "part", "chunk")
-    return whole.unionByName(cut.select(*columns).mapInArrow(_digest_sorted, READ))
+    return whole.unionByName(cut.select(*columns).mapInArrow(lean(_digest_sorted), READ))
 
 
 def round_trip(turns: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

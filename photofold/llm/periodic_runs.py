@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photofold.llm.common import pieces, small_batches
+from photofold.llm.words import lean
 
 LEAST_WORDS = 6
 LEAST_POWER = 4
@@ -212,7 +213,7 @@ def detect(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, _arrow())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def _arrow() -> pa.Schema:
@@ -243,7 +244,7 @@ def with_repeated_tails(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(lean(run), "doc_id long, text string")
 
 
 def digests(found: DataFrame) -> DataFrame:

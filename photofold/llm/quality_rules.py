@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from photofold.llm.common import pieces, small_batches
-from photofold.llm.words import Words, covered, mix, per_text, repeated
+from photofold.llm.words import Words, covered, lean, mix, per_text, repeated
 
 MIN_WORDS = 50
 MIN_REPEAT = 8
@@ -159,4 +159,4 @@ def quality(
             yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in rest), *(x for x, _ in made)])
 
     schema = StructType(docs.schema.fields + StructType.fromDDL(COLUMNS).fields)
-    return docs.withColumn(key, F.coalesce(F.col("text"), F.lit("")).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(key, F.coalesce(F.col("text"), F.lit("")).cast("binary")).mapInArrow(lean(run), schema)

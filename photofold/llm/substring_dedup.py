@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from photofold.llm.common import pieces
 from photofold.llm.spans import cut_spans, named_bytes
-from photofold.llm.words import mix
+from photofold.llm.words import lean, mix
 from photofold.session import cut_lineage
 
 GEAR = 24
@@ -105,7 +105,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 ["doc_id", "tag", "start", "end", "digest"],
             )
 
-    return named_bytes(docs).mapInArrow(run, "doc_id long, tag long, start long, end long, digest binary")
+    return named_bytes(docs).mapInArrow(lean(run), "doc_id long, tag long, start long, end long, digest binary")
 
 
 def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from photofold.llm.common import pieces, task_count
 from photofold.llm.spans import cut_spans, named_bytes, with_lists
-from photofold.llm.words import Bytes, mix
+from photofold.llm.words import Bytes, lean, mix
 from photofold.session import cut_lineage
 
 LENGTH = 200
@@ -80,7 +80,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 ["doc_id", "tag", "pos", "left", "right", "gram", "context"],
             )
 
-    return named_bytes(docs).mapInArrow(run, "doc_id long, tag long, pos long, left int, right int, gram long, context long")
+    return named_bytes(docs).mapInArrow(lean(run), "doc_id long, tag long, pos long, left int, right int, gram long, context long")
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ def _intervals(classes: DataFrame, length: int, groups: bool) -> DataFrame:
             yield found(held)
 
     ordered = classes.repartition(task_count(classes), "gram").sortWithinPartitions("gram")
-    return ordered.mapInArrow(run, OCCURRENCE)
+    return ordered.mapInArrow(lean(run), OCCURRENCE)
 
 
 def _split(classes: DataFrame, length: int, reach: int, width: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _split(classes: DataFrame, length: int, reach: int, width: int) -> DataFrame
                     names,
                 )
 
-    return classes.mapInArrow(run, CLASS)
+    return classes.mapInArrow(lean(run), CLASS)
 
 
 def repeats(
@@ -329,7 +329,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = with_lists(named_bytes(docs), lists, "inner")
     # A repeated row gives its classes twice; they are equal.
-    return rows.mapInArrow(run, CLASS).dropDuplicates(["gram", "context"])
+    return rows.mapInArrow(lean(run), CLASS).dropDuplicates(["gram", "context"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photofold.llm.common import id_and_text, pieces, task_count
-from photofold.llm.words import Bytes, worker_memory
+from photofold.llm.words import Bytes, lean, worker_memory
 from photofold.session import run_folder
 
 BLOCK_IDS = 1 << 17
@@ -306,7 +306,7 @@ def write_tokens(
         if names:
             yield block()
 
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(lean(blocks, ["encoders"]), BLOCK_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -336,7 +336,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     return stored.join(F.broadcast(starts), "part").mapInArrow(
-        documents, "doc_id long, start long, n_tokens long, ids binary"
+        lean(documents), "doc_id long, start long, n_tokens long, ids binary"
     )
 
 

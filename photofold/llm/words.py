@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -30,6 +30,38 @@ def worker_memory() -> dict:
     return sys.modules.setdefault("_photofold_worker", types.ModuleType("_photofold_worker")).__dict__
 
 
+def lean(run: Callable[[Iterable], Iterator], keep: Sequence[str] = ()) -> Callable[[Iterable], Iterator]:
+    """The same function of batches, leaving its Python worker small: workers serve the tasks of all stages, one after the other.
+
+    What other operators left in ``worker_memory`` is dropped at the start, all but ``keep`` at the end, and freed memory goes
+    back to the system.
+    """
+
+    def wrapped(batches: Iterable) -> Iterator:
+        forget(keep)
+        try:
+            yield from run(batches)
+        finally:
+            forget(keep)
+
+    return wrapped
+
+
+def forget(keep: Sequence[str] = ()) -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    memory = worker_memory()
+    for name in [k for k in memory if not k.startswith("__") and k not in keep]:
+        del memory[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     known = worker_memory().get("powers")
