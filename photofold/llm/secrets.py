@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from photofold.llm.common import id_and_text, pieces
+from photofold.llm.words import lean
 
 # The base patterns, in the order of their kinds, and the least length of what they must find.
 ASSIGN = re.compile(
@@ -69,29 +70,55 @@ def strength(value: str) -> int:
     return (entropy >= 2.5) + (entropy >= 3.5) + (kinds >= 2) + bool(re.search("[0-9]", value)) - 4 * bool(re.search(r"\s", value))
 
 
+class _Value:
+    """What an assignment gives its name: literals, and the values of constants among them, which are shared and not copied."""
+
+    __slots__ = ("parts",)
+
+    def __init__(self, parts: list[tuple[int, int, str] | _Value]):
+        self.parts = parts
+
+    def literals(self) -> list[tuple[int, int, str]]:
+        """Every literal that goes into the value, once, where it is first met."""
+        found, seen, todo = [], set(), [self]
+        while todo:
+            one = todo.pop()
+            if not isinstance(one, _Value):
+                found.append(one)
+            elif id(one) not in seen:
+                seen.add(id(one))
+                todo.extend(reversed(one.parts))
+        return list(dict.fromkeys(found))
+
+
 def named_literals(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, name, score) of the literals that reach ``THRESHOLD``; a literal once, by its best name."""
+    """(start, end, name, score) of the literals that reach ``THRESHOLD``; a literal once, by its best name.
+
+    A constant used several times in one value counts once in it.
+    """
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    constants: dict[str, _Value] = {}
     found: dict[tuple[int, int], tuple[str, int]] = {}
     for m in _NAME.finditer(text):
         name, at, parts = m[2] or m[1], m.end(), []
         while literal := _LITERAL.match(text, at):
             kind = literal.lastindex
             value = literal[kind]
-            parts += constants.get(value, []) if kind == 3 and value in constants else [(literal.start(kind), literal.end(kind), value)]
+            parts.append(constants[value] if kind == 3 and value in constants else (literal.start(kind), literal.end(kind), value))
             more = _PLUS.match(text, literal.end())
             if not more:
                 break
             at = more.end()
         if not parts:
             continue
+        whole = _Value(parts)
         if _IDENTIFIER.fullmatch(name):
-            constants[name] = parts
+            constants[name] = whole
         level = sensitivity(name)
         if level <= 0:
             continue
+        parts = whole.literals()
         score = level + strength("".join(v for _, _, v in parts))
         if score >= THRESHOLD:
             for start, end, value in parts:
@@ -145,7 +172,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     rows = id_and_text(docs)
     return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(
-        run,
+        lean(run),
         "doc_id long, n_assign long, n_access long, n_hex long, n_named long, base string, spans string, "
         "named array<struct<start:long,end:long,name:string,score:long>>",
     )
