@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photofold.llm.common import pieces, small_batches, text_tag
-from photofold.llm.words import Bytes, _powers, mix
+from photofold.llm.words import Bytes, _powers, lean, mix
 from photofold.plans.hot_keys import broadcast_if_fits
 from photofold.session import cut_lineage
 
@@ -194,7 +194,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     whole = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.mapInArrow(run, "item_id long, n_tokens int, hash long, size int, exact boolean, at int, slots array<string>")
+    return whole.mapInArrow(lean(run), "item_id long, n_tokens int, hash long, size int, exact boolean, at int, slots array<string>")
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -241,7 +241,7 @@ def _document_windows(docs: DataFrame, kinds: list[tuple[int, bool]], bitmap) ->
 
     small_batches(docs.sparkSession)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.mapInArrow(run, "doc_id long, tag long, place int, hash long, slots array<string>")
+    return whole.mapInArrow(lean(run), "doc_id long, tag long, place int, hash long, slots array<string>")
 
 
 def _votes(windows: list[dict]) -> dict[str, str]:
@@ -330,7 +330,7 @@ def _named_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
             )
 
     counted = groups.select("doc_id", "tag", "item_id", "n_tokens", "windows").mapInArrow(
-        run, "doc_id long, tag long, item_id long, n_tokens int, n_windows long, n_covered int"
+        lean(run), "doc_id long, tag long, item_id long, n_tokens int, n_windows long, n_covered int"
     )
     return counted.filter((F.col("n_covered") >= LEAST_SHARE * F.col("n_tokens")) | (F.col("n_covered") >= ENOUGH_TOKENS))
 
@@ -355,7 +355,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no leak, by id and text; all columns are kept."""
-    leaks = _named_leaks(docs, items, **options).select(F.col("doc_id").alias("leaking"), F.col("tag").alias("leaking_tag"))
-    leaks = cut_lineage(leaks.distinct())
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("leaking")) & (text_tag(docs["text"]) == F.col("leaking_tag"))
-    return docs.join(broadcast_if_fits(leaks), on, "left_anti")
+    leaks = cut_lineage(_named_leaks(docs, items, **options).select("doc_id", "tag").distinct())
+    on = F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_leaks.doc_id")) & (text_tag(F.col("_docs.text")) == F.col("_leaks.tag"))
+    return docs.alias("_docs").join(broadcast_if_fits(leaks).alias("_leaks"), on, "left_anti")
