@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photofold.llm.common import pieces, small_batches, text_tag
+from photofold.llm.words import lean
 
 
 def named_bytes(docs: DataFrame, tag: Column | None = None) -> DataFrame:
@@ -41,7 +42,9 @@ def cut_spans(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
 
     One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs), ``kept`` (bytes) and ``kept_sha256``.
     """
-    lists = spans.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    # Equal rows that share an id, or have none, name the same spans: each is kept once.
+    each = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    lists = each.select("doc_id", "tag", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 20):
@@ -65,5 +68,5 @@ def cut_spans(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
             )
 
     return with_lists(named_bytes(docs), lists).mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+        lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     )

@@ -127,3 +127,16 @@ def test_passage_of_fifty_words_is_caught(spark):
     sa = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
     n = len(passage.encode())
     assert sa[3] == 0 and n <= sa[1] <= n + 8 and n <= sa[2] <= n + 8
+
+
+def test_equal_rows_without_ids_keep_short_lists(spark):
+    from photofold.llm.spans import cut_spans
+
+    text = "a passage that stands twice, " * 20
+    docs = spark.createDataFrame([(None, text)] * 3000, "doc_id long, text string").repartition(4)
+    from photofold.llm.common import text_tag
+    from pyspark.sql import functions as F
+
+    spans = docs.select("doc_id", text_tag(F.col("text")).alias("tag"), F.lit(3).cast("long").alias("start"), F.lit(9).cast("long").alias("end"))
+    found = cut_spans(docs, spans.union(spans.withColumn("end", F.lit(12).cast("long"))))
+    assert {(r.n_removed, r.n_spans) for r in found.select("n_removed", "n_spans").collect()} == {(9, 1)} and found.count() == 3000
