@@ -1,9 +1,9 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text. A classifier gives each block a cost for either label, from the elements
-around it (their names, roles and classes), its length, punctuation and share of link text. These costs
-are the capacities to the two terminals; edges between neighbours on the page and between blocks of
-one parent element make it dear to tell them apart. The minimum cut, found by maximum flow, labels all
+A page is cut into blocks of text. A classifier gives each block a bounded cost for either label: graded evidence from its length,
+sentences, share of link text, element and depth, and from the names, roles and classes of the elements around it. These costs
+are the capacities to the two terminals; edges between neighbours on the page, weaker the further they are apart in the DOM, and
+between blocks of one parent element make it dear to tell them apart. The minimum cut, found by maximum flow, labels all
 blocks of the page together.
 """
 
@@ -13,13 +13,14 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photofold.llm.common import pieces, small_batches
+from photofold.llm.words import lean
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -57,61 +58,86 @@ OTHER_TEXTS = frozenset(
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 
-STRUCTURE = 6.0
-TEXT = 2.0
-WRAPPER = 0.9
-DEEP = 32
-NEIGHBOUR = 0.6
-SIBLING = 0.8
+#: Elements that hold running text: a class of theirs that has a boilerplate word among others says little.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption".split())
+
+# Evidence for a block, from its text and from the elements around it; the sum is bounded.
+MOST = 3.0
+LENGTH, SENTENCE, SHORT = 0.9, 0.3, -0.2
+PARAGRAPH, HEADING, CONTENT = 0.4, 0.5, 0.8
+LINKED, MARKED, HINTED, DEEP = -2.4, -2.4, -0.6, -0.02
+LONG_WORDS = 30
+#: Shares of the page's text between which a mark around it fades, by its kind.
+FADING = ((0.35, 0.65), (0.85, 0.95), (0.85, 0.95))
+# Smoothness: blocks next to each other, those one further, and blocks of one parent; each step in the DOM weakens the first two.
+NEIGHBOUR, SECOND, SIBLING, STEP = 0.8, 0.3, 0.5, 0.8
+#: Steps that the border of a marked element counts for.
+BORDER = 6
+
+
+@dataclass(slots=True)
+class Mark:
+    """An element that names itself as boilerplate, and what lies in it: all text, text in content elements below it, and text in any."""
+
+    kind: int
+    above: Mark | None
+    text: float = 0.0
+    inner: float = 0.0
+    content: float = 0.0
+    #: How far the marks down to this count against a block, and against one with a content element between.
+    plain: float = 0.0
+    wrapped: float = 0.0
 
 
 @dataclass(slots=True)
 class Element:
     tag: str
-    number: int
     hidden: bool
     content: bool
     link: bool
-    marked: bool
-    #: Marks above and at the element, and whether a content element lies between each and this.
-    marks: dict[int, bool]
+    hinted: bool
+    steps: int
+    mark: Mark | None
+    #: The innermost mark above the innermost content element.
+    clear: Mark | None
+    number: int
+    #: The element that holds the text here, and the one around that, as places in the page.
+    holder: Element | None
+    outer: int
 
 
 @dataclass(slots=True)
 class Block:
     text: str
+    tag: str
     parent: int
-    boilerplate: int
+    depth: int
     content: bool
-    heading: bool
+    hinted: bool
     linked: float
-    own: bool = False
-    marks: dict[int, bool] = field(default_factory=dict)
-
-
-@dataclass(slots=True)
-class _Page:
-    stack: list[Element] = field(default_factory=list)
-    blocks: list[Block] = field(default_factory=list)
-    buffer: list[str] = field(default_factory=list)
-    raw: int = 0
-    linked: int = 0
-    elements: int = 0
-    kinds: list[int] = field(default_factory=list)
+    mark: Mark | None
+    clear: Mark | None
+    #: DOM steps from the block before.
+    steps: int
 
 
 LAYOUT, OTHERS, TAG = range(3)
 
 
-def _hints(tag: str, attrs: str, above: Element | None) -> tuple[bool, bool, int | None, bool]:
-    """Whether the element is hidden, lies in content, the kind of its boilerplate mark, and whether it is itself content."""
+def _hints(tag: str, attrs: str, above: Element | None) -> tuple[bool, bool, int | None, bool, bool]:
+    """Whether the element is hidden, lies in content, the kind of its boilerplate mark, whether it is itself content, and whether its
+    names hint at boilerplate without marking it."""
     hidden, content = (above.hidden, above.content) if above else (False, False)
-    mark, main, named = None, tag in CONTENT_TAGS, set()
+    mark, main, named, whole = None, tag in CONTENT_TAGS, set(), set()
     if attrs and attrs.strip():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                named.update(w.lower() for w in _PART.findall(value))
+                for name in value.split():
+                    words = {w.lower() for w in _PART.findall(name)}
+                    named |= words
+                    if words <= BOILERPLATE_WORDS:
+                        whole |= words
             elif key == "role":
                 if value.lower() in BOILERPLATE_ROLES:
                     mark = LAYOUT if value.lower() == "form" else TAG
@@ -121,90 +147,105 @@ def _hints(tag: str, attrs: str, above: Element | None) -> tuple[bool, bool, int
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                 hidden = True
     if tag in ("html", "body"):
-        return False, content or main, None, False
+        return False, content or main, None, False, False
+    main |= not CONTENT_WORDS.isdisjoint(named)
+    telling = whole if tag in TEXT_TAGS else named
     if tag in BOILERPLATE_TAGS or (not content and tag == "header"):
         mark = LAYOUT if tag == "form" else TAG
-    elif mark is None and not named.isdisjoint(OTHER_TEXTS):
+    elif mark is None and not telling.isdisjoint(OTHER_TEXTS):
         mark = OTHERS
-    elif mark is None and (not BOILERPLATE_WORDS.isdisjoint(named) or (not content and "header" in named)):
+    elif mark is None and (not BOILERPLATE_WORDS.isdisjoint(telling) or (not content and "header" in telling)):
         mark = LAYOUT
-    main |= not CONTENT_WORDS.isdisjoint(named)
-    return hidden, content or main, mark, main and mark is None
+    return hidden, content or main, mark, main and mark is None, mark is None and not BOILERPLATE_WORDS.isdisjoint(named)
+
+
+def _fades(kind: int, share: float) -> float:
+    """How far a mark counts that holds this share of the text."""
+    low, high = FADING[kind]
+    return min(1.0, max(0.0, (high - share) / (high - low)))
 
 
-def _settle(blocks: list[Block], kinds: list[int]) -> None:
-    """Set ``boilerplate``: 2 for hidden blocks and those with a mark of their own, 1 for those below a mark, else 0.
+def weigh_marks(blocks: list[Block], marks: list[Mark]) -> None:
+    """Say how far each mark counts. A mark around the page's main text says nothing about it.
 
-    A mark around the page's main text says nothing about it. So a layout's mark doesn't count for content elements below it if they
-    have more text than those without marks, or at all if it holds half of the text and the page has no content
-    elements. Marks that name other texts, and those of tags, must hold ``WRAPPER`` of the text for that. The largest come first.
+    For content elements in it, it fades with their share of the text of all content elements (of all text, unless it is a layout's);
+    for other text in it, with the share of the page, where no content element lies elsewhere. ``marks`` are in page order, so each
+    comes after those around it.
     """
-    size = [len(b.text) * (1 - b.linked) for b in blocks]
-    live = [i for i, b in enumerate(blocks) if not b.boilerplate]
-    under: dict[int, list[int]] = {}
-    for i in live:
-        for m in blocks[i].marks:
-            under.setdefault(m, []).append(i)
-    texts = {m: sum(size[i] for i in x) for m, x in under.items()}
-    #: Number of marks that count for each block, and the text of blocks without one, in content elements and in all.
-    left = {i: len(blocks[i].marks) for i in live}
-    free = [sum(size[i] for i in live if not left[i] and blocks[i].content), sum(size[i] for i in live if not left[i])]
-    gone: dict[int, list[int]] = {}
-    for m in sorted(texts, key=lambda m: (-texts[m], m)):
-        inner = [i for i in under[m] if all(blocks[i].marks.values())]
-        held, wrapper = sum(size[i] for i in inner), (1 - WRAPPER) / WRAPPER
-        if held:
-            void = inner if (held > free[0] if kinds[m] == LAYOUT else held * wrapper >= free[1]) else []
-        elif free[0] or kinds[m] == TAG:
-            void = []
-        else:
-            void = under[m] if (texts[m] >= free[1] if kinds[m] == LAYOUT else texts[m] * wrapper >= free[1]) else []
-        gone[m] = void
-        for i in void:
-            left[i] -= 1
-            if not left[i]:
-                free[0] += size[i] * blocks[i].content
-                free[1] += size[i]
-    for i in live:
-        blocks[i].boilerplate = 0 if not left[i] else 2 if blocks[i].own else 1
+    total = content = 0.0
+    for b in blocks:
+        size = len(b.text) * (1 - b.linked)
+        total += size
+        content += size * b.content
+        if b.mark:
+            b.mark.text += size
+            b.mark.content += size * b.content
+        if b.clear:
+            b.clear.inner += size
+    for m in reversed(marks):
+        if m.above:
+            m.above.text += m.text
+            m.above.inner += m.inner
+            m.above.content += m.content
+    for m in marks:
+        elsewhere = content - m.content
+        outside = elsewhere if m.kind == LAYOUT else total - m.text
+        wrapped = _fades(m.kind, m.inner / (m.inner + outside)) if m.inner else 1.0
+        plain = 1.0 if m.inner or elsewhere > 0 or m.kind == TAG or not total else _fades(m.kind, m.text / total)
+        m.plain = plain + (m.above.plain if m.above else 0.0)
+        m.wrapped = wrapped + (m.above.wrapped if m.above else 0.0)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order; scripts, styles, comments and markup are gone, references decoded."""
-    p, at = _Page(), 0
+    """Blocks of text in page order; scripts, styles, comments, hidden elements and markup are gone, references decoded.
+
+    One pass: open elements are known by place and by tag, so a page of any depth takes time in proportion to its length.
+    """
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}
+    blocks: list[Block] = []
+    marks: list[Mark] = []
+    buffer: list[str] = []
+    raw = linked = elements = 0
+    lowest, last_steps = 0, 0  # the least steps of the element on top since the block before, and that block's
 
     def text(part: str) -> None:
+        nonlocal raw, linked
         if part:
-            p.buffer.append(part)
+            buffer.append(part)
             if not part.isspace():
-                p.raw += len(part)
-                if p.stack and p.stack[-1].link:
-                    p.linked += len(part)
+                raw += len(part)
+                if stack and stack[-1].link:
+                    linked += len(part)
 
     def flush() -> None:
-        if p.raw:
-            words = html.unescape("".join(p.buffer)).split()
+        nonlocal raw, linked, lowest, last_steps
+        above = stack[-1] if stack else None
+        if raw and not (above and above.hidden):
+            words = html.unescape("".join(buffer)).split()
             if words:
-                holder = next((e for e in reversed(p.stack) if e.tag not in INLINE), None)
-                above = p.stack[-1] if p.stack else None
-                parents = [e for e in p.stack if e.tag not in INLINE and e is not holder]
-                outer = parents[-1].number if holder and holder.tag != "body" and parents else holder.number if holder else -1
-                heading = bool(holder) and bool(re.fullmatch("h[1-6]", holder.tag))
-                flags = (2 * above.hidden, above.content) if above else (0, False)
-                of = (above.marked, above.marks) if above else (False, {})
-                p.blocks.append(Block(" ".join(words), outer, *flags, heading, p.linked / p.raw, *of))
-        p.buffer.clear()
-        p.raw = p.linked = 0
+                holder = above.holder if above else None
+                depth = holder.steps if holder else 0
+                steps = last_steps + depth - 2 * min(lowest, depth)
+                of = (above.content, bool(holder and holder.hinted), linked / raw, above.mark, above.clear) if above else (False, False, linked / raw, None, None)
+                blocks.append(Block(" ".join(words), holder.tag if holder else "", holder.outer if holder else -1, depth, *of, steps))
+                lowest = last_steps = depth
+        buffer.clear()
+        raw = linked = 0
+
+    def cut(place: int) -> None:
+        nonlocal lowest
+        while len(stack) > place:
+            places[stack.pop().tag].pop()
+        lowest = min(lowest, stack[-1].steps if stack else 0)
 
     def close(tag: str, barriers: tuple[str, ...] = ()) -> None:
-        for i in range(len(p.stack) - 1, -1, -1):
-            if p.stack[i].tag == tag:
-                del p.stack[i:]
-                return
-            if p.stack[i].tag in barriers:
-                return
+        if at := places.get(tag):
+            if all(not places.get(b) or places[b][-1] < at[-1] for b in barriers):
+                cut(at[-1])
 
     unclosed: set[str] = set()
+    at = 0
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
@@ -223,7 +264,7 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             continue
         if tag == "br":
-            p.buffer.append(" ")
+            buffer.append(" ")
             continue
         inline = tag in INLINE
         if not inline:
@@ -239,30 +280,44 @@ def blocks_of(page: str) -> list[Block]:
                 close("li", ("ul", "ol", "menu"))
             elif tag in ("td", "th", "tr"):
                 close(tag, ("table",))
-        above = p.stack[-1] if p.stack else None
-        hidden, content, mark, clears = _hints(tag, m["attrs"], above)
-        marks = above.marks if above and tag not in ("html", "body") else {}
-        if clears and marks:
-            marks = dict.fromkeys(marks, True)
-        if mark is not None and len(marks) < DEEP:  # further ones go with the innermost of these
-            marks = {**marks, len(p.kinds): False}
-            p.kinds.append(mark)
-        p.elements += 1
-        p.stack.append(Element(tag, p.elements, hidden, content, tag == "a" or bool(above and above.link), mark is not None, marks))
+        above = stack[-1] if stack else None
+        hidden, content, kind, clears, hinted = _hints(tag, m["attrs"], above)
+        root = tag in ("html", "body")
+        mark = above.mark if above and not root else None
+        clear = mark if clears else above.clear if above and not root else None
+        if kind is not None:
+            mark = Mark(kind, mark)
+            marks.append(mark)
+        elements += 1
+        around = above.holder if above else None
+        steps = (around.steps if around else 0) + (0 if inline else BORDER if kind is not None else 1)
+        link = tag == "a" or bool(above and above.link)
+        outer = -1 if around is None else around.number
+        element = Element(tag, hidden, content, link, hinted, steps, mark, clear, elements, around, outer)
+        if not inline:
+            element.holder = element
+        stack.append(element)
+        places.setdefault(tag, []).append(len(stack) - 1)
     text(page[at:])
     flush()
-    _settle(p.blocks, p.kinds)
-    return p.blocks
+    weigh_marks(blocks, marks)
+    return blocks
+
+
+_ENDS = re.compile(r"[.!?…。](?=\s|$)")
 
 
 def evidence(block: Block) -> float:
     """Above 0: the cost of calling the block boilerplate; below 0: of calling it content."""
-    words, marks = block.text.count(" ") + 1, len(re.findall(r"[.!?…。](?=\s|$)", block.text))
-    score = TEXT if words >= 12 or (words >= 4 and marks) else -0.2 * TEXT
-    score += TEXT * (words >= 40 and marks > 0) + 0.5 * TEXT * block.heading
-    score -= 2 * TEXT * (block.linked > 0.5)
-    score += STRUCTURE * block.content if not block.boilerplate else -block.boilerplate * STRUCTURE
-    return score
+    words, sentence = block.text.count(" ") + 1, _ENDS.search(block.text) is not None
+    score = LENGTH * min(words, LONG_WORDS) / LONG_WORDS + SENTENCE * sentence if words >= 4 or sentence else SHORT
+    score += PARAGRAPH * (block.tag == "p") + HEADING * (len(block.tag) == 2 and block.tag[0] == "h" and block.tag[1].isdigit())
+    counts = 0.0
+    if block.mark:
+        counts = block.mark.plain - (block.clear.plain if block.clear else 0.0) + (block.clear.wrapped if block.clear else 0.0)
+    score += CONTENT * block.content * max(0.0, 1 - counts)
+    score += LINKED * block.linked + MARKED * counts + HINTED * block.hinted + DEEP * min(block.depth, 20)
+    return max(-MOST, min(MOST, score))
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -358,16 +413,24 @@ def _flow_labels(rest: list[int], scores: list[float], edges: list[tuple[int, in
                 break
 
 
-def label_blocks(blocks: list[Block]) -> list[bool]:
-    """Edges join neighbours on the page and blocks of one parent element."""
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between blocks next to each other on the page, the weaker the further they are apart in the DOM, and blocks of one parent."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEIGHBOUR))
-        if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return minimum_cut([evidence(b) for b in blocks], edges)
+            edges.append((i - 1, i, NEIGHBOUR * STEP ** max(b.steps - 2, 0)))
+        if i > 1:
+            edges.append((i - 2, i, SECOND * STEP ** max(b.steps + blocks[i - 1].steps - 4, 0)))
+        key = (b.parent, id(b.mark))  # a mark parts the children of an element
+        if key in last:
+            edges.append((last[key], i, SIBLING))
+        last[key] = i
+    return edges
+
+
+def label_blocks(blocks: list[Block]) -> list[bool]:
+    """The labels of least cost: what each block's own evidence says against, and an edge's weight wherever its ends differ."""
+    return minimum_cut([evidence(b) for b in blocks], smoothness(blocks))
 
 
 def main_text(page: str) -> str:
@@ -393,5 +456,5 @@ def extract(pages: DataFrame) -> DataFrame:
     whole = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")
     )
-    out = whole.mapInArrow(run, "page_id long, url string, text string")
+    out = whole.mapInArrow(lean(run), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
