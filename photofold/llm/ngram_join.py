@@ -4,9 +4,10 @@
    as one.
 2. A class has ``bands`` bands of ``rows`` minima each; classes that share a band are candidates. Bands and rows are
    chosen so that a pair at the threshold meets with probability ``recall``.
-3. Candidates are grouped into connected groups, groups are dealt into blocks of some ``BLOCK`` classes, and each
-   pair of blocks of a group is one small task: exact intersections of the full sets as matrix products. Only
-   each class's number of links and its root within the two blocks leave the task, never the pairs.
+3. Candidates are grouped into connected groups. A large group is cut into blocks of some ``BLOCK`` classes, near ones
+   together, and two blocks are compared if a band has classes in both: exact intersections of the full sets as matrix
+   products, a small task for each pair of blocks. Only each class's number of links and its root within the two blocks leave
+   the task, never the pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from photofold.llm.common import pick_rows, pieces, row_tag
 from photofold.llm.spans import named_bytes
 from photofold.llm.components import components
-from photofold.llm.words import Words, mix
+from photofold.llm.words import Words, lean, mix
+from photofold.plans.ordering import with_running_total
 from photofold.session import cut_lineage
 
 WORDS = 5
@@ -30,6 +32,8 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 7
 BLOCK = 128
+#: A class of more shingles counts as several in a block.
+SHINGLES = 1024
 COLUMNS = 1 << 13
 
 
@@ -95,7 +99,7 @@ def _sets(docs: DataFrame, words: int, bands: int, rows: int, tag: Column | None
                 ["doc_id", "tag", "h1", "h2", "n", "bands"],
             )
 
-    return named_bytes(docs, tag).mapInArrow(run, "doc_id long, tag long, h1 long, h2 long, n long, bands binary")
+    return named_bytes(docs, tag).mapInArrow(lean(run), "doc_id long, tag long, h1 long, h2 long, n long, bands binary")
 
 
 def similar_in_blocks(
@@ -174,6 +178,35 @@ def _compare(threshold: float):
     return run
 
 
+def deal(groups: DataFrame, classes: DataFrame, members: DataFrame, edges: DataFrame, block: int) -> DataFrame:
+    """``node``, ``part``, its block ``home`` and the blocks it is compared with (``others``, its own among them).
+
+    ``groups`` has the ``part`` of each node, ``members`` the nodes of each (band, key), ``edges`` leads from a node to the least of its
+    (band, key). A group that fits into one block is one. Others are put in order of the least node that shares a band, so that
+    nodes of one band come together, and cut; all (band, key) with nodes in the same blocks ask for the same pairs of blocks.
+    """
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n") / SHINGLES)).cast("long")
+    weighed = groups.join(classes.select("node", weight.alias("weight")), "node")
+    sizes = cut_lineage(weighed.groupBy("part").agg(F.sum("weight").alias("total")))  # stored, so that joins can split a large group
+    few = groups.join(sizes.filter(F.col("total") <= block), "part").select("node", "part", F.lit(0).alias("home"), F.array(F.lit(0)).alias("others"))
+    large = sizes.filter(F.col("total") > block).select("part")
+    if large.isEmpty():
+        return few
+    near = edges.groupBy("u").agg(F.min("v").alias("near")).withColumnRenamed("u", "node")
+    crowded = weighed.join(large, "part").join(near, "node", "left").withColumn("near", F.least("near", "node"))
+    ordered = with_running_total(crowded, ["part", "near", "node"], "upto", F.col("weight"))
+    ordered = cut_lineage(ordered.withColumn("before", F.col("upto") - F.col("weight")).select("node", "part", "before"))
+    starts = cut_lineage(ordered.groupBy("part").agg(F.min("before").alias("start")))
+    homes = cut_lineage(ordered.join(starts, "part").select("node", "part", F.floor((F.col("before") - F.col("start")) / block).cast("int").alias("home")))
+    # A (band, key) is named by the blocks it is in, of which there are few beside its nodes.
+    spread = members.join(homes, "node").groupBy("part", "band", "key").agg(F.sort_array(F.collect_set("home")).alias("homes"))
+    asked = spread.select("part", "homes").distinct().withColumn("first", F.explode("homes"))
+    asked = asked.select("part", "first", F.explode(F.filter("homes", lambda x: x >= F.col("first"))).alias("second")).distinct()
+    both = asked.union(asked.select("part", F.col("second").alias("first"), F.col("first").alias("second")))
+    partners = cut_lineage(both.groupBy("part", F.col("first").alias("home")).agg(F.collect_set("second").alias("others")))
+    return few.union(homes.join(partners, ["part", "home"]).select("node", "part", "home", "others"))
+
+
 def similar_documents(
     docs: DataFrame,
     words: int = WORDS,
@@ -194,14 +227,14 @@ def similar_documents(
     an empty table gives an empty result.
 
     A pair at the threshold is found with probability ``recall``, nearer ones more surely. No candidate is dropped: a
-    group of any size is compared block by block.
+    group of any size is compared block by block, wherever two blocks share a band.
     """
     bands = bands_for(threshold, recall, rows)
     sets = cut_lineage(_sets(docs, words, bands, rows, tag))
     classes = sets.filter("h1 is not null").groupBy("h1", "h2").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n").alias("n")
     )
-    classes = classes.select("h1", "h2", F.col("one.doc_id").alias("least"), F.col("one.tag").alias("least_tag"), "copies", "bands")
+    classes = classes.select("h1", "h2", F.col("one.doc_id").alias("least"), F.col("one.tag").alias("least_tag"), "copies", "bands", "n")
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
 
     # Candidates: classes that share a band, grouped.
@@ -209,9 +242,9 @@ def similar_documents(
     met = keyed.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     met = cut_lineage(met)
     edges = keyed.join(met, ["band", "key"]).filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
-    groups = components(edges).withColumnRenamed("label", "part")
-    sizes = groups.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "part").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    edges = cut_lineage(edges)
+    groups = cut_lineage(components(edges).withColumnRenamed("label", "part"))
+    dealt = deal(groups, classes, keyed.join(met, ["band", "key"]).select("band", "key", "node"), edges, block)
     wanted = dealt.join(classes.select("node", "h1", "h2", "least", "least_tag", "copies"), "node")
 
     # Full sets of one document of each candidate class, named by id and tag: many rows may have no id.
@@ -224,13 +257,13 @@ def similar_documents(
             keys = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h1", "h2")))
             same = [len(x) > 0 and set_key(x) == k for x, k in zip(own, keys)]  # another row with this id may differ
             keep = pa.array(np.flatnonzero(same))
-            names = ["node", "part", "blocks", "home", "copies"]
+            names = ["node", "part", "home", "others", "copies"]
             columns = [batch.column(batch.schema.get_field_index(c)).take(keep) for c in names]
             raw = pa.array([x.tobytes() for x, s in zip(own, same) if s], pa.binary())
             yield pa.RecordBatch.from_arrays([*columns, raw], [*names, "own"])
 
-    loaded = located.mapInArrow(full, "node long, part long, blocks int, home int, copies long, own binary")
-    pairs = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    loaded = located.mapInArrow(lean(full), "node long, part long, home int, others array<int>, copies long, own binary")
+    pairs = loaded.withColumn("other", F.explode("others")).select(
         "part", F.least("home", "other").alias("first"), F.greatest("home", "other").alias("second"), "node", "home", "copies", "own"
     )
     compared = pairs.groupBy("part", "first", "second").applyInArrow(_compare(threshold), "node long, links long, root long")
@@ -242,7 +275,7 @@ def similar_documents(
         "h1", "h2", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", F.col("node")).alias("label")
     )
     counted = cut_lineage(counted)
-    names = counted.groupBy("label").agg(F.min("least").alias("class_id"))
+    names = cut_lineage(counted.groupBy("label").agg(F.min("least").alias("class_id")))  # stored, so that the join can split a large class
     by_set = counted.join(names, "label").select(
         "h1", "h2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("label").alias("class_number")
     )

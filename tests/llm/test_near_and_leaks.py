@@ -66,6 +66,37 @@ def test_near_duplicates_of_edited_copies(spark, block):
     assert all(a[2] <= b[2] for a, b in zip(found, want))
 
 
+def test_a_chain_is_compared_along_its_length(spark):
+    """Only neighbours share a band: the pairs of blocks grow with the chain, not with its square."""
+    r, asked = random.Random(3), {}
+    for n in (400, 1600):
+        ids = r.sample(range(10 * n), n)
+        nodes = spark.createDataFrame([(i, 10) for i in ids], "node long, n long")
+        groups = spark.createDataFrame([(i, min(ids)) for i in ids], "node long, part long")
+        links = [(0, k, x) for k, pair in enumerate(zip(ids, ids[1:])) for x in pair]
+        members = spark.createDataFrame(links, "band int, key long, node long")
+        edges = spark.createDataFrame([(max(p), min(p)) for p in zip(ids, ids[1:])], "u long, v long")
+        dealt = {x.node: x for x in ngram_join.deal(groups, nodes, members, edges, 8).collect()}
+        assert len(dealt) == n
+        for a, b in zip(ids, ids[1:]):
+            assert dealt[b].home in dealt[a].others and dealt[a].home in dealt[b].others
+        homes = {x.home: set(x.others) for x in dealt.values()}
+        assert max(Counter(x.home for x in dealt.values()).values()) <= 8
+        asked[n] = sum(map(len, homes.values()))
+    assert asked[1600] <= 6 * asked[400]
+
+
+def test_long_texts_count_as_several(spark):
+    nodes = spark.createDataFrame([(k, 100_000) for k in range(6)], "node long, n long")
+    groups = spark.createDataFrame([(k, 0) for k in range(6)], "node long, part long")
+    members = spark.createDataFrame([(0, 0, k) for k in range(6)], "band int, key long, node long")
+    edges = spark.createDataFrame([(k, 0) for k in range(1, 6)], "u long, v long")
+    dealt = ngram_join.deal(groups, nodes, members, edges, 128).collect()
+    assert max(Counter(x.home for x in dealt).values()) <= 2
+    homes = {x.home for x in dealt}
+    assert all(set(x.others) == homes for x in dealt)
+
+
 def test_keep_one_of_each_class(spark):
     left = ngram_join.keep_one(frame(spark))
     assert left.columns == frame(spark).columns
@@ -222,3 +253,12 @@ def test_pipeline_stages_take_edge_cases(spark):
             out = stage(spark, df, "/root/testdata/sf0.001")
             assert name == "token_files" or out.columns == df.columns
             assert out.count() <= 2 * len(rows() if some is None else some)
+
+
+def test_columns_named_like_the_ones_of_the_join(spark):
+    names = ["leaking", "leaking_tag", "tag", "item_id", "_docs", "_leaks"]
+    text = "The quick brown fox jumps over the lazy dog near the river bank today"
+    docs = spark.createDataFrame([(1, text, *names), (2, "clean " * 20, *names)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    left = decontamination.without_leaks(docs, items)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
