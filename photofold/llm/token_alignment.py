@@ -5,7 +5,8 @@ each token the token of the other side that covers it; both directions together
 end together, both sides are cut: what lies between two cuts is a group, and every A token of a group is linked to every B token.
 
 Neither tokenizer joins bytes across a single space between two other characters, so a text is cut there first. Such a piece is
-encoded and aligned once for each block of documents, however many of them hold it: the key of the merges is the piece.
+encoded and aligned once for each block of documents, however many of them hold it, and frequent ones once for all blocks of a
+task: the key of the merges is the piece.
 
 How many documents hold a pair of ids linked is counted per block, summed over blocks, and looked up for the pairs of each block.
 """
@@ -13,11 +14,11 @@ How many documents hold a pair of ids linked is counted per block, summed over b
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photofold.llm.common import id_and_text, pieces
+from photofold.llm.words import lean
 from photofold.session import cut_lineage
 
-BLOCK_BYTES = 3 << 20
+#: Of text in one block: more than an Arrow batch has, unless it is a single long row.
+BLOCK_BYTES = 6 << 20
+KNOWN_PIECES = 120_000
+ALIGNED_AT_ONCE = 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ADJACENT = re.compile(r"\s\s")
 _TOGETHER = 128
 #: A group with more links than this is counted by distinct ids, so that it is never written out.
 LONG_GROUP = 1 << 12
@@ -112,7 +118,7 @@ def encode_pieces(tokenizer: ByteLevel | Pieces, given: Texts) -> tuple[np.ndarr
     encoded = tokenizer.encode(joined)
     right = [b"".join([table[i] for i in ids]) == text.encode() for text, ids in zip(joined, encoded)]
     many = np.concatenate([np.empty(0, np.int64), *[g for g, ok in zip(groups, right) if ok]])
-    flat = np.array(list(chain.from_iterable(ids for ids, ok in zip(encoded, right) if ok)), np.int64)
+    flat = np.array(list(itertools.chain.from_iterable(ids for ids, ok in zip(encoded, right) if ok)), np.int64)
     ends, wanted = np.cumsum(sizes[flat]), np.cumsum(given.sizes[many])
     cut = np.searchsorted(ends, wanted)
     if not np.array_equal(ends[cut], wanted):
@@ -237,63 +243,131 @@ def group_strings(aligned: Aligned) -> list[str]:
     return [";".join(made[i:j]) for i, j in zip([0, *ends[:-1]], ends)]
 
 
+def cut_text(text: str) -> list[str]:
+    """The text with a space before it, cut at single spaces between two other characters; these spaces are left out."""
+    if not text:
+        return []
+    if text[0] == " " or text[-1].isspace() or _ADJACENT.search(text):
+        return _CUT.split(" " + text)
+    first, *rest = text.split(" ")
+    return [" " + first, *rest]
+
+
+class Known:
+    """Pieces of texts with their alignment, kept from block to block; beyond ``most`` those that came seldom are let go.
+
+    A piece that begins a text has its space, any other has left it at the cut.
+    """
+
+    #: Values of one piece, and the runs of values whose lengths are ``n_a``, ``n_b`` and ``n_links``.
+    SINGLE = ("n_a", "n_b", "n_groups", "n_links", "good", "uses")
+    RUNS = {"a": "n_a", "b": "n_b", "pair": "n_links", "times": "n_links"}
+
+    def __init__(self, first: ByteLevel | Pieces, second: ByteLevel | Pieces, most: int = KNOWN_PIECES):
+        self.sides, self.most, self.wide = (first, second), most, len(second.bytes)
+        self.number: dict[str, int] = {}
+        self.strings: list[str] = []
+        for name in (*self.SINGLE, *self.RUNS):
+            setattr(self, name, np.empty(0, bool if name == "good" else np.int64))
+
+    def look_up(self, parts: list[str]) -> np.ndarray:
+        """The number of each part, aligning those that are new."""
+        number = self.number
+        new = [p for p in dict.fromkeys(parts) if p not in number]
+        if new:
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            for i in range(0, len(new), ALIGNED_AT_ONCE):
+                self._add([p if p[0] == " " else " " + p for p in new[i : i + ALIGNED_AT_ONCE]])
+        found = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        self.uses = self.uses // 2 + np.bincount(found, minlength=len(number))
+        return found
+
+    def _add(self, texts: list[str]) -> None:
+        aligned = align_texts(*self.sides, texts)
+        text, pair, times = links(aligned, self.wide)
+        many = self.wide * len(self.sides[0].bytes)
+        key, times = _summed(text * many + pair, times)
+        text, pair = np.divmod(key, many)
+        added = {
+            "n_a": aligned.n_a, "n_b": aligned.n_b, "n_groups": aligned.n_groups, "n_links": np.bincount(text, minlength=len(texts)),
+            "good": aligned.good, "uses": np.zeros(len(texts), np.int64), "a": aligned.a, "b": aligned.b, "pair": pair, "times": times,
+        }
+        for name, values in added.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        self.strings += group_strings(aligned)
+
+    def first(self, run: str) -> np.ndarray:
+        """Where the values of each piece begin in a run."""
+        count = getattr(self, self.RUNS[run])
+        return np.cumsum(count) - count
+
+    def let_go(self) -> None:
+        """Numbers change where pieces go."""
+        if len(self.number) <= self.most:
+            return
+        kept = np.sort(np.argpartition(-self.uses, self.most // 2)[: self.most // 2])
+        for run, size in self.RUNS.items():
+            setattr(self, run, getattr(self, run)[_ranges(self.first(run)[kept], getattr(self, size)[kept])])
+        for name in self.SINGLE:
+            setattr(self, name, getattr(self, name)[kept])
+        self.strings = [self.strings[k] for k in kept.tolist()]
+        names = list(self.number)
+        self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
+
+
 class _Block:
-    """Documents cut into pieces, and the distinct pieces aligned."""
-
-    def __init__(self, first: ByteLevel | Pieces, second: ByteLevel | Pieces, texts: Sequence[str]):
-        known: dict[str, int] = {}
-        number: list[int] = []
-        count = []
-        for text in texts:
-            parts = _CUT.split(" " + text) if text else []
-            number += [known.setdefault(p, len(known)) for p in parts]
-            count.append(len(parts))
-        # All but the first piece of a text lost the space at the cut.
-        self.piece, self.count = np.array(number, np.int64), np.array(count, np.int64)
+    """Documents cut into pieces; ``piece`` has their numbers among the known ones."""
+
+    def __init__(self, known: Known, texts: Sequence[str]):
+        cut = [cut_text(text) for text in texts]
+        self.known = known
+        self.piece = known.look_up(list(itertools.chain.from_iterable(cut)))
+        self.count = np.array([len(parts) for parts in cut], np.int64)
         self.first = np.cumsum(self.count) - self.count
-        is_first = np.zeros(len(number), bool)
-        is_first[self.first[self.count > 0]] = True
-        keyed = self.piece * 2 + is_first
-        used, self.piece = np.unique(keyed, return_inverse=True)
-        names = list(known)
-        self.aligned = align_texts(first, second, [names[k >> 1] if k & 1 else " " + names[k >> 1] for k in used.tolist()])
         self.doc = np.repeat(np.arange(len(texts)), self.count)
         bad = np.zeros(len(texts), bool)
-        bad[self.doc[~self.aligned.good[self.piece]]] = True
+        bad[self.doc[~known.good[self.piece]]] = True
         self.kept = ~bad & (self.count > 0)
 
-    def sums(self, of_piece: np.ndarray) -> np.ndarray:
-        totals = np.concatenate([[0], np.cumsum(of_piece[self.piece])])
+    def sums(self, name: str) -> np.ndarray:
+        totals = np.concatenate([[0], np.cumsum(getattr(self.known, name)[self.piece])])
         return np.where(self.kept, totals[self.first + self.count] - totals[self.first], 0)
 
-    def strings(self) -> list[str]:
-        made = group_strings(self.aligned)
+    def ids(self, side: str) -> pa.ListArray:
+        """The ids of each document on one side."""
+        begin = self.known.first(side)[self.piece]
+        n = np.where(self.kept[self.doc], getattr(self.known, Known.RUNS[side])[self.piece], 0)
+        edges = np.concatenate([[0], np.cumsum(self.sums(Known.RUNS[side]))])
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(getattr(self.known, side)[_ranges(begin, n)], pa.int64()))
+
+    def strings(self) -> Iterator[str]:
+        """The groups of each document."""
+        made = self.known.strings
         at = self.piece.tolist()
-        ends = (self.first + self.count).tolist()
-        return [";".join([made[p] for p in at[x:y]]) if ok else "" for x, y, ok in zip(self.first.tolist(), ends, self.kept.tolist())]
+        for x, n, ok in zip(self.first.tolist(), self.count.tolist(), self.kept.tolist()):
+            yield ";".join([made[p] for p in at[x : x + n]]) if ok else ""
 
-    def linked(self, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def linked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct pairs of the block, and (document, place among the pairs, occurrences) by document."""
-        text, pair, times = links(self.aligned, wide)
-        pairs, pair = np.unique(pair, return_inverse=True)
-        key, times = _summed(text * max(len(pairs), 1) + pair, times)
-        text, pair = np.divmod(key, max(len(pairs), 1))
-        n = len(self.aligned.good)
-        size = np.bincount(text, minlength=n)
-        first = np.cumsum(size) - size
-        used, often = _summed(self.doc * n + self.piece, np.ones(len(self.doc), np.int64))
-        doc, piece = np.divmod(used, max(n, 1))
-        keep = self.kept[doc]
-        doc, piece, often = doc[keep], piece[keep], often[keep]
+        known = self.known
+        inside = self.kept[self.doc]
+        used, often = _summed(self.doc[inside] * len(known.good) + self.piece[inside], np.ones(int(inside.sum()), np.int64))
+        doc, piece = np.divmod(used, max(len(known.good), 1))
+        first, size = known.first("pair"), known.n_links
+        distinct = np.unique(piece)
+        entries = _ranges(first[distinct], size[distinct])
+        pairs, inverse = np.unique(known.pair[entries], return_inverse=True)
+        place = np.zeros(len(known.pair), np.int64)
+        place[entries] = inverse
         each = size[piece]
         entry = _ranges(first[piece], each)
-        key, total = _summed(np.repeat(doc, each) * max(len(pairs), 1) + pair[entry], np.repeat(often, each) * times[entry])
+        key, total = _summed(np.repeat(doc, each) * max(len(pairs), 1) + place[entry], np.repeat(often, each) * known.times[entry])
         doc, pair = np.divmod(key, max(len(pairs), 1))
         return pairs, doc, pair, total
 
 
-def _opened(first: str, second: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(first), Pieces(second)
+def _opened(first: str, second: str) -> Known:
+    return Known(ByteLevel(first), Pieces(second))
 
 
 def align(docs: DataFrame, first: str, second: str) -> DataFrame:
@@ -305,19 +379,14 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = None
+        known = _opened(first, second)
         for batch in pieces(batches, BLOCK_BYTES):
-            tokenizers = tokenizers or _opened(first, second)
-            block = _Block(*tokenizers, batch.column(1).to_pylist())
-            sides = []
-            for ids, count in ((block.aligned.a, block.aligned.n_a), (block.aligned.b, block.aligned.n_b)):
-                begin, n = (np.cumsum(count) - count)[block.piece], np.where(block.kept[block.doc], count[block.piece], 0)
-                edges = np.concatenate([[0], np.cumsum(block.sums(count))])
-                sides.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids[_ranges(begin, n)], pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sides, pa.array(block.strings())], ["doc_id", "a", "b", "groups"])
+            block = _Block(known, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), block.ids("a"), block.ids("b"), pa.array(block.strings())], ["doc_id", "a", "b", "groups"])
+            known.let_go()
 
     rows = id_and_text(docs)
-    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(run, "doc_id long, a array<long>, b array<long>, groups string")
+    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(lean(run), "doc_id long, a array<long>, b array<long>, groups string")
 
 
 BLOCKS = (
@@ -339,28 +408,25 @@ def _blocks(docs: DataFrame, first: str, second: str) -> DataFrame:
     schema = _schema(BLOCKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, part = None, TaskContext.get().partitionId()
+        known, part = _opened(first, second), TaskContext.get().partitionId()
         for number, batch in enumerate(pieces(batches, BLOCK_BYTES)):
-            tokenizers = tokenizers or _opened(first, second)
-            block = _Block(*tokenizers, batch.column(1).to_pylist())
-            wide = len(tokenizers[1].bytes)
-            pairs, doc, pair, times = block.linked(wide)
-            n = batch.num_rows
-            sums = [block.sums(x) for x in (block.aligned.n_a, block.aligned.n_b, block.aligned.n_groups)]
+            block = _Block(known, batch.column(1).to_pylist())
+            pairs, doc, pair, times = block.linked()
+            n, wide = batch.num_rows, known.wide
+            sums = [block.sums(name) for name in ("n_a", "n_b", "n_groups")]
             n_links = np.zeros(n, np.int64)
             np.add.at(n_links, doc, times)
             held = np.bincount(pair, minlength=len(pairs))
-            used = np.flatnonzero(held)  # pieces of texts without tokens have pairs that no document holds
-            place = np.cumsum(held > 0) - 1
             digest = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in block.strings()]
             values = [
-                part, number, batch.column(0).to_pylist(), *sums, n_links, digest, pairs[used] // wide, pairs[used] % wide, held[used],
-                np.bincount(doc, minlength=n), place[pair].astype("<u4").tobytes(), times.astype("<u8").tobytes(),
+                part, number, batch.column(0).to_pylist(), *sums, n_links, digest, pairs // wide, pairs % wide, held,
+                np.bincount(doc, minlength=n), pair.astype("<u4").tobytes(), times.astype("<u8").tobytes(),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+            known.let_go()
 
     rows = id_and_text(docs)
-    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(run, BLOCKS)
+    return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(lean(run), BLOCKS)
 
 
 def align_counted(docs: DataFrame, first: str, second: str) -> DataFrame:
@@ -368,7 +434,7 @@ def align_counted(docs: DataFrame, first: str, second: str) -> DataFrame:
     ``count_sum`` (over links, in how many documents of the whole table their pair of ids is linked), ``n_best`` (links whose count is the
     highest of their A id, ties included) and ``groups_sha256`` (of ``groups`` of ``align``; empty without tokens).
 
-    Odd input is taken as by ``align``; every row counts as a document. A block of documents, some 3 MB of text or one row, is one row of a
+    Odd input is taken as by ``align``; every row counts as a document. A block of documents, some 4 MB of text or one row, is one row of a
     table in the shared folder; only its distinct pairs are shuffled, once for their sums and once to fetch them.
     """
     blocks = cut_lineage(_blocks(docs, first, second))
@@ -402,4 +468,4 @@ def align_counted(docs: DataFrame, first: str, second: str) -> DataFrame:
                     [*columns, pa.array(best), pa.array(total), lists["groups_sha256"]], [f.split()[0] for f in RESULT.split(", ")]
                 )
 
-    return joined.mapInArrow(run, RESULT)
+    return joined.mapInArrow(lean(run), RESULT)

@@ -165,6 +165,7 @@ NUMBERS = [f.split()[0] for f in token_alignment.RESULT.split(", ")]
 @pytest.mark.parametrize("block", [100, 3 << 20])
 def test_alignment_of_odd_texts(spark, tokenizers, monkeypatch, block):
     monkeypatch.setattr(token_alignment, "BLOCK_BYTES", block)
+    monkeypatch.setattr(token_alignment.Known.__init__, "__defaults__", (block >> 3,))
     r = random.Random(5)
     alphabet = [" ", "  ", "a", "b", "é", "\n", "\t", "'s", "1", "12", "😀", "the", "　", "\u00a0", "▁", "=", "ß"]
     made = ODD + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 30))) for _ in range(60)]
