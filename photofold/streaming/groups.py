@@ -14,7 +14,7 @@ from photofold.operators.similarity import as_members, assign_roots, to_group
 from photofold.plans.hot_keys import broadcast_if_fits, salted_join, top_n_per_key
 from photofold.plans.ordering import BLOCK_ROWS
 from photofold.schemas import library_keys
-from photofold.session import cut_lineage
+from photofold.session import child_folders, cut_lineage
 
 
 @dataclass
@@ -22,7 +22,7 @@ class GroupStream:
     """Group assignment batch by batch, equal to one run over everything that was on time.
 
     Between batches only the last ``max_compare_count - 1`` assets of each library and
-    their groups are kept, and read again when the library has new assets. Assets at or before the newest one seen are late: they go to
+    their groups are kept; a batch reads those that the batch before it left. Assets at or before the newest one seen are late: they go to
     their own table and wait for a full run. Every batch writes its own folders, so a
     repeated batch replaces its output.
     """
@@ -40,10 +40,11 @@ class GroupStream:
         rows = to_group(stored)
         columns = [*keys, "asset_id", "taken_at", "_bits", "_root"]
         new = rows.withColumn("_root", F.lit(None).cast("string"))
-        tail = self._tail(batch, rows, batch_id)
-        if tail is None:
+        before = self._tails(batch, batch_id)
+        if before is None:
             rows.drop("_bits").limit(0).write.mode("overwrite").parquet(self._path("late", batch_id))
         else:
+            tail = self._present(before, rows, keys)
             new, late = self._split_late(new, tail, keys)
             late.drop("_root", "_bits").write.mode("overwrite").parquet(self._path("late", batch_id))
             new = new.select(*columns).unionByName(tail.select(*columns))
@@ -58,24 +59,21 @@ class GroupStream:
         last = top_n_per_key(new, keys, newest, n).drop("_rank", "_root")
         ids = [*keys, "asset_id"]
         known = roots.select(*ids, F.col("root_id").alias("_root"))
-        kept = known.join(broadcast_if_fits(last), ids).withColumn("_batch", F.lit(batch_id).cast("bigint"))
+        kept = known.join(broadcast_if_fits(last), ids)
+        if before is not None and keys:  # libraries that this batch doesn't have go on as they are
+            kept = kept.select(*columns).unionByName(self._present(before, rows, keys, "left_anti").select(*columns))
         kept.write.mode("overwrite").parquet(self._path("tail", batch_id))
 
-    def _tail(self, batch: DataFrame, rows: DataFrame, batch_id: int) -> DataFrame | None:
-        """The last assets of the libraries in the batch, from the last batch that each was in."""
-        if not batch_id:
-            return None
-        keys = library_keys(batch)
-        tails = batch.sparkSession.read.parquet(f"{self.folder}/tail/*").filter(F.col("_batch") < batch_id)
-        if keys:
-            present = rows.select(*keys).distinct()
-            tails = tails.join(broadcast_if_fits(present), keys, "left_semi")
-        if not keys:
-            last = tails.agg(F.max("_batch")).first()[0]
-            return cut_lineage(tails.filter(F.col("_batch") == last).drop("_batch"))
-        newest = tails.groupBy(*keys).agg(F.max("_batch").alias("_newest"))
-        marked = tails.join(broadcast_if_fits(newest), keys)
-        return cut_lineage(marked.filter("_batch = _newest").drop("_newest", "_batch"))
+    def _tails(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """The last assets of all libraries after the batch before."""
+        known = [int(n) for n in child_folders(batch.sparkSession, f"{self.folder}/tail", "_SUCCESS")]
+        newest = max((n for n in known if n < batch_id), default=None)
+        return None if newest is None else batch.sparkSession.read.parquet(self._path("tail", newest))
+
+    @staticmethod
+    def _present(tails: DataFrame, rows: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+        """Those of the libraries in the batch, or not in it."""
+        return tails.join(broadcast_if_fits(rows.select(*keys).distinct()), keys, how) if keys else tails
 
     @staticmethod
     def _split_late(new: DataFrame, tail: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
