@@ -1,11 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a sorted Parquet table of ``(key, n_docs, last_doc)``: a line's digest, the number of
-documents that hold the line and the largest id among them. Each batch of documents adds one run
-to level 0. When a level holds ``fanout`` runs they are merged into one run of the next level, so
+documents that hold the line and the largest id among them. Each batch of documents is anti-joined with the runs,
+by sort-merge joins on the digest, and adds what they don't hold as a run of level 0; what they do hold is counted in a run
+beside them. When a level holds ``fanout`` runs they are merged into one run of the next level, so
 that after n batches a look-up meets O(log n) runs and each entry has been rewritten O(log n)
-times. New batches are compared with the runs by sort-merge joins on the digest; nothing is
-collected, and a line that stands in every document is one row per task before the shuffle.
+times. Nothing is collected, and a line that stands in every document is one row per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from photofold.llm.common import SPACES
 from photofold.plans.hot_keys import broadcast_if_fits
-from photofold.session import run_folder
+from photofold.session import cut_lineage, run_folder, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RUN_SCHEMA = "key binary, n_docs long, last_doc long"
@@ -55,6 +55,7 @@ class LineRuns:
         self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
         self.folder = folder or run_folder(spark, "line-runs")
         self.levels: dict[int, list[str]] = defaultdict(list)
+        self.counts: dict[int, list[str]] = defaultdict(list)
         self._written = 0
 
     def entries(self, docs: DataFrame) -> DataFrame:
@@ -65,54 +66,75 @@ class LineRuns:
         )
 
     def add(self, docs: DataFrame) -> None:
-        """Add a batch as a run of level 0 and compact the levels that are full."""
-        new = self.entries(docs).groupBy("key").agg(
-            F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")
+        """Anti-join a batch with the runs, add what is new as a run of level 0, and compact the levels that are full.
+
+        Keys that a run holds already are counted in a run of their own, which is compacted likewise.
+        """
+        new, remove = stored(
+            self.entries(docs).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         )
-        self._write(0, new)
+        if not self.paths():
+            self._add("keys", new)
+        else:
+            fresh, remove_fresh = stored(self._not_held(new))
+            self._add("counts", new.join(fresh.select("key"), "key", "left_anti"))
+            self._add("keys", fresh)
+            remove_fresh()
+        remove()
+
+    def _add(self, kind: str, rows: DataFrame) -> None:
+        levels = self.levels if kind == "keys" else self.counts
+        self._write(kind, levels, 0, rows)
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            sources = self.levels[level]
-            self._write(level + 1, self._merge(sources))
-            self.levels[level] = [p for p in self.levels[level] if p not in sources]
+        while len(levels[level]) >= self.fanout:
+            sources = levels[level]
+            merged = reduce(DataFrame.unionByName, [self._read(p) for p in sources])
+            # No key is in two runs of keys; counts of one key are added up.
+            self._write(kind, levels, level + 1, merged if kind == "keys" else self._summed(merged))
+            levels[level] = [p for p in levels[level] if p not in sources]
             level += 1
 
-    def unseen(self, docs: DataFrame) -> DataFrame:
-        """The batch's (key, doc_id) rows that no run holds: a merge anti-join with each run."""
-        rows = self.entries(docs)
+    def _not_held(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key no run holds: a merge anti-join with each run."""
         for path in self.paths():
-            rows = rows.join(self._read(path).select("key"), "key", "left_anti")
+            rows = rows.join(self._read(path).select("key").hint("merge"), "key", "left_anti")
         return rows
 
+    def unseen(self, docs: DataFrame) -> DataFrame:
+        """The batch's (key, doc_id) rows whose key no run holds."""
+        return self._not_held(self.entries(docs))
+
     def merged(self) -> DataFrame:
         """All runs as one: no key twice."""
-        paths = self.paths()
-        if not paths:
+        keys, counts = self.paths(), self.paths(self.counts)
+        if not keys:
             return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self._read(paths[0]) if len(paths) == 1 else self._merge(paths)
+        rows = reduce(DataFrame.unionByName, [self._read(p) for p in keys + counts])
+        return self._summed(rows) if counts else rows
 
-    def paths(self) -> list[str]:
-        return [p for level in sorted(self.levels) for p in self.levels[level]]
+    def paths(self, levels: dict[int, list[str]] | None = None) -> list[str]:
+        levels = self.levels if levels is None else levels
+        return [p for level in sorted(levels) for p in levels[level]]
 
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.schema(RUN_SCHEMA).parquet(path)
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, [self._read(p) for p in paths])
+    @staticmethod
+    def _summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
-    def _write(self, level: int, rows: DataFrame) -> None:
-        path = f"{self.folder}/level-{level}/run-{self._written}"
+    def _write(self, kind: str, levels: dict[int, list[str]], level: int, rows: DataFrame) -> None:
+        path = f"{self.folder}/{kind}-{level}/run-{self._written}"
         self._written += 1
         rows.sortWithinPartitions("key").write.parquet(path)
-        self.levels[level].append(path)
+        levels[level].append(path)
 
 
 def batches_of_files(docs: DataFrame, most: int = 4) -> list[DataFrame]:
-    """The table in at most ``most`` batches of whole files; one batch where it isn't read from files."""
+    """The table in at most ``most`` batches: of whole files, or by a hash of the id where it has a single one."""
     files = sorted(docs.inputFiles())
     if len(files) < 2:
-        return [docs]
+        return [docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(most)) == k) for k in range(most)]
     size = -(-len(files) // most)
     read = docs.sparkSession.read.schema(docs.schema)
     return [read.parquet(*files[i : i + size]) for i in range(0, len(files), size)]
@@ -141,7 +163,8 @@ def dedup_lines(
     runs = LineRuns(docs.sparkSession, min_chars=min_chars, fanout=fanout)
     for batch in [docs] if batches is None else batches:
         runs.add(batch)
-    frequent = runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "last_doc")
+    # Stored, so that Spark can split the join where every document holds a line.
+    frequent = cut_lineage(runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "last_doc"))
 
     # What goes from a row depends on its id and text alone, so these name the row.
     name = {

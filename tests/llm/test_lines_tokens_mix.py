@@ -150,7 +150,8 @@ def test_line_dedup_query_against_sql(spark):
 
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, folder)
         cursor = con.execute(sql)
