@@ -35,6 +35,11 @@ HEADLINE = [
     "scan",
     "stream_review",
     "stream_upsert",
+    "stream_status",
+    "stream_regroup",
+    "stream_keyed_groups",
+    "keyset_page_clustered",
+    "pending_images",
 ]
 
 

@@ -70,14 +70,15 @@ def join_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 
 def top_n_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 32
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows of every key, in two rounds so that a hot key is never one task.
 
-    Adds ``_rank`` (1…n).
+    The first round is by key and input partition (or ``salts`` of a hash of the row), so it falls into pieces as the data grows, and for
+    a large ``n`` too. Adds ``_rank`` (1…n).
     """
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    salted = df.withColumn("_salt", F.pmod(row_hash, F.lit(salts)))
+    salted = df.withColumn("_salt", F.spark_partition_id() if salts is None else F.pmod(row_hash, F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     return (
