@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photofold.llm.common import pieces, small_batches, text_tag
@@ -48,6 +48,15 @@ UNITS = (
 ).split()
 
 
+def window_size(tokens: int) -> int:
+    """The least size of grown windows for so many tokens: all up to 16, then two for each doubling, so that documents are searched for
+    few sizes, whatever the benchmark has."""
+    if tokens <= 16:
+        return tokens
+    power = 1 << (tokens - 1).bit_length()
+    return power * 3 // 4 if tokens <= power * 3 // 4 else power
+
+
 def _same_length_lower(text: str) -> str:
     low = text.lower()
     if len(low.encode()) == len(text.encode()):
@@ -137,12 +146,25 @@ class Templates:
         """First token, size and exactness of the windows of a single text, which is an item.
 
         A window with fewer than ``LEAST_LITERALS`` literal tokens stands by its exact tokens, and grows to the
-        right until it has so many; where the text ends before, it grows to the left. A text that has fewer
-        in all is one window by template if it has ``WHOLE_LITERALS`` of them.
+        right until it has so many, and on to the next ``window_size``; where the text ends before, it grows to the left. A text that has
+        fewer in all is one window by template if it has ``WHOLE_LITERALS`` of them.
         """
         n, found = len(self.key), {}
         size = min(window, n)
         literals = self.literals
+
+        def grown(first: int, end: int) -> None:
+            """A window of a usual size around these tokens; where the text is shorter, the largest that fit at both of its ends."""
+            wide = window_size(end - first)
+            if wide <= n:
+                found[min(first, n - wide), wide, False] = None
+                return
+            while (wide := wide - 1) > n or window_size(wide) != wide:
+                pass
+            for at in (0, n - wide):
+                if literals[at + wide] - literals[at] >= WHOLE_LITERALS:
+                    found[at, wide, False] = None
+
         for a in range(n - size + 1):
             if literals[a + size] - literals[a] >= LEAST_LITERALS:
                 found[a, size, False] = None
@@ -150,12 +172,11 @@ class Templates:
             found[a, size, True] = None
             end = int(np.searchsorted(literals, literals[a] + LEAST_LITERALS))
             if end <= n:
-                found[a, end - a, False] = None
+                grown(a, end)
             elif literals[n] >= LEAST_LITERALS:
-                first = int(np.searchsorted(literals, literals[n] - LEAST_LITERALS, "right")) - 1
-                found[first, n - first, False] = None
+                grown(int(np.searchsorted(literals, literals[n] - LEAST_LITERALS, "right")) - 1, n)
             elif literals[n] >= WHOLE_LITERALS:
-                found[0, n, False] = None
+                grown(0, n)
         return list(found)
 
     def slots(self, first: int, size: int, exact: bool = False) -> list[str]:
@@ -343,7 +364,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     Documents without a leak have no row. Windows have ``window`` tokens, with ``LEAST_LITERALS`` that are no slots;
     an item of fewer tokens is one window. Windows with fewer literals grow until they have so many, and count as they
     stand where the document has the same tokens. An item with too few in all is one window as a whole, with
-    ``WHOLE_LITERALS``, or found by its exact tokens. One of under ``LEAST_WINDOW`` tokens can't be told and is passed over.
+    ``WHOLE_LITERALS``, or found by its exact tokens. One of under ``LEAST_WINDOW`` tokens is passed over here: ``find_short_items`` lists
+    where it stands as a whole sentence, which many clean texts may hold by chance.
 
     A null text is empty. Rows that share an id (null is one, too) are documents of their own if their texts differ;
     items that share one count as one.
@@ -353,6 +375,36 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     return _named_leaks(docs, items, window).drop("tag")
 
 
+#: What ends a sentence or line, and what stands between its tokens; a point or comma between digits belongs to a number.
+_SENTENCE_END = r"[\n!?;]+|[.:](?![0-9])"
+_BETWEEN = r"(?:[^\p{L}\p{N}.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
+
+
+def _sentences(text: Column) -> Column:
+    """The sentences and lines of a text, each as its tokens in lower case with one space between."""
+    return F.transform(F.split(F.lower(text), _SENTENCE_END), lambda s: F.btrim(F.regexp_replace(s, _BETWEEN, " ")))
+
+
+def find_short_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id``, ``item_id`` and ``n_times``: items of one sentence with under ``LEAST_WINDOW`` tokens, and how often one of a
+    document's sentences or lines has exactly their tokens ("3 + 4 = 7" has three).
+
+    Kept apart from ``find_leaks``: so short a sentence is no proof. Null texts are empty, items without a token or with more sentences are
+    left out, rows that share an id are added up, and an empty table gives an empty result. Built-in functions only; a document's long sentences
+    go before the shuffle.
+    """
+    def short(sentence: Column) -> Column:
+        return (sentence != "") & (F.size(F.split(sentence, " ")) < LEAST_WINDOW)
+
+    whole = F.filter(_sentences(F.coalesce("text", F.lit(""))), lambda s: s != "")
+    asked = items.select(F.col("item_id").cast("long").alias("item_id"), whole.alias("own")).filter(F.size("own") == 1)
+    asked = cut_lineage(asked.select("item_id", F.get("own", F.lit(0)).alias("sentence")).filter(short(F.col("sentence"))).distinct())
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_sentences(F.coalesce("text", F.lit("")))).alias("sentence"))
+    told = each.filter(short(F.col("sentence"))).groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n_times"))
+    found = told.join(broadcast_if_fits(asked), "sentence")
+    return found.groupBy("doc_id", "item_id").agg(F.sum("n_times").alias("n_times"))
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no leak, by id and text; all columns are kept."""
     leaks = cut_lineage(_named_leaks(docs, items, **options).select("doc_id", "tag").distinct())

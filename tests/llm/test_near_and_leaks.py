@@ -262,3 +262,26 @@ def test_columns_named_like_the_ones_of_the_join(spark):
     items = spark.createDataFrame([(7, text)], "item_id long, text string")
     left = decontamination.without_leaks(docs, items)
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
+def test_short_items_as_whole_sentences(spark):
+    items = spark.createDataFrame([(1, "3 + 4 = 7"), (2, "Yes."), (3, "12 * 5.5 + 3"), (4, None), (5, "Two. Three"), (6, "one two three four five"), (7, "3+4=7")], "item_id long, text string")
+    docs = [
+        (1, "Let us see. 3 + 4 = 7. It is 13 + 4 = 7 or so\n3 + 4 = 7"), (2, "yes! YES"), (3, "That is yes and no"), (4, "12 * 5.5 + 3\n12 * 5.5 + 30"),
+        (5, None), (5, "Yes"), (5, "Yes"), (6, "Two. Three"), (7, "one two three four five"),
+    ]
+    found = decontamination.find_short_items(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert as_set(found, "doc_id", "item_id", "n_times") == [(1, 1, 2), (1, 7, 2), (2, 2, 2), (4, 3, 1), (5, 2, 2)]
+    assert decontamination.find_short_items(spark.createDataFrame(docs, "doc_id long, text string"), items.limit(0)).count() == 0
+
+
+def test_slot_dense_items_ask_for_few_window_sizes():
+    r, kinds = random.Random(6), set()
+    for _ in range(300):
+        words = [str(r.randrange(100)) if r.random() < 0.8 else r.choice(["apples", "cost", "for", "with"]) for _ in range(r.randint(5, 120))]
+        t = decontamination.Templates([" ".join(words)])
+        places = t.item_places(8)
+        assert places and all(0 <= a and a + size <= len(words) for a, size, _ in places)
+        kinds |= {(size, exact) for _, size, exact in places}
+    assert len(kinds) <= 24
+    assert [decontamination.window_size(n) for n in (5, 16, 17, 24, 25, 32, 33, 49)] == [5, 16, 24, 24, 32, 32, 48, 64]
