@@ -36,8 +36,6 @@ HEADLINE = [
     "stream_review",
     "stream_upsert",
     "stream_status",
-    "stream_regroup",
-    "stream_keyed_groups",
     "keyset_page_clustered",
     "pending_images",
 ]
