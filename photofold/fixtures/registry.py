@@ -1092,13 +1092,14 @@ def categorize_limited(spark, sf):
 @query
 def stream_ingest(spark, sf):
     folder = run_folder(spark, "stream")
-    docs = ingest.read_new_files(spark, sf, DOCUMENTS, glob="documents.parquet")
+    # A pattern, since the table may be one file, which a stream doesn't take as its folder, or a folder of many.
+    docs = ingest.read_new_files(spark, f"{sf}/documents.parque[t]", DOCUMENTS)
     images = docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("asset_id"),
         F.encode("text", "UTF-8").alias("content"),
     )
     ingest.run_available(ingest.stream_ingest(images, folder))
-    return spark.read.parquet(f"{folder}/results").select(
+    return spark.read.schema(ingest.scan_results(images).schema).parquet(f"{folder}/results").select(
         "asset_id", r6("blur_score"), "mean_luma", "phash", "status"
     )
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from photofold.fixtures import registry
 from photofold.operators import review, similarity
 from photofold.sources import media
 from photofold.streaming import catalog as stream_catalog
@@ -175,3 +176,16 @@ def test_reports_are_written_per_library(spark, tmp_path):
     media.write_report(report, f"{tmp_path}/report")
     assert (tmp_path / "report" / "library_id=L").is_dir()
     assert spark.read.parquet(f"{tmp_path}/report").count() == 2
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_ingest_query_takes_a_table_of_one_file_or_many(spark, tmp_path, files):
+    table = tmp_path / "documents.parquet"
+    docs = spark.range(30 if files else 0).selectExpr("id AS doc_id", "repeat('text ', 50) AS text", "'en' AS lang", "'s' AS source", "250L AS n_chars")
+    docs.repartition(files or 1).write.parquet(str(table if files != 1 else tmp_path / "one"))
+    if files == 1:
+        next((tmp_path / "one").glob("part-*.parquet")).rename(table)
+    assert table.is_file() == (files == 1)
+    got = registry.stream_ingest(spark, str(tmp_path)).collect()
+    assert sorted(r.asset_id for r in got) == sorted(f"d{k}" for k in range(30 if files else 0))
+    assert all(r.status == 1 and r.phash for r in got)
