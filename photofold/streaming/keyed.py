@@ -5,6 +5,7 @@ State is read where it lies, by the ``statestore`` source over the checkpoint; n
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -32,6 +33,9 @@ from photofold.schemas import LIBRARY, library_keys
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CLOCK = "_clock"
+SHARD = "_shard"
+#: Parts that the keys of a stream are dealt into where a part's state is one value; a stream keeps the number it began with.
+SHARDS = 256
 
 
 def keyed_state(spark: SparkSession) -> None:
@@ -39,6 +43,10 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER, ROCKS)
 
 
+def shard_of(keys: Sequence[str], shards: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")
+
+
 def with_clock(rows: DataFrame, time: Column, delay: str) -> DataFrame:
     """A watermark that lets all rows pass, however late.
 
@@ -64,37 +72,58 @@ def once(writer: DataFrame, path: str, by: str | None = None) -> None:
 # Late rows
 
 
+def _hashable(value):
+    """A key's value as Python compares it, equal where Spark groups equal."""
+    if isinstance(value, (list, tuple)):
+        return tuple(map(_hashable, value))
+    if isinstance(value, bytearray):
+        return bytes(value)
+    return "NaN" if value != value else value
+
+
 class _Arrivals(StatefulProcessor):
-    """The first row of a key within the watermark; the state goes when no row can be a repeat any more."""
+    """The first row of a key within the watermark. The keys of a shard that rows can still repeat are one value, read and written once a
+    batch; it goes by a timer when there are none."""
 
-    def __init__(self, time: str, delay_ms: int):
-        self.time, self.delay_ms = time, delay_ms
+    def __init__(self, keys: Sequence[str], time: str, delay_ms: int):
+        self.keys, self.time, self.delay_ms = list(keys), time, delay_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "until bigint")
+        self.live = handle.getValueState("live", "until_by_key binary")
+
+    def _known(self, watermark: int) -> dict[tuple, int]:
+        kept = pickle.loads(bytes(self.live.get()[0])) if self.live.exists() else {}
+        return {key: until for key, until in kept.items() if until >= watermark}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        seen = self.seen.exists()
+        live, newest = self._known(watermark), None
         for row in rows:
             values = row.asDict()
             values.pop(CLOCK)
+            values.pop(SHARD)
             at = values[self.time]
             if at is None:
                 arrival = "undated"
             elif at < watermark:
                 arrival = "late"
-            elif seen:
+            elif (own := tuple(_hashable(values[k]) for k in self.keys)) in live:
                 arrival = "repeat"
             else:
-                arrival, seen = "on_time", True
-                self.seen.update((at + self.delay_ms,))
-                self.handle.registerTimer(at + self.delay_ms)
+                arrival, live[own] = "on_time", at + self.delay_ms
+                newest = live[own] if newest is None else max(newest, live[own])
             yield Row(**values, arrival=arrival)
+        if newest is not None:
+            self.handle.registerTimer(newest)
+            self.live.update((pickle.dumps(live),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.seen.clear()
+        live = self._known(timerValues.getCurrentWatermarkInMs())
+        if live:
+            self.live.update((pickle.dumps(live),))
+        else:
+            self.live.clear()
         yield from ()
 
     def close(self) -> None:
@@ -106,13 +135,15 @@ class Arrivals:
     """Every row of a stream under how it came: ``on_time`` (each key once within the watermark), ``repeat``, ``late`` (older than the newest
     time of earlier batches by more than the delay) or ``undated``.
 
-    ``time`` names a column of milliseconds. All rows come out again, in the table of one of the four.
+    ``time`` names a column of milliseconds. All rows come out again, in the table of one of the four. Keys are dealt into ``shards``, whose
+    state is one value: a batch costs its rows and the keys within the watermark of the shards it hits, not a call to the state store per key.
     """
 
     folder: str
     keys: Sequence[str]
     time: str
     delay_ms: int = 0
+    shards: int = SHARDS
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         once(batch, f"{self.folder}/rows/batch={batch_id}", "arrival")
@@ -120,8 +151,9 @@ class Arrivals:
     def start(self, rows: DataFrame) -> DataStreamWriter:
         keyed_state(rows.sparkSession)
         schema = StructType(rows.schema.fields).add("arrival", "string")
-        timed = with_clock(rows, F.timestamp_millis(self.time), f"{self.delay_ms} milliseconds")
-        told = timed.groupBy(*self.keys).transformWithState(_Arrivals(self.time, self.delay_ms), schema, "Update", "EventTime")
+        dealt = rows.withColumn(SHARD, shard_of(self.keys, self.shards))
+        timed = with_clock(dealt, F.timestamp_millis(self.time), f"{self.delay_ms} milliseconds")
+        told = timed.groupBy(SHARD).transformWithState(_Arrivals(self.keys, self.time, self.delay_ms), schema, "Update", "EventTime")
         return told.writeStream.outputMode("update").option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.process)
 
     def rows(self, spark: SparkSession) -> DataFrame:

@@ -113,3 +113,19 @@ def test_late_assets_of_a_library_come_out_as_such(spark, tmp_path):
     assert {(r.library_id, r.asset_id): r.group_id[-1] for r in stream.members(spark).collect()} == {
         ("L", "b"): "b", ("L", "c"): "b", ("L", "d"): "b", ("L", "e"): "e", ("M", "a"): "a",
     }
+
+
+def updated_rows(writer):
+    """The most state rows that a batch has written."""
+    stream = writer.trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return max(o.numRowsUpdated for p in stream.recentProgress for o in p.stateOperators)
+
+
+def test_arrivals_write_state_by_shard(spark, tmp_path):
+    schema = "asset_id string, tags array<int>, x double, taken_at bigint"
+    part = [(f"a{k}", [k, 1], float("nan"), 1000) for k in range(900)] + [(None, None, None, 1000)]
+    out = Arrivals(f"{tmp_path}/out", ["asset_id", "tags", "x"], "taken_at", 10_000, shards=8)
+    for rows in arriving(spark, [part, part], schema, f"{tmp_path}/in"):
+        assert updated_rows(out.start(rows)) <= 2 * 8  # a value and a timer
+    assert Counter(r.arrival for r in out.rows(spark).collect()) == {"on_time": 901, "repeat": 901}
