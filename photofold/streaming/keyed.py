@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
@@ -162,29 +163,59 @@ class Arrivals:
 
 # Status counters
 
+#: Below all numbers that a status can be.
+NO_STATUS = -(1 << 40)
+
+
+LATEST = ["timed", "at", "known", "status"]
+
 
 class _LastStatus(StatefulProcessor):
-    """Steps of the counters: one less of an asset's old status, one more of its new."""
+    """Steps of the counters of a shard: less by the assets' old statuses, more by their new. The last statuses of its assets are one value,
+    an Arrow table, read and written once a batch."""
 
     def __init__(self, keys: Sequence[str]):
         self.keys = list(keys)
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "status int, at bigint")
+        self.last = handle.getValueState("last", "statuses binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        order = lambda r: (r[1] is not None, r[1] or 0, r[0] is not None, r[0] or 0)
-        known = tuple(self.last.get()) if self.last.exists() else None
-        new = max(((r["status"], r["updated_at"]) for r in rows), key=order)
-        if known is not None and order(new) <= order(known):
-            return
-        self.last.update(new)
-        if known is not None and known[0] == new[0]:
-            return
-        own = dict(zip(self.keys, key))
-        if known is not None:
-            yield Row(**own, status=known[0], step=-1)
-        yield Row(**own, status=new[0], step=1)
+    def _stored(self) -> pd.DataFrame | None:
+        if not self.last.exists():
+            return None
+        with pa.ipc.open_stream(bytes(self.last.get()[0])) as reader:
+            return reader.read_pandas()
+
+    def _store(self, rows: pd.DataFrame) -> None:
+        table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        self.last.update((out.getvalue().to_pybytes(),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = [*self.keys, "asset_id"]
+        new, old = pd.concat(list(rows), ignore_index=True)[[*names, *LATEST]], self._stored()
+        known = 0 if old is None else len(old)
+        both = new if old is None else pd.concat([old, new], ignore_index=True)
+        asset = np.zeros(len(both), np.int64)
+        for name in names:
+            codes, values = pd.factorize(both[name], use_na_sentinel=False)
+            asset = pd.factorize(asset * len(values) + codes)[0]
+        order = np.lexsort([*(both[c].to_numpy() for c in reversed(LATEST)), asset])
+        last = order[np.append(np.diff(asset[order]) != 0, True)]  # one place for each asset, in order of its number
+        before = np.full(len(last), -1)
+        before[asset[:known]] = np.arange(known)
+        now, had = both.iloc[last], before >= 0
+        # A missing status counts as one of its own.
+        status = np.where(both["known"], both["status"], NO_STATUS)
+        changed = ~had | (status[last] != status[before])
+        steps = pd.concat([pd.DataFrame({**{k: now[k].to_numpy() for k in self.keys}, "status": status[at], "step": step})[which]
+                           for at, step, which in ((last, 1, changed), (before, -1, changed & had))])
+        summed = steps.groupby([*self.keys, "status"], dropna=False, as_index=False)["step"].sum()
+        self._store(now)
+        summed = summed[summed["step"] != 0]
+        none = summed["status"] == NO_STATUS
+        yield summed.assign(status=summed["status"].astype("Int64").mask(none).astype("Int32"), step=summed["step"].astype("int32"))[[*self.keys, "status", "step"]]
 
     def close(self) -> None:
         pass
@@ -194,19 +225,26 @@ class _LastStatus(StatefulProcessor):
 class StatusCounters:
     """Number of assets by their last status (by ``updated_at``; ties by status), kept up step by step.
 
-    Rows have ``asset_id``, ``status``, ``updated_at`` and maybe ``library_id``. One stream turns them into steps (``steps``), a second adds
-    the steps up; its changed counters are in ``totals/<batch>``. ``run`` takes what has arrived through both.
+    Rows have ``asset_id``, ``status``, ``updated_at`` and maybe ``library_id``. One stream turns them into steps (``steps``), summed by shard
+    and status, a second adds the steps up; its changed counters are in ``totals/<batch>``. ``run`` takes what has arrived through both.
+
+    Assets are dealt into ``shards``, whose state is one value: a batch costs its rows and the assets of the shards it hits.
     """
 
     folder: str
     libraries: bool = False
+    shards: int = SHARDS
 
     def steps(self, results: DataFrame) -> DataStreamWriter:
         keyed_state(results.sparkSession)
         keys = [LIBRARY] if self.libraries else []
         schema = "".join(f"{k} string, " for k in keys) + "status int, step int"
-        rows = results.select(*keys, "asset_id", "status", "updated_at")
-        told = rows.groupBy(*keys, "asset_id").transformWithState(_LastStatus(keys), StructType.fromDDL(schema), "Append", "None")
+        status, at = F.col("status"), F.col("updated_at").cast("bigint")
+        rows = results.select(
+            *keys, "asset_id", at.isNotNull().alias("timed"), F.coalesce(at, F.lit(0)).alias("at"), status.isNotNull().alias("known"),
+            F.coalesce(status, F.lit(0)).cast("int").alias("status"), shard_of([*keys, "asset_id"], self.shards).alias(SHARD),
+        )
+        told = rows.groupBy(SHARD).transformWithStateInPandas(_LastStatus(keys), StructType.fromDDL(schema), "Append", "None")
         writer = told.writeStream.outputMode("append").format("parquet").option("path", f"{self.folder}/steps")
         return writer.option("checkpointLocation", f"{self.folder}/steps_checkpoint")
 

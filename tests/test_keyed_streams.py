@@ -129,3 +129,14 @@ def test_arrivals_write_state_by_shard(spark, tmp_path):
     for rows in arriving(spark, [part, part], schema, f"{tmp_path}/in"):
         assert updated_rows(out.start(rows)) <= 2 * 8  # a value and a timer
     assert Counter(r.arrival for r in out.rows(spark).collect()) == {"on_time": 901, "repeat": 901}
+
+
+def test_status_counters_write_state_by_shard(spark, tmp_path):
+    schema = "asset_id string, status int, updated_at bigint"
+    late = (1 << 62) + 1
+    parts = [[(f"a{k}", k % 3, late) for k in range(900)] + [(None, None, None)], [(f"a{k}", 2, late + k % 2) for k in range(900)] + [(None, 1, None)]]
+    counters = StatusCounters(f"{tmp_path}/out", shards=8)
+    for rows in arriving(spark, parts, schema, f"{tmp_path}/in"):
+        assert updated_rows(counters.steps(rows)) <= 8
+    ingest.run_available(counters.totals(spark))
+    assert {x.status: x["count"] for x in counters.counts(spark).collect()} == {2: 900, 1: 1}
