@@ -6,6 +6,7 @@ falls apart into ranges of cursors, which are read side by side, each page by pa
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -45,12 +46,14 @@ class PagedListing(Protocol):
 
 #: Entries without a time come first.
 NO_TIME = -(1 << 63)
+#: Fixed value: entries that a task hands on at once, in whole pages.
+BATCH_ROWS = 10_000
 
 
 def _in_order(rows: pa.Table) -> pa.Table:
-    """Sorted rows, with the time of the order in ``_time``."""
+    """Sorted rows in one piece, with the time of the order in ``_time``."""
     timed = rows.append_column("_time", pc.fill_null(rows["creation_time"], NO_TIME))
-    return timed.sort_by([("_time", "ascending"), ("asset_id", "ascending")])
+    return timed.sort_by([("_time", "ascending"), ("asset_id", "ascending")]).combine_chunks()
 
 
 def _cursor_at(rows: pa.Table, place: int) -> tuple[int, str]:
@@ -60,7 +63,7 @@ def _cursor_at(rows: pa.Table, place: int) -> tuple[int, str]:
 class FolderListing:
     """A listing in a folder of Parquet files, each of which covers some range of times; new ones may be added.
 
-    The folder may be anywhere that pyarrow's file systems reach.
+    The folder may be anywhere that pyarrow's file systems reach. What a file covers is read from its footer.
     """
 
     def __init__(self, path: str):
@@ -87,36 +90,67 @@ class FolderListing:
             self._open = (file, _in_order(pq.read_table(file, filesystem=self._system, partitioning=None)))
         return self._open[1]
 
-    def _edges(self, file: str) -> tuple[tuple[int, str], tuple[int, str]] | None:
-        """First and last cursor of a file, from its sort columns alone."""
+    def _times(self, file: str) -> list[tuple[int, int]]:
+        """First and last time of each row group that has rows, as far as the footer tells; what it leaves open is as wide as can be."""
         import pyarrow.parquet as pq
 
-        rows = pq.read_table(file, columns=list(ORDER), filesystem=self._system, partitioning=None)
+        with pq.ParquetFile(file, filesystem=self._system) as opened:
+            footer = opened.metadata
+        column = footer.schema.to_arrow_schema().get_field_index("creation_time")
+        spans = []
+        for k in range(footer.num_row_groups):
+            group = footer.row_group(k)
+            if not group.num_rows:
+                continue
+            known = group.column(column).statistics
+            if known is None or not known.has_null_count or not (known.has_min_max or known.null_count == group.num_rows):
+                spans.append((NO_TIME, -NO_TIME - 1))
+            elif known.null_count == group.num_rows:
+                spans.append((NO_TIME, NO_TIME))
+            else:
+                spans.append((NO_TIME if known.null_count else known.min, known.max))
+        return spans
+
+    def _last(self, file: str, group: int) -> Cursor:
+        """The last cursor of a row group, from its sort columns alone."""
+        import pyarrow.parquet as pq
+
+        with pq.ParquetFile(file, filesystem=self._system) as opened:
+            rows = opened.read_row_group(group, columns=list(ORDER))
         if not len(rows):
             return None
-        rows = _in_order(rows)
-        return _cursor_at(rows, 0), _cursor_at(rows, len(rows) - 1)
+        rows = rows.append_column("_time", pc.fill_null(rows["creation_time"], NO_TIME))
+        time = pc.max(rows["_time"]).as_py()
+        return time, pc.max(rows.filter(pc.equal(rows["_time"], time))["asset_id"]).as_py()
 
     def newest(self) -> Cursor:
-        edges = [e for f in self._files() if (e := self._edges(f))]
-        return max((last for _, last in edges), default=None)
+        """One row group after the other is read, those with the last times first, until the others are older."""
+        groups = [(last, f, k) for f in self._files() for k, (_, last) in enumerate(self._times(f))]
+        newest = None
+        for last, file, k in sorted(groups, reverse=True):
+            if newest is not None and last < newest[0]:
+                break
+            newest = max((c for c in (newest, self._last(file, k)) if c is not None), default=None)
+        return newest
 
     def ranges(self, after: Cursor, until: Cursor) -> list[tuple[Cursor, Cursor, str]]:
-        return [(after, until, f) for f in self._files() if (e := self._edges(f)) and (after is None or e[1] > after) and (until is None or e[0] <= until)]
+        """A range for each file that may have entries there."""
+        low, high = NO_TIME if after is None else after[0], None if until is None else until[0]
+        found = [(f, self._times(f)) for f in self._files()]
+        return [(after, until, f) for f, spans in found if any(last >= low and (high is None or first <= high) for first, last in spans)]
 
     def page(self, after: Cursor, until: Cursor, hint: str, first: int) -> Page:
         rows = self._sorted(hint)
         low, high = 0 if after is None else _place(rows, after), len(rows) if until is None else _place(rows, until)
-        stop = min(low + first, high)
+        stop = max(low, min(low + first, high))
         taken = rows.slice(low, stop - low)
         return Page(taken, _cursor_at(rows, stop - 1) if stop > low else after, stop < high)
 
 
 def _place(rows: pa.Table, cursor: tuple[int, str]) -> int:
-    """How many of the sorted entries lie up to the cursor."""
+    """How many of the sorted entries lie up to the cursor, by halving."""
     time, asset = rows["_time"], rows["asset_id"]
-    before = pc.or_kleene(pc.less(time, cursor[0]), pc.and_kleene(pc.equal(time, cursor[0]), pc.less_equal(asset, cursor[1])))
-    return int(pc.sum(before).as_py() or 0)
+    return bisect_right(range(len(rows)), cursor, key=lambda k: (time[k].as_py(), asset[k].as_py()))
 
 
 @dataclass
@@ -127,11 +161,15 @@ class _Range(InputPartition):
 
 
 def _entries(client: PagedListing, part: _Range, rows: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    cursor, more = part.after, True
+    cursor, more, pages, held = part.after, True, [], 0
     while more:
         page = client.page(cursor, part.until, part.hint, rows)
-        yield from page.entries.select(names).combine_chunks().to_batches()
+        pages.append(page.entries.select(names))
+        held += len(page.entries)
         cursor, more = page.end_cursor, page.has_next_page
+        if held >= BATCH_ROWS or not more:
+            yield from pa.concat_tables(pages).combine_chunks().to_batches()
+            pages, held = [], 0
 
 
 class _Batch(DataSourceReader):

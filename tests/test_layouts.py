@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -167,3 +169,25 @@ def test_a_stream_of_pages_goes_on_after_a_stop(spark, tmp_path):
         ingest.run_available(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp"))
         seen += 0 if k == 2 else sum(r[2] is not None or k == 0 for r in part)  # entries behind the cursor are left to a batch read
         assert spark.read.parquet(out).count() == spark.read.parquet(out).distinct().count() == seen
+
+
+@pytest.mark.parametrize("statistics", [True, False])
+def test_a_listing_is_paged_from_footers_and_by_halving(tmp_path, monkeypatch, statistics):
+    names = [f.split()[0] for f in MEDIA_LISTING.split(", ")]
+    files = [listing(range(5000, 30_000)), listing(range(5000)), [], [("n", "photo", None, 1, 2, "u", "l", 1, 2)]]
+    for k, part in enumerate(files):
+        random.Random(k).shuffle(part)
+        columns = {n: pa.array([r[i] for r in part], pa.string() if i in (0, 1, 5, 6) else pa.int64()) for i, n in enumerate(names)}
+        pq.write_table(pa.table(columns), tmp_path / f"{k}.parquet", row_group_size=1000, write_statistics=statistics)
+    client, read = pages.FolderListing(str(tmp_path)), pq.read_table
+    monkeypatch.setattr(pq, "read_table", None)  # what the files cover is asked of their footers
+    order = sorted(((pages.NO_TIME if r[2] is None else r[2], r[0]) for part in files for r in part))
+    newest = client.newest()
+    assert newest == order[-1] == (1000 + 29_999 // 4, "a29999")
+    assert len(client.ranges(None, newest)) == 3
+    monkeypatch.setattr(pq, "read_table", read)
+    for after, until in ((None, newest), (order[7000], order[21_000]), (order[3], order[4]), (newest, newest)):
+        batches = [list(pages._entries(client, pages._Range(*r), 100, names)) for r in client.ranges(after, until)]
+        got = sorted((pages.NO_TIME if t is None else t, a) for part in batches for b in part for t, a in zip(b["creation_time"].to_pylist(), b["asset_id"].to_pylist()))
+        assert got == [c for c in order if (after is None or c > after) and c <= until]
+        assert max(map(len, batches)) <= 4  # thousands of entries at once, not a page
