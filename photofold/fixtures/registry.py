@@ -181,11 +181,17 @@ def scan_media_albums(spark, sf):
     return rows.select("asset_id", "creation_time")
 
 
+def _add_to_listing(rows: DataFrame, folder: str) -> None:
+    """Files that each cover a range of times, of a bounded number of rows, since a task holds a file."""
+    laid = rows.select(*[field.split()[0] for field in MEDIA_LISTING.split(", ")])
+    ordered = laid.repartitionByRange(*pages.ORDER).sortWithinPartitions(*pages.ORDER)
+    ordered.write.mode("append").option("maxRecordsPerFile", 200_000).parquet(folder)
+
+
 def _paged(spark: SparkSession, rows: DataFrame, name: str) -> str:
-    """A listing folder of files that each cover a range of times, under the name of a data source."""
+    """A listing folder under the name of a data source."""
     folder = run_folder(spark, "listing")
-    laid = rows.select(*[field.split()[0] for field in MEDIA_LISTING.split(", ")])
-    laid.repartitionByRange("creation_time", "asset_id").write.parquet(folder)
+    _add_to_listing(rows, folder)
     pages.register_listing(spark, name, pages.FolderListing(folder))
     return folder
 
@@ -206,7 +212,7 @@ def stream_media_pages(spark, sf):
     folder, out = _paged(spark, rows.filter(F.col("creation_time") <= middle), "listing_stream"), run_folder(spark, "stream")
     for later in (None, rows.filter(F.col("creation_time") > middle)):
         if later is not None:
-            later.write.mode("append").parquet(folder)
+            _add_to_listing(later, folder)
         found = spark.readStream.format("listing_stream").load().filter("media_type = 'photo'")
         ingest.run_available(found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/rows").select("asset_id", "creation_time", "width", "height")
