@@ -1,9 +1,13 @@
+import cProfile
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -195,6 +199,45 @@ def test_overlaps_are_those_of_all_pairs(tokenizers):
     assert list(aligned.overlap.itertuples(index=False, name=None)) == want
 
 
+SPACED = ODD + ["", "a", "a b c", "a  b c", " a b", "\na b", "a b\n", "a\tb c", "a \tb", "a\u3000b c", "a \u2003 b c", "a b\x85", "\x1c", "é ü\u2028 z"]
+
+
+def test_texts_are_cut_alike_one_by_one_and_together():
+    parts, first, count = token_alignment.cut_texts(pa.array(SPACED, pa.large_string()))
+    found = [parts.slice(i, n).to_pylist() for i, n in zip(first.tolist(), count.tolist())]
+    # the space before the first may be left out: it is put before every piece that has none
+    spaced = [[p if p[0] == " " else " " + p for p in cut] for cut in found]
+    assert spaced == [[p if p[0] == " " else " " + p for p in token_alignment.cut_text(t)] for t in SPACED]
+
+
+def test_spaces_are_those_of_python():
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    assert pc.match_substring_regex(pa.array(every), rf"\A{token_alignment._SPACE}\z").to_pylist() == [c.isspace() for c in every]
+    plain = token_alignment.Texts([" " + t for t in SPACED] + SPACED).plain.tolist()
+    assert plain == [bool(re.fullmatch(r" \S(?:.*\S)?", t, re.DOTALL)) for t in [" " + t for t in SPACED] + SPACED]
+
+
+def test_a_piece_takes_no_python_calls(tokenizers):
+    profile = cProfile.Profile()
+    texts = [f" w{k:x}q" for k in range(20_000)]
+    profile.runcall(token_alignment.align_texts, *tokenizers, texts)
+    assert sum(entry.callcount for entry in profile.getstats()) < len(texts)
+
+
+def test_pairs_of_some_documents_at_a_time(tokenizers, monkeypatch):
+    made = []
+    for at_once in (1, 5, 1 << 16):
+        monkeypatch.setattr(token_alignment, "LINKED_AT_ONCE", at_once)
+        block = token_alignment._Block(token_alignment.Known(*tokenizers), pa.array(ODD + ["", "a b a", "don't don't"]))
+        made.append([values.tolist() for values in block.linked()])
+    assert made[0] == made[1] == made[2]
+
+
+def test_pairs_with_many_occurrences(spark, tokenizers):
+    some = [(k, "ab cd " * n + "e", None, None, None, k, "x", k, "y") for k, n in enumerate([1, 200, 300, 70_000])]
+    assert as_set(token_alignment.align_counted(frame(spark, some), *PATHS), *NUMBERS) == brute_alignment(tokenizers, pairs(some))
+
+
 def test_nothing_to_align(spark):
     assert token_alignment.align_counted(frame(spark, []), *PATHS).count() == 0
     assert token_alignment.align(frame(spark, []), *PATHS).count() == 0
